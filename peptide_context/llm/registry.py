@@ -35,3 +35,40 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+SQL["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), o AS (
+  SELECT payload_digest, max(page_id) AS origin FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN o.origin IS NULL OR o.origin = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN o.origin = p.page_id THEN NULL ELSE o.origin END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest AND p.payload_bytes >= 1000
+"""
+
+
+@register
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import known_digests, scan
+
+    return scan(_table(spark, sf_dir, "documents"), known_digests(spark))
