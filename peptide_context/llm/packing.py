@@ -27,15 +27,20 @@ class _WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit numbers. Forgets all when ``most`` words are held.
 
     A word of Latin letters before a comma or full stops is put together from its lower-case letters' ids and the
-    marks' ids, as the vocabulary lowers case and splits letters from marks.
+    marks' ids, as the vocabulary lowers case and splits letters from marks. Such letters need no normalising and
+    go to the merges directly, spelt in the vocabulary's byte alphabet.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.merges = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        latin = [c for c in map(chr, range(0x130)) if c.isalpha() and c == c.lower()]
+        self.spelling = {ord(c): spell(c)[0][0] for c in latin}
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(".,")
@@ -44,7 +49,10 @@ class _WordIds(dict):
             if plain != word:
                 ids = self[plain]
                 return ids if stem == word else ids + self[word[len(stem) :]]
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            found = [t.id for t in self.merges.tokenize(word.translate(self.spelling))]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = np.asarray(found, dtype="<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
