@@ -94,6 +94,33 @@ def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     return np.unique(mix(acc, k))
 
 
+def shingle_sets(texts: list[bytes], size: int = 5, chunk: int = 1 << 17) -> list[np.ndarray]:
+    """``shingle_set`` of many texts, hashed together in chunks of bytes."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        group, total = [], 0
+        while at < len(texts) and (not group or total + len(texts[at]) < chunk):
+            group.append(texts[at])
+            total += len(texts[at]) + 1
+            at += 1
+        data = lower(np.frombuffer(b"\n".join(group), dtype=np.uint8))
+        start, end = words(data)
+        w = span_hash(prefix_hash(data), start, end) if len(start) else np.empty(0, np.uint64)
+        limit = np.cumsum([len(g) + 1 for g in group])
+        edge = np.concatenate([[0], np.searchsorted(start, limit)])
+        n = max(0, len(w) - size + 1)
+        acc = np.zeros(n, dtype=np.uint64)
+        for i in range(size if n else 0):
+            acc = (acc + w[i : n + i]) * _BASE
+            acc ^= acc >> np.uint64(29)
+        acc = mix(acc, size)
+        for i, text in enumerate(group):
+            a, b = edge[i], edge[i + 1]
+            out.append(np.unique(acc[a : b - size + 1]) if b - a >= size else shingle_set(text, size))
+    return out
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum of each window of ``width`` values (uint64, top bits random)."""
     n = len(values)
