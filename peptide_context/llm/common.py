@@ -32,6 +32,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows (it should be a written table of a few small
+    columns: some 10 MB), else as it is, to be joined by shuffle. The rows are counted, never assumed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -273,6 +273,21 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
         model.limit[model.langs.index(lang)] = (at, max(row[0] or 0.0, 1.0))
 
 
+def judge(m: Model, known: _Scores, texts: list[str | None], deviations: float, margin: float):
+    """Lists over texts: language, score, cross-entropy, accepted; see ``classify``."""
+    n = len(texts)
+    if not m.langs:
+        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool)
+    ce, size = cross_entropies(m, known, texts)
+    win = ce.argmin(axis=1)
+    has = size > 0
+    best = np.where(has, ce[np.arange(n), win], np.nan)
+    share = 1.0 / np.exp2(-np.minimum((ce - ce.min(axis=1, keepdims=True)) * 12, 60)).sum(axis=1)
+    mean, deviation = m.limit[win, 0], m.limit[win, 1]
+    level = mean + np.maximum(margin, deviations * deviation / np.sqrt(np.clip(size, 1, 400)))
+    return [m.langs[w] if h else UNKNOWN for w, h in zip(win, has, strict=True)], np.where(has, share, 0.0), best, has & ~(best > level)
+
+
 def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: float = 1.0) -> DataFrame:
     """Rows of docs(doc_id, text) with (lang_pred, score, cross_entropy, accepted).
 
@@ -291,20 +306,7 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                n = len(texts)
-                pred, score, best, ok = [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool)
-                if m.langs:
-                    ce, size = cross_entropies(m, known, texts)
-                    win = ce.argmin(axis=1)
-                    has = size > 0
-                    best = np.where(has, ce[np.arange(n), win], np.nan)
-                    share = 1.0 / np.exp2(-np.minimum((ce - ce.min(axis=1, keepdims=True)) * 12, 60)).sum(axis=1)
-                    score = np.where(has, share, 0.0)
-                    mean, deviation = m.limit[win, 0], m.limit[win, 1]
-                    level = mean + np.maximum(margin, deviations * deviation / np.sqrt(np.clip(size, 1, 400)))
-                    ok = has & ~(best > level)
-                    pred = [m.langs[w] if h else UNKNOWN for w, h in zip(win, has, strict=True)]
+                pred, score, best, ok = judge(m, known, part.column(1).to_pylist(), deviations, margin)
                 yield pa.record_batch(
                     [part.column(0), pa.array(pred), pa.array(score), pa.array(best, from_pandas=True), pa.array(ok)],
                     ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"],
@@ -314,6 +316,22 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
     return read.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
+def keep_accepted(docs: DataFrame, model: Model, deviations: float = 8.0, margin: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` accepts, with all their columns and without a shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(shipped.value)
+        known = _Scores(m)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array(judge(m, known, part.column(text).to_pylist(), deviations, margin)[3]))
+
+    text = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text is divisible by 5; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -115,7 +115,7 @@ def canonical(text: Column) -> Column:
     Only ASCII letters and digits count. A null text is an empty one.
     """
     low = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bare = F.regexp_replace(low, COPYRIGHT_LINE, r"\n")
+    bare = F.regexp_replace(low, COPYRIGHT_LINE, "\n")
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " ")), F.lit(" "))
     # British spellings can only be there where one of their stems is: most texts skip the replacements
     spelt = flat
@@ -142,3 +142,28 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     words = F.when(F.col("_c") == "", 0).otherwise(F.length("_c") - F.length(F.replace(F.col("_c"), F.lit(" "))) + 1)
     hashed = text.select("doc_id", words.cast("long").alias("n_words"), F.md5(F.col("_c")).alias("digest"))
     return hashed.join(F.broadcast(known), "digest", "left").select("doc_id", "n_words", "digest", "license_id")
+
+
+def scan_sql(known: list[tuple[str, str]] | None = None) -> str:
+    """The scan of the table documents as DuckDB SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        bare = f"regexp_replace({low}, {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+        flat = f"' ' || trim(regexp_replace({bare}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+        for old, new in sorted(SPELLINGS.items()):
+            flat = f"replace({flat}, ' {old} ', ' {new} ')"
+        return f"trim({flat})"
+
+    rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known or KNOWN)
+    return f"""
+WITH k AS (
+  SELECT md5({form("t")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, t) GROUP BY 1
+), d AS (
+  SELECT doc_id, {form("text")} AS c FROM documents
+)
+SELECT d.doc_id, CAST(CASE WHEN c = '' THEN 0 ELSE length(c) - length(replace(c, ' ', '')) + 1 END AS BIGINT) AS n_words,
+       md5(c) AS digest, k.license_id
+FROM d LEFT JOIN k ON k.digest = md5(c)
+"""

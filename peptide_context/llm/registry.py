@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import scan_sql
+
 QUERIES = {}
 SQL = {}
 
@@ -74,6 +76,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), known_digests(spark))
 
 
+SQL["op10_licenses"] = scan_sql()
+
+
 @register
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import search_table
@@ -145,3 +150,36 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS compo
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
+
+
+@register
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
+#: Lines of documents d, those that go, and the texts left: used for the query and for the pipeline's stage.
+SQL["op2_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+), u AS (
+  SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS at FROM l WHERE length(line) >= 20 GROUP BY line
+), near AS (
+  SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n + 1 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n - 1 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+), j AS (
+  SELECT l.doc_id, l.pos, l.line,
+         length(l.line) >= 20 AND (near.line IS NOT NULL OR u.at <> l.doc_id * 1000000 + l.pos) AS gone
+  FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN near ON near.line = l.line
+), t AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text,
+         count(*) FILTER (WHERE gone) AS n_dropped
+  FROM j GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+       CAST(coalesce(t.n_dropped, 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
