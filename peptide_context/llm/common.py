@@ -32,10 +32,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``most`` rows (it should be a written table of a few small
-    columns: some 10 MB), else as it is, to be joined by shuffle. The rows are counted, never assumed."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
+    """``df`` to be broadcast if it is small, else as it is, to be joined by shuffle.
+
+    Small is at most ``most`` rows, or a sum of the column ``weight`` (the lengths of its arrays, say) of at most
+    that: some tens of MB. ``df`` should be a written table of few columns. It is counted, never assumed.
+    """
+    size = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] if weight is not None else df.limit(most + 1).count()
+    return F.broadcast(df) if size <= most else df
 
 
 def text_or_empty(column: str = "text"):
