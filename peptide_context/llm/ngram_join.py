@@ -88,7 +88,7 @@ def _prefixes(shingle: int, frequency):
         seen: set[int] = set()
         often = np.frombuffer(frequency.value, np.int32)
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, places = [], [], [], []
             for _, s in _sets_of(batch, 0, shingle):
                 node = node_of(s) if len(s) else 0
                 if not len(s) or node in seen:
@@ -98,9 +98,11 @@ def _prefixes(shingle: int, frequency):
                 tokens.append(p)
                 nodes.append(np.full(len(p), node, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int32))
+                places.append(np.arange(len(p), dtype=np.int32))
             if tokens:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["token", "node", "n"]
+                    [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (nodes, sizes, places))],
+                    ["token", "node", "n", "pos"],
                 )
 
     return run
@@ -181,11 +183,11 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     some = rows.where("n > 0 and doc_id is not null")
     nodes = materialize(some.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")))
 
-    found = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(shingle, spark.sparkContext.broadcast(frequency.tobytes())), "token long, node long, n int")
+    found = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(shingle, spark.sparkContext.broadcast(frequency.tobytes())), "token long, node long, n int, pos int")
     by = Window.partitionBy("token").orderBy("node")
     all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shared = found.withColumn("lead", F.min("node").over(all_)).withColumn("top", F.max("node").over(all_)).withColumn("prev", F.lag("node").over(by))
-    shared = materialize(shared.where("lead < top and (prev is null or prev <> node)").select("token", "node", "lead"))
+    shared = materialize(shared.where("lead < top and (prev is null or prev <> node)").select("token", "node", "n", "pos", "lead"))
 
     # groups: every node against the leader it shares most prefix tokens with
     votes = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
@@ -202,11 +204,15 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     merged = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(WORDS)]
     matrix = member.groupBy("comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), *merged)
     matrix = matrix.select("comp", "least", "most", F.array(*[f"u{i}" for i in range(WORDS)]).alias("union"))
-    rows_ = shared.join(groups, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp"))
+    rows_ = shared.join(groups, "node", "left").select("token", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
     spread = rows_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rows_ = materialize(rows_.join(spread, "token"))
-    other = rows_.select("token", F.col("comp").alias("open")).distinct()
-    asked = rows_.join(other, "token").where("comp < open").select("node", "open").distinct()
+    other = rows_.groupBy("token", F.col("comp").alias("open")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("at"))
+    # of two sets that link, the first shared token stands early enough in both to leave room for the overlap:
+    # (n - pos) * (NUM + DEN) >= NUM * (n + m), read for the group's sizes and earliest place
+    early = (F.col("n") * DEN - F.col("pos") * (NUM + DEN) >= F.col("least") * NUM) & (F.col("most") * DEN - F.col("at") * (NUM + DEN) >= F.col("n") * NUM)
+    asked = rows_.join(other, "token").where((F.col("comp") < F.col("open")) & early).select("node", "open").distinct()
+    asked = materialize(asked)
     query = asked.join(member.select("node", "n", "bits"), "node").join(matrix.withColumnRenamed("comp", "open"), "open")
     fits = (F.col("n") * DEN >= F.col("least") * NUM) & (F.col("most") * DEN >= F.col("n") * NUM)
     fits = fits & ((F.col("n") - beyond(F.col("bits"), F.col("union"))) * DEN >= F.col("n") * NUM)
