@@ -1,0 +1 @@
+SQL = {}
