@@ -27,6 +27,7 @@ NUM, DEN = 4, 5  # links reach a Jaccard similarity of NUM / DEN
 SHINGLE = 5
 BUCKET_BITS = 18  # hash buckets whose frequency orders tokens
 WORDS = 32  # 64-bit words of a bitmap
+ROUNDS = 2  # of one pair a node, before all pairs that are left
 FEW = 1_000_000  # node ids that a filter may broadcast: 8 MB; more are joined by shuffle
 
 
@@ -218,8 +219,17 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     fits = fits & ((F.col("n") - beyond(F.col("bits"), F.col("union"))) * DEN >= F.col("n") * NUM)
     opened = query.where(fits).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), "open")
     inside = member.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("comp").alias("open"))
-    second = opened.join(inside, "open").where(near)
-    links = links.union(_verify(second, nodes, texts, shingle))
+    room = (F.col("na") - beyond(F.col("ba"), F.col("bb"))) / (F.col("na") + F.col("nb"))
+    rest = materialize(opened.join(inside, "open").where(near).select("a", "b", room.alias("room")))
+    # most pairs fall inside components that a few of them already join: each node's most promising pair comes first,
+    # and only pairs that are still apart are compared after that
+    for _ in range(ROUNDS):
+        links = links.union(_verify(rest.groupBy("a").agg(F.max_by("b", F.struct("room", "b")).alias("b")), nodes, texts, shingle))
+        now = materialize(components(links))
+        left, right = now.toDF("a", "ca"), now.toDF("b", "cb")
+        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+        rest = materialize(rest.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b", "room"))
+    links = links.union(_verify(rest, nodes, texts, shingle))
 
     comps = components(links)
     placed = nodes.join(comps, "node", "left").select("node", "n", "rep", F.coalesce("comp", "node").alias("comp"))
