@@ -224,10 +224,12 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # most pairs fall inside components that a few of them already join: each node's most promising pair comes first,
     # and only pairs that are still apart are compared after that
     for _ in range(ROUNDS):
-        links = links.union(_verify(rest.groupBy("a").agg(F.max_by("b", F.struct("room", "b")).alias("b")), nodes, texts, shingle))
+        best = materialize(rest.groupBy("a").agg(F.max_by("b", F.struct("room", "b")).alias("b")))
+        links = links.union(_verify(best, nodes, texts, shingle))
         now = materialize(components(links))
         left, right = now.toDF("a", "ca"), now.toDF("b", "cb")
         apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+        rest = rest.join(best, ["a", "b"], "left_anti")
         rest = materialize(rest.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b", "room"))
     links = links.union(_verify(rest, nodes, texts, shingle))
 

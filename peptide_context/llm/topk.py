@@ -51,7 +51,7 @@ class BlockSearch:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, vectors, k
         self.stats = [segment_stats(vectors.astype(np.float64), s) for s in LEVELS]
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        self.row, self.vec, self.score = (np.empty(0, np.int64) for _ in range(3))
         self.level = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -59,48 +59,36 @@ class BlockSearch:
             return
         stats = [segment_stats(x.astype(np.float64), s) for s in LEVELS]
         slack = 1e-9 * (np.abs(self.stats[0]).max(initial=0) * np.abs(stats[0]).max(initial=0) + 1) * x.shape[1] + 1e-3
-        bound = self.stats[0] @ stats[0].T + slack
-        own = self.ids[:, None] == ids[None, :]
-        # the highest coarse bounds give every query a level to drop others by
-        fine = self.stats[-1] @ stats[-1].T
-        fine[own] = -np.inf
-        first = np.argpartition(-fine, min(2 * self.k, len(ids) - 1), axis=1)[:, : 2 * self.k]
-        rows = np.repeat(np.arange(len(self.ids)), first.shape[1])
-        self._take(rows, first.ravel(), ids, x, own)
-        done = np.zeros_like(own)
-        done[rows, first.ravel()] = True
-        a, b = np.nonzero((bound >= self.level[:, None]) & ~own & ~done)
-        for q, s in zip(self.stats[1:], stats[1:], strict=True):
-            keep = np.einsum("ij,ij->i", q[a], s[b]) + slack >= self.level[a]
-            a, b = a[keep], b[keep]
-        self._take(a, b, ids, x, own)
-
-    def _take(self, a, b, ids, x, own) -> None:
-        keep = ~own[a, b]
-        a, b = a[keep], b[keep]
-        scores = exact_products(self.q[a], x[b]) if len(a) else np.empty(0, np.int64)
-        order = np.argsort(a, kind="stable")
-        a, b, scores = a[order], b[order], scores[order]
-        edge = np.searchsorted(a, np.arange(len(self.ids) + 1))
-        for i in np.flatnonzero(np.diff(edge)):
-            part = slice(edge[i], edge[i + 1])
-            s = np.concatenate([self.best[i][0], scores[part]])
-            v = np.concatenate([self.best[i][1], ids[b[part]]])
-            top = np.lexsort((v, -s))[: self.k]
-            self.best[i] = (s[top], v[top])
-            if len(top) == self.k:
-                self.level[i] = s[top][-1]
+        open_ = self.ids[:, None] != ids[None, :]
+        for q, s in zip(self.stats, stats, strict=True):
+            if not np.isfinite(self.level).any() or np.count_nonzero(open_) < open_.size // 50:
+                break
+            open_ &= q @ s.T + slack >= self.level[:, None]
+        most = float(np.abs(self.q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+        if most < 2**53 and np.count_nonzero(open_) > open_.size // 50:
+            # many are left: their products come as one matrix, and only those that enter the k best are kept
+            full = self.q.astype(np.float64) @ x.T.astype(np.float64)
+            full[~open_] = -np.inf
+            if len(ids) > self.k:
+                kth = np.partition(full, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+                open_ &= full >= np.maximum(kth, self.level)[:, None]
+            a, b = np.nonzero(open_)
+            scores = full[a, b].astype(np.int64)
+        else:
+            a, b = np.nonzero(open_)
+            scores = exact_products(self.q[a], x[b]) if len(a) else np.empty(0, np.int64)
+        row, vec = np.concatenate([self.row, a]), np.concatenate([self.vec, ids[b]])
+        score = np.concatenate([self.score, scores])
+        order = np.lexsort((vec, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.row, self.vec, self.score = row[keep], vec[order][keep], score[order][keep]
+        last = place[keep] == self.k - 1
+        self.level[self.row[last]] = self.score[last]
 
     def rows(self) -> pa.RecordBatch:
-        n = [len(s) for s, _ in self.best]
-        return pa.record_batch(
-            [
-                pa.array(np.repeat(self.ids, n)),
-                pa.array(np.concatenate([v for _, v in self.best]) if n else np.empty(0, np.int64)),
-                pa.array(np.concatenate([s for s, _ in self.best]) if n else np.empty(0, np.int64)),
-            ],
-            ["query_id", "vec_id", "score"],
-        )
+        return pa.record_batch([pa.array(self.ids[self.row]), pa.array(self.vec), pa.array(self.score)], ["query_id", "vec_id", "score"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
