@@ -83,8 +83,8 @@ def aa_composition(seq: Column, prefix: str) -> list[Column]:
 
 
 def logistic(x: Column) -> Column:
-    """1 / (1 + exp(-x)); goes to 0 and 1 without overflow."""
-    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0))))
+    """1 / (1 + exp(-x)); goes to 0 and 1 without overflow; null for null."""
+    return F.when(x.isNotNull(), 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0)))))
 
 
 def md5_bucket(text: Column, dim: int) -> Column:

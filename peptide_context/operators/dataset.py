@@ -47,11 +47,12 @@ def shuffled_decoys(positives: DataFrame, per_pos: int = 1, seed: int = 0) -> Da
 
     The residues are sorted by the MD5 of (id, draw, place, seed), inside the row.
     """
-    rows = positives.select("id", "mature_seq", F.explode(F.sequence(F.lit(0), F.lit(per_pos - 1))).alias("i"))
-    keyed = lambda c, p: F.struct(seeded_rank_key(F.col("id"), F.col("i"), p, F.lit(seed)).alias("h"), c.alias("c"))
+    rows = positives.select(F.col("id").alias("own"), "mature_seq", F.explode(F.sequence(F.lit(0), F.lit(per_pos - 1))).alias("i"))
+    keyed = lambda c, p: F.struct(seeded_rank_key(F.col("own"), F.col("i"), p, F.lit(seed)).alias("h"), c.alias("c"))
     order = F.array_sort(F.transform(F.split("mature_seq", ""), keyed))
     mixed = F.array_join(F.transform(order, lambda x: x["c"]), "")
-    return rows.select(F.concat("id", F.lit("_shuf"), "i").alias("id"), F.lit(0).alias("label"), mixed.alias("mature_seq"), mixed.alias("precursor_seq"))
+    rows = rows.select("own", "i", mixed.alias("s"))
+    return rows.select(F.concat("own", F.lit("_shuf"), "i").alias("id"), F.lit(0).alias("label"), F.col("s").alias("mature_seq"), F.col("s").alias("precursor_seq"))
 
 
 def make_dataset(positives: DataFrame, negatives: DataFrame | None = None, per_pos: int = 1, seed: int = 0) -> DataFrame:
