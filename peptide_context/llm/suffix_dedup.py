@@ -80,8 +80,8 @@ def _anchors(length: int, gram: int):
 
 def _cores(length: int, step: int):
     """Splits ranges of starts by their distance to the anchor into parts of ``step``, and hashes what the windows of
-    a part have in common."""
-    names = ["doc_id", "rk", "part", "lo", "hi", "c1", "c2"]
+    a part have in common (c) and the part's whole stretch (e)."""
+    names = ["doc_id", "rk", "part", "lo", "hi", "c1", "c2", "e1", "e2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +96,14 @@ def _cores(length: int, step: int):
                 low, high = np.maximum(lo[which], a[which] - part * step - step + 1), np.minimum(hi[which], a[which] - part * step)
                 start = a[which] - part * step
                 end = start - step + 1 + length
-                c1 = span_hash(prefix_hash(data), start, end, 41).view(np.int64)
-                c2 = span_hash(prefix_hash(data, 5), start, end, 42).view(np.int64)
-                out.append([np.full(len(part), doc, np.int64), np.full(len(part), rk, np.int64), part, low, high, c1, c2])
+                h, h2 = prefix_hash(data), prefix_hash(data, 5)
+                place = (a[which] - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                hashes = [
+                    span_hash(h, start, end, 41), span_hash(h2, start, end, 42),
+                    span_hash(h, low, high + length, 43) + place, span_hash(h2, low, high + length, 44) ^ place,
+                ]
+                ids = [np.full(len(part), doc, np.int64), np.full(len(part), rk, np.int64)]
+                out.append([*ids, part, low, high, *(x.view(np.int64) for x in hashes)])
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
@@ -213,11 +218,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     left = state.select("doc_id", "rk", "a", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
     parts = materialize(
         _with_texts(read, left, ["a", "lo", "hi"]).mapInArrow(
-            _cores(length, STEP), "doc_id long, rk long, part long, lo long, hi long, c1 long, c2 long"
+            _cores(length, STEP), "doc_id long, rk long, part long, lo long, hi long, c1 long, c2 long, e1 long, e2 long"
         )
     )
-    both = parts.groupBy("part", "c1", "c2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    left = parts.join(both, ["part", "c1", "c2"]).select("doc_id", "rk", "lo", "hi")
+    # as for families: a repeated stretch settles its part, and one of its members stands for it among those that
+    # share the core
+    core = ["part", "c1", "c2"]
+    stretches = materialize(
+        parts.groupBy(*core, "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rk", "lo", "hi")).alias("m"))
+    )
+    again = parts.join(stretches.where("n > 1").select(*core, "e1", "e2"), [*core, "e1", "e2"])
+    settled = settled.union(again.select("doc_id", "rk", F.struct("lo", "hi").alias("r")))
+    mixed = stretches.groupBy(*core).agg(F.count("*").alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
+    left = stretches.join(mixed.where("k > 1 and alone > 0").select(*core), core).select("m.*")
     windows = materialize(
         _with_texts(read, left, ["lo", "hi"]).mapInArrow(_windows(length), "doc_id long, rk long, s long, w1 long, w2 long")
     )
