@@ -105,8 +105,9 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
-#: A line that only says who holds the copyright, after lower-casing.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that says who holds the copyright, after lower-casing; a wrapped line of a licence that goes on with the
+#: word ("copyright holders be liable") is none.
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|by |:|[^\n]*[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
