@@ -109,24 +109,56 @@ def _prefixes(shingle: int, frequency):
     return run
 
 
+def fine_bitmap(tokens: np.ndarray) -> bytes:
+    """Four to eight bits a token, so that long sets are told apart as well as short ones."""
+    bits = np.zeros(1 << max(6, int(4 * len(tokens) - 1).bit_length()), dtype=np.uint8)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _tokens_of(shingle: int):
+    names = ["node", "tokens", "n", "fine"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(1).to_pylist()
-            nodes, sets, size = [], [], 0
+            out: list[list] = [[] for _ in names]
+            size = 0
             for i, s in _sets_of(batch, 0, shingle):
                 if len(s) and node_of(s) == want[i]:
-                    nodes.append(want[i])
-                    sets.append(s.tobytes())
-                    size += len(sets[-1])
+                    for column, value in zip(out, (want[i], s.tobytes(), len(s), fine_bitmap(s)), strict=True):
+                        column.append(value)
+                    size += 8 * len(s)
                 if size > 4 << 20:
-                    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
-                    nodes, sets, size = [], [], 0
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                    yield _batch(out)
+                    out, size = [[] for _ in names], 0
+            yield _batch(out)
+
+    def _batch(out):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names)
 
     return run
 
 
+def _may_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, x, y, na, nb) whose fine bitmaps leave room for the overlap."""
+
+    def fold(bits: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+            size = min(len(x), len(y))
+            x, y = fold(x, size), fold(y, size)
+            out_a, out_b = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+            both = min(na[i] - out_a, nb[i] - out_b)
+            keep[i] = both * (NUM + DEN) >= NUM * (na[i] + nb[i])
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
@@ -158,9 +190,16 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int)
     one = wanted.select("node", F.col("rep").alias("doc_id"))
     if wanted.count() <= FEW:
         one = F.broadcast(one)
-    sets = texts.join(one, "doc_id").select("text", "node").mapInArrow(_tokens_of(shingle), "node long, tokens binary")
+    sets = texts.join(one, "doc_id").select("text", "node").mapInArrow(
+        _tokens_of(shingle), "node long, tokens binary, n long, fine binary"
+    )
     sets = materialize(sets)
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    # bitmaps, a tenth of the tokens' size, go over the pairs before the tokens do
+    left = sets.select(F.col("node").alias("a"), F.col("fine").alias("x"), F.col("n").alias("na"))
+    right = sets.select(F.col("node").alias("b"), F.col("fine").alias("y"), F.col("n").alias("nb"))
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "na", "nb")
+    pairs = materialize(near.mapInArrow(_may_reach, "a long, b long"))
+    left, right = sets.select("node", "tokens").toDF("a", "x"), sets.select("node", "tokens").toDF("b", "y")
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(full.mapInArrow(_exact, "a long, b long"))
 
