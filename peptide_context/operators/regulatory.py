@@ -25,8 +25,8 @@ def promoter_windows(genes: DataFrame, up: int = 1000, down: int = 200) -> DataF
 def coreg_pairs(map_: DataFrame, loci: DataFrame) -> DataFrame:
     """(amp_gene, partner_gene, partner_role): a locus with each mapped gene symbol among its families."""
     amps = map_.select(F.col("gene_symbol").alias("amp_gene")).where("amp_gene is not null and amp_gene not in ('', '.')").distinct()
-    family = F.trim(F.explode(F.split("requested_by_families", ",")))
-    rows = loci.select(family.alias("amp_gene"), F.col("gene").alias("partner_gene"), F.col("role").alias("partner_role"))
+    families = F.transform(F.split("requested_by_families", ","), F.trim)
+    rows = loci.select(F.explode(families).alias("amp_gene"), F.col("gene").alias("partner_gene"), F.col("role").alias("partner_role"))
     return rows.join(amps, "amp_gene", "left_semi").distinct()
 
 
