@@ -25,7 +25,7 @@ from .hashing import mix, shingle_sets
 
 NUM, DEN = 4, 5  # links reach a Jaccard similarity of NUM / DEN
 SHINGLE = 5
-BUCKET_BITS = 18  # hash buckets whose frequency orders tokens
+BUCKET_BITS = 20  # hash buckets whose frequency orders tokens
 WORDS = 32  # 64-bit words of a bitmap
 ROUNDS = 2  # of one pair a node, before all pairs that are left
 FEW = 1_000_000  # node ids that a filter may broadcast: 8 MB; more are joined by shuffle
@@ -61,9 +61,7 @@ def _survey(shingle: int):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 bits.append(np.frombuffer(bitmap(s), np.int64) if len(s) else None)
-                counts += np.bincount((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)) if len(s) > 5000 else 0
-                if len(s) <= 5000:
-                    np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             yield pa.record_batch(
                 [pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
                 names,
@@ -217,7 +215,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     survey = materialize(texts.mapInArrow(_survey(shingle), "kind int, id long, n long, node long, bits array<long>"))
     frequency = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
-    for r in survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**18 buckets
+    for r in survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**20 buckets
         frequency[r["id"]] = min(r["n"], 2**31 - 1)
     rows = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "node", "bits")
     some = rows.where("n > 0 and doc_id is not null")
