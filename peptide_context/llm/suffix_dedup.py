@@ -78,13 +78,20 @@ def _anchors(length: int, gram: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Small parts of batches, so that a task holds few texts and ranges as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _cores(length: int, step: int):
     """Splits ranges of starts by their distance to the anchor into parts of ``step``, and hashes what the windows of
     a part have in common (c) and the part's whole stretch (e)."""
     names = ["doc_id", "rk", "part", "lo", "hi", "c1", "c2", "e1", "e2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list[np.ndarray]] = []
             for doc, rk, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -112,7 +119,7 @@ def _cores(length: int, step: int):
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for doc, rk, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
                 s = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges]))
@@ -146,7 +153,7 @@ def _finish(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in names]
             size = 0
             for doc, z, spans, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
