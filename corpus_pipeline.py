@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptide_context.llm.common import materialize, small_side
@@ -24,20 +24,48 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns: rows with equal keys are the same in everything, so that it does not matter which of them
+    a decision falls on. doc_id alone does not tell rows apart; it may be null or repeated."""
+    return F.xxhash64(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of near copies."""
-    groups = materialize(link(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """Keeps the document of the least doc_id (null last) of each group of near copies.
+
+    Documents without doc_id, or with that of another document, are judged by their texts like all others. Documents
+    without a word link with nothing, and all stay.
+    """
+    keyed = docs.withColumn("_key", row_key(docs))
+    groups = materialize(link(keyed.select(F.col("_key").alias("doc_id"), "text")))
+    member = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_group"))
+    member = materialize(member)
+    shared = small_side(materialize(member.groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")))
+    linked = small_side(materialize(member.join(shared, "_group").select("_key", "_group")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    linked = materialize(keyed.select("doc_id", "_key").join(linked, "_key").select("_group", order.alias("_at")).distinct())
+    first = linked.groupBy("_group").agg(F.min("_at").alias("_first"))
+    gone = materialize(linked.join(first, "_group").where("_at <> _first").select("_at._key"))
+    kept = keyed.join(small_side(gone), "_key", "left_anti")
+    again = materialize(member.where("_rows > 1").select("_key"))
+    if again.limit(1).count():
+        again = small_side(again)
+        kept = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none to three times."""
-    took = mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    took = materialize(took.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_copies").alias("_copies")))
-    full = docs.join(small_side(took), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Documents as often as the mix takes them: none to three times. Rows that are the same in all columns are
+    interchangeable: one of them stands for all, as often as the mix takes them together."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    took = mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).where("taken > 0")
+    took = took.groupBy(F.col("doc_id").alias("_key")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    took = materialize(took)
+    repeated = materialize(keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    if repeated.limit(1).count():
+        repeated = small_side(repeated)
+        keyed = keyed.join(repeated, "_key", "left_anti").unionByName(keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    full = keyed.join(small_side(took), "_key")
     return full.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
