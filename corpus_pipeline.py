@@ -15,12 +15,13 @@ from peptide_context.llm.registry import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that no learned language explains."""
+    """Drops documents without a letter and those that no learned language explains. Where no row says its language,
+    nothing can be learned, and all documents with a letter stay."""
     return keep_accepted(docs, fit(docs.select("lang", "text")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier document has, up to one edit; every document stays."""
+    """Takes out lines that an earlier document has: up to one edit; every document stays."""
     return dedup_lines(docs).select(*docs.columns)
 
 

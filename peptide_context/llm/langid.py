@@ -26,7 +26,8 @@ UNKNOWN = "und"
 ORDER = 4
 #: Bound of the fit: documents a language, chosen by a seeded hash of their text, and characters of any one of them.
 FIT_DOCS = 1500
-FIT_CALIBRATE = 5  # every fifth of them is kept from the counts and sets the rejection level
+FIT_CALIBRATE = 5  # every fifth of them is kept from the counts and sets the rejection level,
+CALIBRATE_FROM = 20  # in languages with so many different texts; a language with fewer learns from all of them
 MAX_NGRAMS = 120_000  # most frequent n-grams kept, a language and order
 DISCOUNT = 0.75
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -79,6 +80,7 @@ class Model:
         self.contexts = [np.empty(0, np.uint64)] * (ORDER + 1)
         self.backoff = [np.empty((0, len(langs)))] * (ORDER + 1)
         self.floor = np.full(len(langs), -16.0)
+        self.letters = np.zeros(len(langs))  # number of different ones
         self.limit = np.full((len(langs), 2), np.inf)  # mean, scaled deviation of own texts' cross-entropy
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -139,6 +141,7 @@ def build(rows, langs: list[str]) -> Model:
     for lang, col in column.items():
         lower: dict[str, float] = {}
         letters_ = {g for g in tables.get((lang, 1), {}) if g != _MARK} | {_MARK}
+        model.letters[col] = len(letters_) - 1
         uniform = 1.0 / (len(letters_) + 64)
         for n in range(1, ORDER + 1):
             raw = tables.get((lang, n), {})
@@ -214,10 +217,11 @@ def cross_entropies(model: Model, known: _Scores, texts: list[str | None]) -> tu
 
 
 def training_sample(docs: DataFrame, per_language: int = FIT_DOCS, seed: int = 5) -> DataFrame:
-    """At most about ``per_language`` labelled rows a language, by the hash of their text: languages are counted
-    over all rows, and each keeps the share of hashes that its count calls for. Copies of a text count once."""
-    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("_n"))
+    """At most about ``per_language`` labelled rows a language, by the hash of their text: different texts are
+    counted over all rows, and each language keeps the share of hashes that its count calls for, so that one with few
+    texts keeps all of them, however many copies there are. Copies of a text count once."""
     h = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
+    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.approx_count_distinct(h).alias("_n"))
     kept = docs.join(F.broadcast(counts), "lang").withColumn("_h", h)
     kept = kept.where(F.col("_h") * F.col("_n") < F.lit(float(per_language) * (1 << 30)))
     return kept.select("lang", "text", "_h").dropDuplicates(["lang", "text"])
@@ -225,10 +229,18 @@ def training_sample(docs: DataFrame, per_language: int = FIT_DOCS, seed: int = 5
 
 def fit(docs: DataFrame, per_language: int = FIT_DOCS) -> Model:
     """Learns from labelled rows docs(lang, text). The sample, and so the model, is bounded by ``per_language`` and
-    ``MAX_NGRAMS``; counting and choosing n-grams run on Spark. Without labelled rows the model has no language."""
-    sample = materialize(training_sample(docs, per_language))
-    part = F.pmod(F.col("_h"), F.lit(FIT_CALIBRATE))
-    grams = sample.where(part != 0).select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
+    ``MAX_NGRAMS``; counting and choosing n-grams run on Spark. Without labelled rows the model has no language.
+
+    A language of at least ``CALIBRATE_FROM`` different texts with letters sets its rejection level by the fifth of them
+    that is held back. Any other learns from all its texts, and gets the calibrated languages' pooled level, or, if there
+    are none, the level of a uniform code over its letters.
+    """
+    sample = training_sample(docs, per_language).withColumn("_held", F.pmod(F.col("_h"), F.lit(FIT_CALIBRATE)) == 0)
+    sample = materialize(sample.where(F.rlike("text", F.lit(r"\p{L}"))))
+    texts = sample.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("_held").alias("held"))
+    enough = F.broadcast(materialize(texts.where((F.col("n") >= CALIBRATE_FROM) & (F.col("held") > 1)).select("lang", F.lit(True).alias("_enough"))))
+    sample = sample.join(enough, "lang", "left").withColumn("_held", F.col("_held") & F.coalesce("_enough", F.lit(False)))
+    grams = sample.where(~F.col("_held")).select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
     grams = materialize(grams.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     # the count at which a language and order reach MAX_NGRAMS n-grams: from counts of counts, not by a sort
     levels = grams.groupBy("lang", "n", "c").agg(F.count("*").alias("k")).collect()
@@ -247,7 +259,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS) -> Model:
     keep = F.broadcast(docs.sparkSession.createDataFrame([(a, b, c) for (a, b), c in least.items()], "lang string, n int, least long"))
     rows = grams.join(keep, ["lang", "n"]).where("c >= least").select("lang", "n", "gram", "c")
     model = build(((r[0], r[1], r[2], r[3]) for r in rows.toLocalIterator()), langs)
-    _calibrate(model, sample.where(part == 0).select("lang", "text"))
+    _calibrate(model, sample.where("_held").select("lang", "text"))
     return model
 
 
@@ -271,13 +283,19 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
         scaled = (F.col("ce") - F.lit(at)) * F.sqrt(F.least(F.col("size"), F.lit(400)))
         row = seen.where(F.col("lang") == lang).agg(F.sqrt(F.avg(scaled * scaled))).first()
         model.limit[model.langs.index(lang)] = (at, max(row[0] or 0.0, 1.0))
+    # too few texts to hold any back: the mean of the languages that have a level, with the widest deviation
+    known = np.isfinite(model.limit[:, 0])
+    if known.any():
+        model.limit[~known] = (model.limit[known, 0].mean(), model.limit[known, 1].max())
+    else:
+        model.limit[:] = np.column_stack([np.log2(model.letters + 1), np.ones(len(model.langs))])
 
 
 def judge(m: Model, known: _Scores, texts: list[str | None], deviations: float, margin: float):
     """Lists over texts: language, score, cross-entropy, accepted; see ``classify``."""
     n = len(texts)
     if not m.langs:
-        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, dtype=bool)
+        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.array([bool(letters(t)) for t in texts], dtype=bool)
     ce, size = cross_entropies(m, known, texts)
     win = ce.argmin(axis=1)
     has = size > 0
@@ -296,7 +314,8 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
     calibrated deviation (scaled by the root of the length, up to 400 characters), and more than ``margin`` bits,
     above the winner's mean.
     Ties go to the first language in code point order. Null and empty texts are ``und`` with score 0; repeated rows
-    are each classified; other columns are ignored. Without a learned language every row is ``und``.
+    are each classified; other columns are ignored. Without a learned language every row is ``und``, and accepted if it has
+    a letter: nothing is known that could reject it.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
