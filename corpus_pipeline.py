@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier document has: up to one edit; every document stays."""
-    return dedup_lines(docs).select(*docs.columns)
+    """Takes out lines that an earlier document has: up to one edit, or exactly for short lines; every document stays."""
+    return dedup_lines(docs, short=True).select(*docs.columns)
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -51,12 +51,13 @@ def _variants(line: Column, length: Column, less: Column, j: Column, key: Column
     return F.when(less == 0, F.concat(swap, whole)).otherwise(longer)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` with its columns, ``text`` without the lines that go, ``n_chars`` (if there) counted again, and n_dropped.
 
     Lines are what stands between line feeds, in the order of doc_id (null first) and place in the text. Lines of
-    fewer than ``min_chars`` characters always stay and let others stay. A line is judged against all earlier lines,
-    also those that go themselves. Every row stays, with an empty text if all its lines go; null texts stay null.
+    fewer than ``min_chars`` characters always stay and let others stay; with ``short``, those that are not blank go if
+    an earlier line is exactly the same, as one edit makes another word of a short line. A line is judged against all
+    earlier lines, also those that go themselves. Every row stays, with an empty text if all its lines go; null texts stay null.
     Rows alike in doc_id and text share their fate: both keep the lines that come first there. Other columns are
     passed on (an n_dropped of the input is replaced); an empty table gives an empty result.
 
@@ -68,10 +69,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("_d"), F.xxhash64("doc_id", "text").alias("_r"), F.posexplode(F.split("text", LINE)).alias("_pos", "_line")
     )
-    lines = lines.withColumn("_len", F.length("_line")).where(F.col("_len") >= min_chars)
+    lines = lines.withColumn("_len", F.length("_line"))
+    long = F.col("_len") >= min_chars
+    lines = lines.where(long | F.rlike("_line", F.lit(r"\S")) if short else long)
     ids = [F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), F.col("_line")).alias("_h2")]
     at = F.struct("_d", "_r", "_pos")
-    keyed = lines.select(*ids, at.alias("_at"), _remainders(F.col("_line"), F.col("_len")).alias("_keys"))
+    keyed = lines.select(*ids, at.alias("_at"), F.when(long, _remainders(F.col("_line"), F.col("_len"))).alias("_keys"))
     kept = [F.count("*").alias("_n"), F.min("_at").alias("_at"), F.first("_keys").alias("_keys")]
     distinct = materialize(keyed.groupBy("_h1", "_h2").agg(*kept))
 
