@@ -116,7 +116,7 @@ def cluster_peptides(s, d):
 
 @query
 def homology_hits(s, d):
-    return rounded(H.homology_hits(A.peptides(s, d), A.proteins(s, d)))
+    return rounded(H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False))  # as its SQL
 
 
 @query

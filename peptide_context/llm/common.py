@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path below the cluster's shared ``spark.checkpoint.dir``.
-
-    Where that setting is absent (tests on one machine), a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back: lineage ends here,
-    and a lost executor costs only the tasks that read its part again."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..operators.components import components, materialize, scratch  # noqa: F401
 
 
 def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
@@ -63,40 +39,3 @@ def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], bit
         .withColumn("rank", F.col("_base") + F.row_number().over(inside) - 1)
         .drop("_base", "_part")
     )
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges(a, b)``: rows (node, comp), comp the smallest node reached.
-
-    Alternates the large-star and small-star steps of map-reduce connected components until the sum of the
-    links stays the same; every round is a written table, so no lineage piles up. Nodes without an edge are
-    not returned. Both steps group by one node but only keep its minimum, so a node with very many links
-    is pre-aggregated and joined, never gathered.
-    """
-    spark = edges.sparkSession
-    e = materialize(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    last = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: every larger neighbour of u is linked with the least node around u
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: every smaller neighbour of u, and u, are linked with the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")
-        ).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return nodes.union(e.select("v", "v").distinct())

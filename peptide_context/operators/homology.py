@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import gene_symbol, kmers
+from .components import components, materialize
 
 
 def clean_peptides(seqs: DataFrame) -> DataFrame:
@@ -78,13 +79,16 @@ def _seed_pairs(a: DataFrame, b: DataFrame, k: int, least: int, salts: int = 16)
     return hit.agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least)
 
 
-def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: int = 2, max_targets: int = 5) -> DataFrame:
+def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: int = 2, max_targets: int = 5, ignore_case: bool = True) -> DataFrame:
     """Peptides (id, seq) against proteins (id, seq) by shared k-mers, ungapped.
 
     A pair's best diagonal is the one with most seeds (ties: the least); identity is counted over the overlap on it.
     Returns at most ``max_targets`` rows a peptide, by equal residues, then target id: (qseqid, sseqid, diagonal,
-    seeds, same, pident, length, qlen, slen, qstart, sstart). This is a stated ungapped search, not a gapped aligner.
+    seeds, same, pident, length, qlen, slen, qstart, sstart). Lower-case letters count as upper-case ones unless
+    ``ignore_case`` is off. This is a stated ungapped search, not a gapped aligner.
     """
+    if ignore_case:
+        peptides, proteome = (x.select("id", F.upper("seq").alias("seq")) for x in (peptides, proteome))
     pairs = _seed_pairs(peptides, proteome, k, seeds).groupBy("a_id", "b_id")
     best = pairs.agg(F.max_by(F.struct("diagonal", "seeds"), F.struct("seeds", -F.col("diagonal"))).alias("d")).select("a_id", "b_id", "d.*")
     q = peptides.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq"))
@@ -104,38 +108,28 @@ def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: i
     )
 
 
-def cluster_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4, seeds: int = 2, max_rounds: int = 30) -> DataFrame:
+def cluster_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4, seeds: int = 2) -> DataFrame:
     """(id, representative): peptides (id, seq) linked at ``min_identity`` fall into one cluster.
 
-    Two peptides link if on their best diagonal (most shared k-mers) equal residues over the shorter length reach
-    ``min_identity``. The representative is the longest member of the linked component, ties by id. Labels are
-    spread along the links round by round; each round is checkpointed.
+    Letters count without case. Equal sequences link at any length. Two others link if on their best diagonal (most
+    shared k-mers) equal residues over the shorter length reach ``min_identity``; this needs ``seeds`` common k-mers.
+    The representative is the longest member of the linked component, ties by id. Components are followed to their
+    end, however long the chain of links.
     """
-    hits = _seed_pairs(seqs, seqs, k, seeds).where("a_id < b_id").groupBy("a_id", "b_id")
+    seqs = seqs.select("id", F.upper("seq").alias("seq"))
+    # one peptide stands for its exact copies, so that only different sequences are searched
+    distinct = materialize(seqs.groupBy("seq").agg(F.min("id").alias("id")))
+    copies = seqs.join(distinct.withColumnRenamed("id", "first"), "seq").where("id <> first and seq <> ''").select(F.col("first").alias("a_id"), F.col("id").alias("b_id"))
+    hits = _seed_pairs(distinct, distinct, k, seeds).where("a_id < b_id").groupBy("a_id", "b_id")
     best = hits.agg(F.max_by(F.struct("diagonal", "seeds"), F.struct("seeds", -F.col("diagonal"))).alias("d")).select("a_id", "b_id", "d.*")
-    q, s = seqs.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq")), seqs.select(F.col("id").alias("b_id"), F.col("seq").alias("sseq"))
+    q, s = distinct.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq")), distinct.select(F.col("id").alias("b_id"), F.col("seq").alias("sseq"))
     full = best.join(q, "a_id").join(s, "b_id").withColumn("shorter", F.least(F.length("qseq"), F.length("sseq")))
     full = full.where(F.col("seeds") >= 1).select("a_id", "b_id", "shorter", "diagonal", "qseq", "sseq")
     links = full.mapInArrow(_ungapped, "a_id string, b_id string, shorter int, diagonal int, same int, qlo int, overlap int")
     links = links.where(F.col("same") >= F.col("shorter") * min_identity).select("a_id", "b_id")
-    both = checkpointed(links.union(links.select("b_id", "a_id").toDF("a_id", "b_id")))
+    comps = materialize(components(links.union(copies).toDF("a", "b")))
     # a label orders members: longest first, then id
-    label = checkpointed(seqs.select("id", F.struct((-F.length("seq")).alias("n"), F.col("id").alias("rep")).alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(label, both["b_id"] == label["id"]).groupBy("a_id").agg(F.min("label").alias("other"))
-        nxt = label.join(near, label["id"] == near["a_id"], "left").select("id", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved"))
-        nxt = checkpointed(nxt)
-        label = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
-            break
-    return label.select("id", F.col("label.rep").alias("representative"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's shared checkpoint folder; on one machine without that setting, in a temporary one."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    label = F.struct((-F.length("seq")).alias("n"), F.col("id").alias("rep"))
+    member = materialize(seqs.join(comps, seqs["id"] == comps["node"], "left").select("id", "comp", label.alias("label")))
+    first = member.where("comp is not null").groupBy("comp").agg(F.min("label").alias("first"))
+    return member.join(first, "comp", "left").select("id", F.coalesce("first", "label")["rep"].alias("representative"))
