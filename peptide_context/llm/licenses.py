@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +108,27 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: SPDX ids of the long licences; the files of ``license_texts`` hold the texts. Where a licence comes as "only" and "or
+#: later", the text is the same and does not say which.
+LONG = {
+    "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only",
+    "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only",
+    "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+}
+END = "END OF TERMS AND CONDITIONS"
+
+
+def long_licences() -> list[tuple[str, str]]:
+    """(licence id, text) of ``LONG``: each text whole, and without the appendix that follows its terms; both also with a
+    line for each paragraph, as taking out copyright lines depends on where lines end. Read by the driver."""
+    found = []
+    for name, spdx in LONG.items():
+        text = (Path(__file__).with_name("license_texts") / f"{name}.txt").read_text(encoding="utf-8")
+        for form in {text, text[: text.index(END) + len(END)] if END in text else text}:
+            found += [(spdx, form), (spdx, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", form))]
+    return found
+
+
 #: A line that says who holds the copyright, after lower-casing; a wrapped line of a licence that goes on with the
 #: word ("copyright holders be liable") is none.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|by |:|[^\n]*[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*"
@@ -127,8 +151,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Rows (digest, license_id), one a digest: the same normalisation as for documents, run by Spark."""
-    rows = spark.createDataFrame(known or KNOWN, "license_id string, text string")
+    """Rows (digest, license_id), one a digest: the same normalisation as for documents, run by Spark. Without ``known``:
+    the short and the long licences."""
+    rows = spark.createDataFrame(known or KNOWN + long_licences(), "license_id string, text string")
     return rows.select(F.md5(canonical(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
