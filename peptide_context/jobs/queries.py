@@ -93,11 +93,15 @@ def _positives(s, d):
 
 
 def _labelled(s, d):
-    """(id, label, features): labelled documents as mature, pro and precursor sequences, with vectors as M6."""
+    """(id, label, features): labelled documents as mature and precursor sequences, whole, as q_predict_peptides scores
+    them; pro regions where define_regions finds one; vectors as M6."""
     labels = A.table(s, d, "labels").select(F.col("doc_id").alias("n"), F.col("quality").alias("label"))
     rows = A.proteins(s, d).join(labels, "n").where("label is not null")
     vec = A.table(s, d, "embeddings").select(F.concat(F.lit("P"), "vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
-    rows = rows.select("id", "label", F.substring("seq", 1, 40).alias("mature_seq"), F.substring("seq", 41, 60).alias("pro_seq"), F.col("seq").alias("precursor_seq"))
+    pro = _regions(s, d).where("pro_start > 0").groupBy(F.col("precursor_id").alias("id")).agg(F.min_by(F.struct("pro_start", "pro_end"), "peptide_id").alias("pro"))
+    rows = rows.join(pro, "id", "left")
+    pro_seq = F.coalesce(F.substring("seq", F.col("pro.pro_start"), F.col("pro.pro_end") - F.col("pro.pro_start") + 1), F.lit(""))
+    rows = rows.select("id", "label", F.col("seq").alias("mature_seq"), pro_seq.alias("pro_seq"), F.col("seq").alias("precursor_seq"))
     return D.method_features(E.merge_embeddings(rows, [(vec, "m6p_", 64)]))
 
 
@@ -479,17 +483,17 @@ def logreg(s, d):
 def random_forest(s, d):
     rows = _labelled(s, d)
     cols = D.cumulative_columns(rows.columns, "M1")
-    return L.scored(L.fit(rows, cols, "rf", trees=30), rows, cols).select("id", "label", "score")
+    return L.scored(L.fit(rows, cols, "rf"), rows, cols).select("id", "label", "score")
 
 
 @query
 def ablation(s, d):
-    return L.ablation(_labelled(s, d), cv=3, kind="logreg")
+    return L.ablation(_labelled(s, d))
 
 
 @query
 def train_models(s, d):
-    return L.train_models(_labelled(s, d), cv=2, kind="logreg")[2]
+    return L.train_models(_labelled(s, d))[2]
 
 
 @query
