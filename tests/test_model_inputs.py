@@ -19,14 +19,14 @@ def test_labelled_sequences_are_whole(spark, monkeypatch):
     monkeypatch.setattr(A, "table", lambda s, d, name: tables[name])
     monkeypatch.setattr(Q, "_regions", lambda s, d: regions)
     got = {r["id"]: r for r in Q._labelled(spark, "").collect()}
-    assert got["P1"]["m1_length"] == len(seq) and got["P2"]["m1_length"] == 50
-    assert got["P1"]["m2pro_length"] == 240 and got["P2"]["m2pro_length"] == 0 and got["P1"]["m6p_63"] == 1.0
+    assert got["P1"]["m1_len"] == len(seq) and got["P2"]["m1_len"] == 50
+    assert got["P1"]["m2pro_len"] == 240 and got["P2"]["m2pro_len"] == 0 and got["P1"]["m6p_63"] == 1.0
 
 
 @pytest.mark.parametrize("name,call", [("ablation", "ablation"), ("train_models", "train_models"), ("random_forest", "fit")])
 def test_registered_defaults(monkeypatch, name, call):
     class Rows:
-        columns = ["id", "label", "m1_length"]
+        columns = ["id", "label", "m1_len"]
 
     class Stop(Exception):
         pass
