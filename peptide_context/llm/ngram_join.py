@@ -13,19 +13,21 @@ share rarely are prefix tokens.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_or_empty
+from .common import components, materialize, small_side, text_or_empty
 from .hashing import mix, shingle_sets
 
 NUM, DEN = 4, 5  # links reach a Jaccard similarity of NUM / DEN
 SHINGLE = 5
 BUCKET_BITS = 20  # hash buckets whose frequency orders tokens
+CHUNK = 1024  # buckets a row of counts
 WORDS = 32  # 64-bit words of a bitmap
 ROUNDS = 2  # of one pair a node, before all pairs that are left
 FEW = 1_000_000  # node ids that a filter may broadcast: 8 MB; more are joined by shuffle
@@ -49,8 +51,8 @@ def _sets_of(batch: pa.RecordBatch, column: int, shingle: int) -> Iterator[tuple
 
 
 def _survey(shingle: int):
-    """A row (0, doc_id, n, node, bits) a document; rows (1, bucket, count) of a task's frequent hash buckets."""
-    names = ["kind", "id", "n", "node", "bits"]
+    """A row (0, doc_id, n, node, bits) a document; rows (1, chunk, counts) of all hash buckets that a task has seen."""
+    names = ["kind", "id", "n", "node", "bits", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
@@ -63,18 +65,30 @@ def _survey(shingle: int):
                 bits.append(np.frombuffer(bitmap(s), np.int64) if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             yield pa.record_batch(
-                [pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
+                [pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(ids), pa.binary())],
                 names,
             )
-        hot = np.flatnonzero(counts > max(5, 4 * counts.mean()))
-        k = len(hot)
+        chunks = counts.reshape(-1, CHUNK)
+        full = np.flatnonzero(chunks.any(axis=1))
+        k = len(full)
+        packed = [zlib.compress(chunks[i].tobytes(), 1) for i in full]
         yield pa.record_batch(
-            [pa.array([1] * k, pa.int32()), pa.array(hot, pa.int64()), pa.array(counts[hot]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64()))], names
+            [pa.array([1] * k, pa.int32()), pa.array(full, pa.int64()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array(packed, pa.binary())],
+            names,
         )
 
     return run
 
 
+def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a chunk over all tasks."""
+    total = np.zeros(CHUNK, dtype=np.int64)
+    for batch in batches:
+        for packed in batch.column(1).to_pylist():
+            total += np.frombuffer(zlib.decompress(packed), np.int64)
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["id", "counts"])
+
+
 def prefix(tokens: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """The first n - ceil(n * NUM / DEN) + 1 tokens, rare buckets first, then by hash."""
     k = len(tokens) - (len(tokens) * NUM + DEN - 1) // DEN + 1
@@ -213,19 +227,18 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    survey = materialize(texts.mapInArrow(_survey(shingle), "kind int, id long, n long, node long, bits array<long>"))
+    survey = materialize(texts.mapInArrow(_survey(shingle), "kind int, id long, n long, node long, bits array<long>, counts binary"))
     frequency = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
-    for r in survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**20 buckets
-        frequency[r["id"]] = min(r["n"], 2**31 - 1)
+    for r in survey.where("kind = 1").select("id", "counts").groupBy("id").applyInArrow(_add, "id long, counts binary").toLocalIterator():
+        frequency[r["id"] * CHUNK :][:CHUNK] = np.minimum(np.frombuffer(r["counts"], np.int64), 2**31 - 1)
     rows = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "node", "bits")
     some = rows.where("n > 0 and doc_id is not null")
     nodes = materialize(some.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")))
 
-    found = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(shingle, spark.sparkContext.broadcast(frequency.tobytes())), "token long, node long, n int, pos int")
-    by = Window.partitionBy("token").orderBy("node")
-    all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = found.withColumn("lead", F.min("node").over(all_)).withColumn("top", F.max("node").over(all_)).withColumn("prev", F.lag("node").over(by))
-    shared = materialize(shared.where("lead < top and (prev is null or prev <> node)").select("token", "node", "n", "pos", "lead"))
+    found = materialize(texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(shingle, spark.sparkContext.broadcast(frequency.tobytes())), "token long, node long, n int, pos int"))
+    ends = found.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top")
+    shared = found.join(small_side(materialize(ends.select("token", "lead"))), "token").dropDuplicates(["token", "node"])
+    shared = materialize(shared.select("token", "node", "n", "pos", "lead"))
 
     # groups: every node against the leader it shares most prefix tokens with
     votes = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))

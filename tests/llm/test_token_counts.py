@@ -1,0 +1,21 @@
+"""Token-order statistics of the n-gram join."""
+
+import pytest
+
+join = pytest.importorskip("peptide_context.llm.ngram_join")
+
+
+def test_thinly_spread_tokens_count(spark, monkeypatch):
+    np = pytest.importorskip("numpy")
+    seen, whole = [], join._prefixes
+
+    def prefixes(shingle, frequency):
+        seen.append(np.frombuffer(frequency.value, np.int32))
+        return whole(shingle, frequency)
+
+    monkeypatch.setattr(join, "_prefixes", prefixes)
+    rows = [(i, f"one two three four five six own{i} text{i}") for i in range(24)]
+    got = join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()
+    # four shingles a text; the two that all share are in two texts a task
+    assert seen[0].sum() == 24 * 4 and sorted(seen[0])[-2:] == [24, 24]
+    assert all(r["component_id"] == r["doc_id"] for r in got)
