@@ -7,93 +7,158 @@ against the histogram of lengths, rounded down, and what is left is packed greed
 
 from __future__ import annotations
 
-import re
+import json
+import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rank_within
+from .common import materialize, rank_within, small_side
 
 WINDOW = 2048
 END_ID = 1
-_CUT = re.compile(r"[ \n\t\r]+")
+TEXT_BYTES = 12 << 20  # of texts that a task holds as words at a time
+#: ASCII marks that the vocabulary takes as one run behind a word; the apostrophe may start a part of its own.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_STEM = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+$"
 
 
-class _WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers. Forgets all when ``most`` words are held.
+def _spans(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """pool[start : start + length] of all spans, one after the other."""
+    end = np.cumsum(length)
+    return pool[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + length, length)]
 
-    A word of Latin letters before a comma or full stops is put together from its lower-case letters' ids and the
+
+class _Words:
+    """Ids of the distinct words of a batch.
+
+    A word of Latin letters and marks behind them is put together from its lower-case letters' ids and the
     marks' ids, as the vocabulary lowers case and splits letters from marks. Such letters need no normalising and
-    go to the merges directly, spelt in the vocabulary's byte alphabet.
+    go to the merges directly, spelt in the vocabulary's byte alphabet, many at a time. Any other word is encoded as it is.
+    Stems that a batch needs twice are kept for the next one.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.merges = self.tokenizer.model
+        self.plain = Tokenizer.from_file(path)
+        parts = json.loads(self.plain.to_str())
+        split = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        latin = [c for c in map(chr, range(0x130)) if c.isalpha() and c == c.lower()]
-        self.spelling = {ord(c): spell(c)[0][0] for c in latin}
-
-    def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(".,")
-        if stem and stem.isalpha() and max(stem) < "\u0130":
-            plain = stem.lower()
-            if plain != word:
-                ids = self[plain]
-                return ids if stem == word else ids + self[word[len(stem) :]]
-            found = [t.id for t in self.merges.tokenize(word.translate(self.spelling))]
-        else:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids
-        ids = np.asarray(found, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+        self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x130)) if c.isalpha() and c == c.lower()}
+        self.stems: dict[str, int] = {}  # place in the table of spans
+        self.pool, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.tails: dict[str, np.ndarray] = {}
+
+    def _learn(self, stems: list[str]) -> None:
+        pools, sizes = [self.pool], [np.diff(self.at)]
+        for i in range(0, len(stems), 20_000):
+            part = stems[i : i + 20_000]
+            found = self.merges.encode(" ".join(part).translate(self.spelling), add_special_tokens=False)
+            pools.append(np.asarray(found.ids, np.uint32))
+            sizes.append(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part)))
+        self.stems.update(zip(stems, range(len(self.at) - 1, len(self.at) - 1 + len(stems)), strict=True))
+        self.pool, self.at = np.concatenate(pools), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length): the ids of each word are ids[start : start + length]."""
+        n = len(words)
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, pattern=_STEM)
+        lower = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        names = lower.dictionary.to_pylist()
+        self._learn([x for x in names if x not in self.stems])
+        place = np.fromiter(map(self.stems.__getitem__, names), np.int64, len(names))
+        used = lower.indices.to_numpy()
+        whole = plain.to_numpy(zero_copy_only=False)
+        start, length = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        start[whole, 0], length[whole, 0] = self.at[place[used]], (self.at[place + 1] - self.at[place])[used]
+        marked = np.flatnonzero(~whole | pc.not_equal(pc.binary_length(words), pc.binary_length(stems)).to_numpy(zero_copy_only=False))
+        some = pa.array(marked)
+        tails = [w[len(s) :] if p else w for w, s, p in zip(words.take(some).to_pylist(), stems.take(some).to_pylist(), whole[marked].tolist(), strict=True)]
+        known = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        for t in known:
+            if t not in self.tails:
+                self.tails[t] = np.asarray(self.plain.encode(t, add_special_tokens=False).ids, np.uint32)
+        parts = [self.tails[t] for t in known]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        which = np.fromiter(map(known.__getitem__, tails), np.int64, len(tails))
+        start[marked, 1], length[marked, 1] = len(self.pool) + (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ids = _spans(np.concatenate([self.pool, *parts]), start.ravel(), length.ravel())
+        size = length.sum(axis=1)
+        # the next batch may need what this one needed twice
+        often = np.flatnonzero(np.bincount(used, minlength=len(names)) > 1)
+        a, k = self.at[place[often]], (self.at[place + 1] - self.at[place])[often]
+        self.stems = {names[i]: j for j, i in enumerate(often.tolist())}
+        self.pool, self.at = _spans(self.pool, a, k), np.concatenate([[0], np.cumsum(k)])
+        self.tails = {t: self.tails[t] for t, c in zip(known, np.bincount(which, minlength=len(known)).tolist(), strict=True) if c > 1}
+        return ids, np.cumsum(size) - size, size
+
+
+def _texts_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, pa.StringArray]]:
+    """(ids, texts) of slices of a batch with at most ``most`` bytes of text, or one row."""
+    texts = pc.fill_null(batch.column(1), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.column(0).slice(at, to - at), texts.slice(at, to - at)
+        at = to
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """Cuts the ids of each text, and ``end_id`` behind them, into pieces of ``window`` ids and one shorter rest.
 
-    Rows (doc_id, start, length, ids, doc_tokens); ids is binary, little-endian unsigned 32-bit. The vocabulary
-    ``word_bpe`` drops white space and never joins across it, so a text's ids are those of its words in turn,
-    and words met before are not encoded again. A null text is an empty one: a single piece with ``end_id``.
+    Rows (doc_id, start, length, ids_crc32, doc_tokens, part, at, ids); ids is binary, little-endian unsigned 32-bit,
+    and left out without ``ids``; (part, at) counts the pieces of one length in a task. The vocabulary ``word_bpe``
+    drops white space and never joins across it, so a text's ids are those of its words in turn, and each distinct word
+    of some megabytes of texts is encoded once. A null, empty or blank text is a single piece with ``end_id``; rows
+    that repeat are each cut; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
-    tail = np.asarray([end_id], dtype="<u4").tobytes()
+    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "part": pa.int64(), "at": pa.int64()}
+    kinds |= {"ids": pa.binary()} if ids else {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(tokenizer)
+        known, part, seen = _Words(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(known.__getitem__, _CUT.split(text or ""))) + tail
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    for column, value in zip(out, (doc, start, len(part) // 4, part, total), strict=True):
-                        column.append(value)
-                    size += len(part)
-                if size > 1 << 23:
-                    yield _batch(out)
-                    out, size = [[], [], [], [], []], 0
-            yield _batch(out)
-
-    def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        return pa.record_batch(
-            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"]
-        )
+            for doc, texts in _texts_of(batch, TEXT_BYTES):
+                lists = pc.ascii_split_whitespace(texts)
+                words = pc.list_flatten(lists).dictionary_encode()
+                pool, start, length = known.encode(words.dictionary)
+                code, edge = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ends = np.concatenate([[0], np.cumsum(length[code])])[edge]
+                at = 0
+                while at < len(doc):  # about a million ids at a time
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), side="right")) - 1)
+                    own = code[edge[at] : edge[to]]
+                    flat = np.insert(_spans(pool, start[own], length[own]), ends[at + 1 : to + 1] - ends[at], end_id).astype("<u4")
+                    yield pieces(doc.slice(at, to - at), np.diff(ends[at : to + 1]) + 1, flat, part, seen)
+                    at = to
+
+    def pieces(doc: pa.Array, total: np.ndarray, flat: np.ndarray, part: int, seen: np.ndarray) -> pa.RecordBatch:
+        n = -(-total // window)
+        which = np.repeat(np.arange(len(total)), n)
+        start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * window
+        size = np.minimum(total[which] - start, window)
+        first = (np.cumsum(total) - total)[which] + start
+        order = np.argsort(size, kind="stable")
+        place = np.empty(len(size), np.int64)
+        place[order] = np.arange(len(size)) - np.searchsorted(size[order], size[order]) + seen[size[order]]
+        seen += np.bincount(size, minlength=window + 1)
+        raw = flat.data.cast("B")
+        found = [raw[4 * a : 4 * (a + k)] for a, k in zip(first.tolist(), size.tolist(), strict=True)]
+        crc = np.fromiter(map(zlib.crc32, found), np.int64, len(found))
+        columns = [doc.take(pa.array(which)), *map(pa.array, (start, size, crc, total[which], np.full(len(size), part), place))]
+        return pa.record_batch(columns + ([pa.array([bytes(x) for x in found], pa.binary())] if ids else []), list(kinds))
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return read.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return read.mapInArrow(cut, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in kinds))
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:
@@ -181,7 +246,9 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, start and length (1 to ``window``); other columns stay.
 
     In a sequence the offsets run gapless from 0. Pieces of equal length are exchangeable, so the plan speaks
-    of ranks within a length; ranks are computed in parts, as one length may hold a third of all pieces. The
+    of ranks within a length. A written table with the columns (part, at) of ``token_pieces`` is ranked by them: each
+    part starts after the pieces of that length in the parts before it, so only counts by part and length are moved,
+    and the rows stay where they are. Other rows are ranked in parts of a hash, as one length may hold a third of all pieces. The
     broadcast plan has at most a few rows a length, however many pieces there are. No rows in, no rows out.
     """
     spark = pieces.sparkSession
@@ -196,22 +263,26 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             offset += length
         sequence += repeats
     plan = spark.createDataFrame(slots, "length long, _from long, _to long, _shift long, offset long")
-    ranked = rank_within(pieces.withColumn("_h", F.xxhash64("doc_id", "start")), ["length"], "_h", ["doc_id", "start"])
+    if {"part", "at"} <= set(pieces.columns):
+        before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
+        base = counts.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        ranked = pieces.join(small_side(materialize(base)), ["length", "part"]).withColumn("rank", F.col("_base") + F.col("at")).drop("_base", "part", "at")
+    else:
+        ranked = rank_within(pieces.withColumn("_h", F.xxhash64("doc_id", "start")), ["length"], "_h", ["doc_id", "start"]).drop("_h")
     return (
         ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
         .drop(plan["length"])
         .withColumn("sequence_id", F.col("rank") + F.col("_shift"))
-        .drop("rank", "_h", "_from", "_to", "_shift")
+        .drop("rank", "_from", "_to", "_shift")
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """Whole texts to packed pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, ids: bool = False) -> DataFrame:
+    """Whole texts to packed pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ``ids`` the
+    ids themselves as well. Nulls, repeats and empty tables are as in ``token_pieces``.
 
-    The checksum is taken from the ids where they are made; the ids themselves are not shuffled. A sequence's
-    padding is ``window`` less its filled length, or none if that is a power of two.
+    A sequence's padding is ``window`` less its filled length, or none if that is a power of two.
     """
-    pieces = token_pieces(docs, tokenizer, window)
-    small = materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    packed = pack_pieces(small, window)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = pack_pieces(materialize(token_pieces(docs, tokenizer, window, ids=ids)), window)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else []))

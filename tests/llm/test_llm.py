@@ -51,7 +51,6 @@ def test_packing(docs, none):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = pack_documents(docs, path, 256).toPandas()
     for i, text, *_ in corpus():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -71,13 +70,47 @@ def test_packing(docs, none):
 
 def test_packing_words():
     import public_tokenizers
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from peptide_context.llm.packing import _spans, _Words
+
+    k = _Words(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    chars = [*"abeiosStRLléÉßñÀÿªµºĳŉįİıΣσς", *"'.,!?%$#&*()<|>-_`~", *"0129", *" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003", "\u0301", "\u0327", "가", "漢", "🙂", "'s", "'LL", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["Émile's ÀÉ don't stop, now...", "İstanbul ΣΑΣ x́y ẞ ª º", "<|endoftext|> a,. 12a3", "a b\x1cc d", "", "  ", "x" * 5000 + "!" * 300]
+    texts += ["".join(rng.choice(chars) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    for at in range(0, len(texts), 1500):
+        lists = pc.ascii_split_whitespace(pa.array(texts[at : at + 1500]))
+        words = pc.list_flatten(lists).dictionary_encode()
+        pool, start, length = k.encode(words.dictionary)
+        code, edge = words.indices.to_numpy(), lists.offsets.to_numpy()
+        for i, text in enumerate(texts[at : at + 1500]):
+            own = code[edge[i] : edge[i + 1]]
+            assert _spans(pool, start[own], length[own]).tolist() == k.plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_rows(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    from peptide_context.llm.packing import _CUT, _WordIds
+    from peptide_context.llm.packing import pack_documents
 
-    k = _WordIds(public_tokenizers.path("word_bpe_49k.json"), most=3)
-    for text in ["Émile's ÀÉ don't stop, now...", "İstanbul ΣΑΣ x́y ẞ ª º", "<|endoftext|> a,. 12a3", "a b\x1cc d"]:
-        got = np.frombuffer(b"".join(k[w] for w in _CUT.split(text)), "<u4").tolist()
-        assert got == k.tokenizer.encode(text, add_special_tokens=False).ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, "the same row", 5), (1, "the same row", 5), (None, "no id", 0), (None, None, 0), (2, long, 1), (3, " \n", 2)] + [(10 + k, "tie tie", 0) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank long").withColumn("part", F.lit(1)).withColumn("at", F.lit(1)).withColumn("_base", F.lit(1))
+    got = pack_documents(df.repartition(3), path, 64, ids=True).collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+    want = Counter((i, s, len(ids[s : s + 64])) for i, text, _ in rows for ids in [[*t.encode(text or "", add_special_tokens=False).ids, 1]] for s in range(0, len(ids), 64))
+    assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == want
+    own = sorted((r["start"], r["ids"]) for r in got if r["doc_id"] == 2)
+    assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == [*t.encode(long, add_special_tokens=False).ids, 1]
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1].tolist()] and sum(n for _, n in p) <= 64 for p in places.values())
 
 
 def test_mixing(docs, none):
