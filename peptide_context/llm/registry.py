@@ -115,9 +115,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
+    left = remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", (F.col("n_removed") > 0).alias("changed"), "n_removed", "n_spans", "n_bytes", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+    )
 
 
 @register

@@ -1,17 +1,21 @@
-"""Removal of repeated byte passages: a depth-limited radix order of suffixes.
+"""Removal of repeated byte passages: a depth-limited radix order of suffixes, by families of suffixes.
 
-Suffixes are told apart by most-significant-digit passes that stop at the threshold: suffixes that still share a
-group after ``LENGTH`` bytes are exactly the repeated windows. A digit is a run of bytes, its bucket the digit's
-hash, and a pass goes on only with buckets that hold two suffixes or more.
+Sorting every suffix by most-significant digits moves a row for each byte of text in each pass: at 12 bytes a row some
+20 times the stored input, five times what the check tool allows. So suffixes are put into families first, and it
+is families that are passed on digit by digit; only what is left in the end is told apart start by start. Groups that are
+still equal after ``LENGTH`` bytes are exactly the repeated windows, as in the full order.
 
-The first digit is chosen by content. Of the 64-byte grams of a window of 400 bytes, the one with the least hash
-(leftmost in a tie) is its anchor; equal windows have equal anchors at equal places. So suffixes are sorted in
-families: all starts whose window has the same anchor. Pass 1 drops families whose anchor gram is unique. Pass 2
+A family is chosen by content. Of the 64-byte grams of a window of 400 bytes, the one with the least hash
+(leftmost in a tie) is its anchor; equal windows have equal anchors at equal places. A family is all starts whose
+window has the same anchor. A digit is a run of bytes, its bucket the digit's hash, and a pass goes on only with buckets
+that hold two or more. Pass 1 drops families whose anchor gram is unique. Pass 2
 looks at the family's whole stretch of bytes: one that repeats settles all starts of its families at once, and one
 of them stands for all from there on; and at 232 bytes to the right of, and to the left of, the anchor, as every
-window of the family holds one of the two.
-Pass 3 takes the starts 32 at a time: their windows have 369
+window of the family holds one of the two. Pass 3 takes the starts 32 at a time: their windows have 369
 bytes in common. Pass 4 hashes the full 400 bytes of each start that is left.
+
+Long texts are hashed in segments; a family that lies across two of them is two families, which costs a pass more and
+changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .common import materialize, small_side, text_or_empty
 from .hashing import prefix_hash, sliding_argmin, span_hash
 
 LENGTH, GRAM, STEP = 400, 64, 32
+SEGMENT = 1 << 18  # starts of a text that are hashed at a time
 
 
 def families(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -46,29 +51,32 @@ def families(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
 
 def _anchors(length: int, gram: int):
     side = (length - gram) // 2  # a window reaches at least so far left of its anchor, or far enough to the right
+    reach = length - side
     names = ["doc_id", "rk", "a", "s0", "s1", "g", "right", "left", "f1", "f2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
         size = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for doc, rk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
-                if len(data) < length:
-                    continue
-                h, g, a, s0, s1 = families(data, length, gram)
-                h2 = prefix_hash(data, 5)
-                reach = length - side
-                right = span_hash(h, a, np.minimum(a + reach, len(data)), 21)
-                left = span_hash(h, np.maximum(a - side, 0), a + gram, 22)
-                place = (a - s0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                f1, f2 = span_hash(h, s0, s1 + length, 23) + place, span_hash(h2, s0, s1 + length, 24) ^ place
-                ids = np.full(len(a), doc, dtype=np.int64)
-                out.append([ids, np.full(len(a), rk, np.int64), a, s0, s1, *(x.view(np.int64) for x in (g[a], right, left, f1, f2))])
-                size += len(a)
-                if size > 20_000:
-                    yield _batch(out)
-                    out, size = [], 0
+                for at in range(0, len(data) - length + 1, SEGMENT):
+                    own = data[at : at + SEGMENT + length - 1]
+                    h, g, a, s0, s1 = families(own, length, gram)
+                    h2 = prefix_hash(own, 5)
+                    place = (a - s0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    f1, f2 = span_hash(h, s0, s1 + length, 23) + place, span_hash(h2, s0, s1 + length, 24) ^ place
+                    off = min(at, side)  # the digits beside the anchor reach beyond the segment
+                    wide = data[at - off : at + SEGMENT + length + reach]
+                    h, w = h if len(wide) == len(own) else prefix_hash(wide), a + off
+                    right = span_hash(h, w, np.minimum(w + reach, len(wide)), 21)
+                    left = span_hash(h, np.maximum(w - side, 0), w + gram, 22)
+                    ids = np.full(len(a), doc, dtype=np.int64)
+                    out.append([ids, np.full(len(a), rk, np.int64), a + at, s0 + at, s1 + at, *(x.view(np.int64) for x in (g[a], right, left, f1, f2))])
+                    size += len(a)
+                    if size > 20_000:
+                        yield _batch(out)
+                        out, size = [], 0
         if out:
             yield _batch(out)
 
@@ -85,6 +93,14 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _segments(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, off, to): the spans [first, last) in groups that lie in one short stretch [off, to) of the text each."""
+    which = first // SEGMENT
+    for k in np.unique(which):
+        rows = np.flatnonzero(which == k)
+        yield rows, int(first[rows].min()), int(last[rows].max())
+
+
 def _cores(length: int, step: int):
     """Splits ranges of starts by their distance to the anchor into parts of ``step``, and hashes what the windows of
     a part have in common (c) and the part's whole stretch (e)."""
@@ -103,12 +119,13 @@ def _cores(length: int, step: int):
                 low, high = np.maximum(lo[which], a[which] - part * step - step + 1), np.minimum(hi[which], a[which] - part * step)
                 start = a[which] - part * step
                 end = start - step + 1 + length
-                h, h2 = prefix_hash(data), prefix_hash(data, 5)
                 place = (a[which] - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                hashes = [
-                    span_hash(h, start, end, 41), span_hash(h2, start, end, 42),
-                    span_hash(h, low, high + length, 43) + place, span_hash(h2, low, high + length, 44) ^ place,
-                ]
+                hashes = [np.empty(len(part), np.uint64) for _ in range(4)]
+                for rows, off, to in _segments(np.minimum(start, low), np.maximum(end, high + length)):
+                    h, h2 = prefix_hash(data[off:to]), prefix_hash(data[off:to], 5)
+                    s, e, u, v = start[rows] - off, end[rows] - off, low[rows] - off, high[rows] + length - off
+                    hashes[0][rows], hashes[1][rows] = span_hash(h, s, e, 41), span_hash(h2, s, e, 42)
+                    hashes[2][rows], hashes[3][rows] = span_hash(h, u, v, 43) + place[rows], span_hash(h2, u, v, 44) ^ place[rows]
                 ids = [np.full(len(part), doc, np.int64), np.full(len(part), rk, np.int64)]
                 out.append([*ids, part, low, high, *(x.view(np.int64) for x in hashes)])
             if out:
@@ -123,15 +140,17 @@ def _windows(length: int):
             for doc, rk, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
                 s = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges]))
-                w1 = span_hash(prefix_hash(data), s, s + length, 31).view(np.int64)
-                w2 = span_hash(prefix_hash(data, 5), s, s + length, 32).view(np.int64)
-                for at in range(0, len(s), 50_000):
-                    part = slice(at, at + 50_000)
-                    n = len(s[part])
-                    yield pa.record_batch(
-                        [pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, rk, np.int64)), pa.array(s[part]), pa.array(w1[part]), pa.array(w2[part])],
-                        ["doc_id", "rk", "s", "w1", "w2"],
-                    )
+                for rows, off, to in _segments(s, s + length):
+                    at = s[rows] - off
+                    w1 = span_hash(prefix_hash(data[off:to]), at, at + length, 31).view(np.int64)
+                    w2 = span_hash(prefix_hash(data[off:to], 5), at, at + length, 32).view(np.int64)
+                    for i in range(0, len(at), 50_000):
+                        part = slice(i, i + 50_000)
+                        n = len(at[part])
+                        yield pa.record_batch(
+                            [pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, rk, np.int64)), pa.array(at[part] + off), pa.array(w1[part]), pa.array(w2[part])],
+                            ["doc_id", "rk", "s", "w1", "w2"],
+                        )
 
     return run
 
@@ -140,12 +159,12 @@ def cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, by
     """(bytes removed, maximal runs removed, bytes kept) without the union of [start, end)."""
     if not len(starts):
         return 0, 0, data
-    change = np.zeros(len(data) + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+    first, last = starts[new], ends[np.append(new[1:] - 1, len(ends) - 1)]
+    kept = b"".join(data[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(data)], strict=True))
+    return int((last - first).sum()), len(new), kept
 
 
 def _finish(length: int):
@@ -179,7 +198,7 @@ def _finish(length: int):
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as Zstandard frames: half of what a shuffle would else move."""
     pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in _slices(batches):
         z = [pack.compress(x.encode()) for x in batch.column(2).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["doc_id", "rk", "z"])
 
@@ -206,7 +225,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     read = read.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
     schema = "doc_id long, rk long, a long, s0 long, s1 long, g long, right long, left long, f1 long, f2 long"
     anchors = materialize(read.mapInArrow(_anchors(length, gram), schema))
-    twice = anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # counts are written before they are joined: a plain join of two tables is one whose hot keys Spark deals anew
+    twice = materialize(anchors.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     open_ = materialize(anchors.join(twice, "g").drop("g"))
     side = (length - gram) // 2
     # families with the same stretch are one class: with two members all their starts repeat, and one of them
@@ -219,7 +239,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     digits = classes.select((F.col("n") == 1).cast("int").alias("alone"), "m.*")
     digits = digits.select("doc_id", "rk", "a", "s0", "s1", "alone", F.explode(keys).alias("k")).select("doc_id", "rk", "a", "s0", "s1", "alone", "k.*")
     shared = digits.groupBy("kind", "k").agg(F.count("*").alias("n"), F.sum("alone").alias("alone")).where("n > 1 and alone > 0")
-    state = digits.drop("alone").join(shared.select("kind", "k"), ["kind", "k"])
+    state = digits.drop("alone").join(materialize(shared.select("kind", "k")), ["kind", "k"])
     lo = F.when(F.col("kind") == 1, F.greatest("s0", F.col("a") - side)).otherwise(F.col("s0"))
     hi = F.when(F.col("kind") == 1, F.col("s1")).otherwise(F.least("s1", F.col("a") - side - 1))
     left = state.select("doc_id", "rk", "a", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
@@ -237,11 +257,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     again = parts.join(stretches.where("n > 1").select(*core, "e1", "e2"), [*core, "e1", "e2"])
     settled = settled.union(again.select("doc_id", "rk", F.struct("lo", "hi").alias("r")))
     mixed = stretches.groupBy(*core).agg(F.count("*").alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
-    left = stretches.join(mixed.where("k > 1 and alone > 0").select(*core), core).select("m.*")
+    left = stretches.join(materialize(mixed.where("k > 1 and alone > 0").select(*core)), core).select("m.*")
     windows = materialize(
         _with_texts(read, left, ["lo", "hi"]).mapInArrow(_windows(length), "doc_id long, rk long, s long, w1 long, w2 long")
     )
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     starts = windows.join(again, ["w1", "w2"]).groupBy("doc_id", "rk").agg(F.collect_set("s").alias("starts"))
     spans = settled.groupBy("doc_id", "rk").agg(F.collect_set("r").alias("spans"))
     spans = spans.join(starts, ["doc_id", "rk"], "full")
