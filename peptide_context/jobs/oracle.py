@@ -96,7 +96,7 @@ final("gene_symbol", "hits", f"SELECT qseqid, sseqid, ord, {SYMBOL} AS gene_symb
 final("unique_precursors", "best", "SELECT sseqid AS id, replace(arg_min(full_sseq, ord), '-', '') AS seq FROM best GROUP BY sseqid")
 KMERS = "SELECT id, i, substring(seq, i + 1, 5) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - 4)) AS i FROM {0} WHERE length(seq) >= 5)"
 step("seeds", "peptides proteins", f"""SELECT a, b, d, count(*) AS seeds FROM (SELECT x.id AS a, y.id AS b, y.i - x.i AS d
-  FROM ({KMERS.format("peptides")}) x JOIN ({KMERS.format("proteins")}) y ON x.k = y.k) GROUP BY a, b, d HAVING count(*) >= 2""")
+  FROM ({KMERS.format("peptides")}) x JOIN ({KMERS.format("proteins")}) y ON x.k = y.k) JOIN (SELECT id AS own, length(seq) AS n FROM peptides) ON own = a GROUP BY a, b, d, n HAVING count(*) >= least(2, n - 4)""")
 step("diagonal", "seeds", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY seeds DESC, d) AS k FROM seeds) WHERE k = 1")
 step("aligned", "diagonal peptides proteins", """SELECT a, b, d, seeds, q.seq AS x, t.seq AS y, greatest(0, -d) AS lo, least(length(q.seq), length(t.seq) - d) AS hi
   FROM diagonal JOIN peptides q ON q.id = a JOIN proteins t ON t.id = b""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,42 +12,34 @@ from ..functions.constants import AMINO_ACIDS, FLANK, HYDROPATHY, POSITION_LABEL
 from ..functions.sequences import count_of, full_window, logistic, seeded_rank_key, site_window
 
 
-def scan_cleavage(precursors: DataFrame, motifs: list[tuple[str, str, str, int, int]] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
-    """Cut sites of motifs of fixed width on proteins (id, seq): leftmost non-overlapping matches of each motif.
+def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
+    """Cut sites of motifs on proteins (id, seq): leftmost non-overlapping matches of each motif (enzyme, role, pattern,
+    cut offset, ..), patterns in Python's syntax.
 
     (precursor_id, enzyme, role, bond, p1_residue, window, window8, seq_len, motif_ord, score): the bond lies behind
-    residue ``bond``, 1 <= bond < length. Matches are marked in the sequence by one replacement a motif, as wide as
-    the match, and the marks exploded; sites carry their windows, so nothing is joined back. Score is 1.
+    residue ``bond``, 1 <= bond < length. Only bonds are exploded, never residues; sites carry their windows, so nothing
+    is joined back. Score is 1. Null sequences have no sites.
     """
-    marked = [
-        F.struct(
-            F.lit(n).alias("motif_ord"), F.lit(enzyme).alias("enzyme"), F.lit(role).alias("role"), F.lit(offset).alias("offset"),
-            F.regexp_replace("seq", pattern, "@" + "_" * (width - 1)).alias("m"),
-        )
-        for n, (enzyme, role, pattern, offset, width) in enumerate(motifs)
-    ]
-    rows = precursors.select(F.col("id").alias("precursor_id"), "seq", F.explode(F.array(*marked)).alias("k"))
-    sites = rows.where(F.contains("k.m", F.lit("@"))).select("precursor_id", "seq", "k.*")
-    sites = sites.select("precursor_id", "seq", "motif_ord", "enzyme", "role", "offset", F.posexplode(F.split("m", "")).alias("i", "c")).where("c = '@'")
-    return _site_columns(sites.withColumn("bond", F.col("i") + F.col("offset")), flank)
-
-
-def scan_cleavage_regex(precursors: DataFrame, motifs: list[tuple[str, str, str, int]], flank: int = FLANK) -> DataFrame:
-    """``scan_cleavage`` for patterns of any width, in Python's syntax: (enzyme, role, pattern, cut offset)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(n, e, r, re.compile(p), o) for n, (e, r, p, o) in enumerate(motifs)]
-        for batch in batches:
-            rows = []
-            for pid, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n, enzyme, role, pattern, offset in compiled:
-                    rows += [(pid, seq, n, enzyme, role, m.start() + offset) for m in pattern.finditer(seq)]
-            names = ["precursor_id", "seq", "motif_ord", "enzyme", "role", "bond"]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    schema = "precursor_id string, seq string, motif_ord int, enzyme string, role string, bond int"
-    return _site_columns(precursors.select(F.col("id").cast("string"), "seq").where("seq is not null").mapInArrow(run, schema), flank)
+    patterns = [(p, o) for _, _, p, o, *_ in motifs]
+
+    @F.arrow_udf("array<struct<motif_ord:int,bond:int>>")
+    def matches(seqs: pa.Array) -> pa.Array:
+        compiled = [(n, re.compile(p), o) for n, (p, o) in enumerate(patterns)]
+        motif, bond, ends = [], [], [0]
+        for seq in seqs:
+            text = seq.as_py() or ""
+            for n, pattern, offset in compiled:
+                found = [m.start() + offset for m in pattern.finditer(text)]
+                bond += found
+                motif += [n] * len(found)
+            ends.append(len(bond))
+        rows = pa.StructArray.from_arrays([pa.array(motif, pa.int32()), pa.array(bond, pa.int32())], ["motif_ord", "bond"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("motif_ord") + 1)
+    found = precursors.select(F.col("id").alias("precursor_id"), "seq", matches("seq").alias("k"))
+    sites = found.select("precursor_id", "seq", F.explode("k").alias("k")).select("precursor_id", "seq", "k.*")
+    return _site_columns(sites.withColumn("enzyme", name(0)).withColumn("role", name(1)), flank)
 
 
 def _site_columns(sites: DataFrame, flank: int) -> DataFrame:

@@ -32,13 +32,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
+    """``df`` to be broadcast if it is small, else as it is, to be joined by shuffle.
+
+    Small is at most ``most`` rows, or a sum of the column ``weight`` (the lengths of its arrays, say) of at most
+    that: some tens of MB. ``df`` should be a written table of few columns. It is counted, never assumed.
+    """
+    size = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] if weight is not None else df.limit(most + 1).count()
+    return F.broadcast(df) if size <= most else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, comp), comp the smallest node reached.
 
     Alternates the large-star and small-star steps of map-reduce connected components until the sum of the
     links stays the same; every round is a written table, so no lineage piles up. Nodes without an edge are
-    not returned. Both steps group by one node but only keep its minimum, so a node with very many links
-    is pre-aggregated and joined, never gathered.
+    not returned. Both steps group by one node but only keep its minimum, which is aggregated before the shuffle; the minima
+    go back to the links by broadcast if they are few, else by a plain join of two tables, whose hot keys Spark deals anew.
     """
     spark = edges.sparkSession
     e = materialize(
@@ -49,13 +59,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = small_side(materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
         # large star: every larger neighbour of u is linked with the least node around u
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = materialize(large.where("u <> v").distinct())
         # small star: every smaller neighbour of u, and u, are linked with the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(small_side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")

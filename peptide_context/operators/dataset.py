@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ENZYME_FIELDS, LOCUS_FIELDS
-from ..functions.sequences import aa_composition, seeded_rank_key, seq_stats
+from ..functions.sequences import aa_composition, residue_counts, seeded_rank_key, seq_stats
 
 LEVELS = ["M1", "M2", "M3", "M4", "M5", "M6"]
 _PREFIXES = {"M1": ("m1_",), "M2": ("m2pro_", "m2_"), "M3": ("m3prec_", "m3_"), "M6": ("m6p_", "m6g_")}
@@ -72,11 +72,14 @@ def method_features(dataset: DataFrame, keep: tuple[str, ...] = ("id", "label"))
     have = set(dataset.columns)
     text = lambda c: F.col(c) if c in have else F.lit("")
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
-    return dataset.select(
+    # residues are counted once a sequence; all statistics come from the counts
+    seqs = {c: F.upper(F.coalesce(text(c), F.lit(""))) for c in ("mature_seq", "pro_seq", "precursor_seq")}
+    counts = {c: F.col(f"_n_{c}") for c in seqs}
+    return dataset.withColumns({f"_n_{c}": residue_counts(x) for c, x in seqs.items()}).select(
         *[c for c in keep if c in have],
-        *seq_stats(text("mature_seq"), "m1"), *aa_composition(text("mature_seq"), "m1"),
-        *seq_stats(text("pro_seq"), "m2pro"), number("has_dibasic").alias("m2_has_dibasic"),
-        *seq_stats(text("precursor_seq"), "m3prec"), number("has_signal").alias("m3_has_signal"), number("signal_len").alias("m3_signal_len"),
+        *seq_stats(text("mature_seq"), "m1", counts["mature_seq"]), *aa_composition(text("mature_seq"), "m1", counts["mature_seq"]),
+        *seq_stats(text("pro_seq"), "m2pro", counts["pro_seq"]), number("has_dibasic").alias("m2_has_dibasic"),
+        *seq_stats(text("precursor_seq"), "m3prec", counts["precursor_seq"]), number("has_signal").alias("m3_has_signal"), number("signal_len").alias("m3_signal_len"),
         *[number(c).alias(c) for c in (*ENZYME_FIELDS, *LOCUS_FIELDS)],
         *[number(c).alias(c) for c in dataset.columns if c.startswith(_PREFIXES["M6"])],
     )

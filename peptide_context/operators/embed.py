@@ -9,22 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import kmers, md5_bucket
-
-
-def kmer_vectors(df: DataFrame, seq: str = "seq", dim: int = 32, k: int = 2, out: str = "vec", key: str = "id") -> DataFrame:
-    """Adds the k-mer embedding of ``seq`` as an array column, rows being told apart by ``key``.
-
-    k-mers are counted by bucket through an aggregate that combines before its shuffle: a text of any length costs
-    one digest a k-mer and at most ``dim`` shuffled rows.
-    """
-    grams = df.select(key, F.explode(kmers(F.upper(F.coalesce(seq, F.lit(""))), k)).alias("m"))
-    kinds = grams.groupBy(key, "m").agg(F.count("*").alias("n"))
-    counts = kinds.groupBy(key, md5_bucket(F.col("m"), dim).alias("b")).agg(F.sum("n").cast("double").alias("n"))
-    per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("c"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    vec = F.transform(places, lambda i: F.coalesce(F.try_element_at("c", i) / F.col("norm"), F.lit(0.0)))
-    return df.join(per, key, "left").withColumn(out, vec).drop("c", "norm")
+from ..functions.sequences import kmer_vector
+
+
+def kmer_vectors(df: DataFrame, seq: str = "seq", dim: int = 32, k: int = 2, out: str = "vec") -> DataFrame:
+    """Adds the k-mer embedding of the upper-cased ``seq`` as an array column. No row is moved or split."""
+    return df.withColumn(out, kmer_vector(F.upper(seq), dim, k))
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], seq: str = "seq", key: str = "id", batch: int = 256) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import gene_symbol, kmers
-from .components import components, materialize
+from .components import components, materialize, small_side
 
 
 def clean_peptides(seqs: DataFrame) -> DataFrame:
@@ -65,18 +65,21 @@ def _ungapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ).append_column("overlap", pa.array(length, pa.int32()))
 
 
-def _seed_pairs(a: DataFrame, b: DataFrame, k: int, least: int, salts: int = 16) -> DataFrame:
-    """(a_id, b_id, diagonal, seeds) of sequence pairs that share at least ``least`` k-mers on a diagonal.
+def _seed_pairs(a: DataFrame, b: DataFrame, k: int, least: int) -> DataFrame:
+    """(a_id, b_id, diagonal, seeds) of sequence pairs that share at least ``least`` k-mers on a diagonal, or all k-mers
+    of the first sequence if it has fewer.
 
-    A k-mer's rows on the query side are dealt over ``salts`` and the target side is repeated for each, so that a
-    frequent k-mer is no hot task; pairs are counted before their sequences are fetched.
+    Of b only k-mers that a has are kept; a's are broadcast if they are few, and then b is not moved at all. Beyond that
+    both are tables joined by shuffle, whose hot keys Spark deals anew. Pairs are counted before sequences are fetched.
     """
-    left = a.select(F.col("id").alias("a_id"), F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer"))
-    left = left.withColumn("salt", F.pmod(F.xxhash64("a_id"), F.lit(salts)).cast("int"))
+    left = a.select(F.col("id").alias("a_id"), F.length("seq").alias("n"), F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer"))
+    left = materialize(left.select("a_id", "i", "kmer", F.least(F.lit(least), F.col("n") - k + 1).alias("least")))
     right = b.select(F.col("id").alias("b_id"), F.posexplode(kmers(F.col("seq"), k)).alias("j", "kmer"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = left.join(right, ["kmer", "salt"]).groupBy("a_id", "b_id", (F.col("j") - F.col("i")).alias("diagonal"))
-    return hit.agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least)
+    side = small_side(left)
+    if side is left:
+        right = materialize(right.join(small_side(materialize(left.select("kmer").distinct())), "kmer", "left_semi"))
+    hit = right.join(side, "kmer").groupBy("a_id", "b_id", (F.col("j") - F.col("i")).alias("diagonal"))
+    return hit.agg(F.count("*").alias("seeds"), F.first("least").alias("least")).where("seeds >= least").drop("least")
 
 
 def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: int = 2, max_targets: int = 5, ignore_case: bool = True) -> DataFrame:
@@ -85,7 +88,8 @@ def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: i
     A pair's best diagonal is the one with most seeds (ties: the least); identity is counted over the overlap on it.
     Returns at most ``max_targets`` rows a peptide, by equal residues, then target id: (qseqid, sseqid, diagonal,
     seeds, same, pident, length, qlen, slen, qstart, sstart). Lower-case letters count as upper-case ones unless
-    ``ignore_case`` is off. This is a stated ungapped search, not a gapped aligner.
+    ``ignore_case`` is off. A peptide needs ``seeds`` common k-mers, or all of its own if it has fewer; one shorter than
+    ``k`` finds nothing. This is a stated ungapped search, not a gapped aligner.
     """
     if ignore_case:
         peptides, proteome = (x.select("id", F.upper("seq").alias("seq")) for x in (peptides, proteome))

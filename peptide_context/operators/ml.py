@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import seeded_rank_key
+from .components import materialize
 from .dataset import LEVELS, cumulative_columns, method_features
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row (n_pos, n_neg, auc): the Mann-Whitney area with ties counted half; null if a class is empty.
+def auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """A row (n_pos, n_neg, auc) for each value of the columns ``by``, or one in all: the Mann-Whitney area with ties
+    counted half; null if a class is empty.
 
     Rows are first counted by distinct score; negatives below a score are a running sum, taken in two levels: ranges
     of scores by an approximate cut into parts, then inside each part, so no task sees all scores.
     """
+    by = list(by)
     pos = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p")
     neg = F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n")
-    by = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(pos, neg)
-    cuts = by.agg(F.percentile_approx("s", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    by = by.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("s")))).drop("cuts")
-    parts = by.groupBy("part").agg(F.sum("n").alias("n_part"))
-    before = F.coalesce(F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("base"))
-    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
+    each = scored.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(pos, neg)
+    cuts = each.groupBy(*by).agg(F.percentile_approx("s", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    part = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < F.col("s")))
+    each = each.join(F.broadcast(cuts), by or None).withColumn("part", part).drop("cuts")
+    parts = each.groupBy(*by, "part").agg(F.sum("n").alias("n_part"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*by, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), [*by, "part"])
     wins = F.sum(F.col("p") * (F.col("base") + F.col("below") + F.col("n") * 0.5))
-    total = ranked.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), wins.alias("wins"))
+    total = ranked.groupBy(*by).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), wins.alias("wins"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return total.select("n_pos", "n_neg", F.when(both, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    return total.select(*by, "n_pos", "n_neg", F.when(both, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def cv_folds(df: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -57,24 +63,25 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return rows.withColumns(scaled).select(*df.columns)
 
 
-def with_weights(df: DataFrame) -> DataFrame:
-    """Adds ``weight``: n / (2 * size of the row's class)."""
-    sizes = df.groupBy("label").agg(F.count("*").alias("_c"))
-    sizes = sizes.withColumn("weight", F.sum("_c").over(Window.partitionBy()) / (2 * F.col("_c"))).drop("_c")
-    return df.join(F.broadcast(sizes), "label")
-
-
 def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])))
 
 
+def classifier(rows: DataFrame, counts: dict[int, int], kind: str, seed: int, trees: int, l2: float):
+    """Fits rows (features, label); a row weighs n / (2 * size of its class)."""
+    n = sum(counts.values())
+    weight = F.element_at(F.create_map(*[F.lit(float(x)) for c, k in counts.items() for x in (c, n / (2 * k))]), F.col("label").cast("double"))
+    data = rows.select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    if kind == "rf":
+        return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxMemoryInMB=1024).fit(data)
+    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, n), maxIter=100).fit(data)
+
+
 def fit(df: DataFrame, cols: list[str], kind: str = "rf", seed: int = 0, trees: int = 300, l2: float = 1.0):
     """A class-weighted classifier on (label, cols): ``rf``, a forest, or ``logreg``, L2 logistic regression on
     standardised columns with a penalty of ``l2`` over the number of rows."""
-    data = vectors(with_weights(df), cols).select("features", F.col("label").cast("double").alias("label"), "weight")
-    if kind == "rf":
-        return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed).fit(data)
-    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, data.count()), maxIter=100).fit(data)
+    data = materialize(vectors(df, cols).select("features", "label"))
+    return classifier(data, {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}, kind, seed, trees, l2)
 
 
 def scored(model, df: DataFrame, cols: list[str]) -> DataFrame:
@@ -82,46 +89,76 @@ def scored(model, df: DataFrame, cols: list[str]) -> DataFrame:
     return model.transform(vectors(df, cols)).withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
 
 
-def cv_auc(df: DataFrame, cols: list[str], k: int, kind: str, seed: int, trees: int) -> float | None:
-    """Mean AUC over the folds of rows (fold, label, cols); folds without both classes are left out."""
-    found = []
-    for i in range(k):
-        train, test = df.where(F.col("fold") != i), df.where(F.col("fold") == i)
-        if train.select("label").distinct().count() < 2:
-            continue
-        value = auc(scored(fit(train, cols, kind, seed, trees), test, cols)).first()["auc"]
-        if value is not None:
-            found.append(value)
-    return sum(found) / len(found) if found else None
+class Folds:
+    """A labelled table dealt into folds: its columns as one array a row, in a written table, and the sizes of classes."""
+
+    def __init__(self, df: DataFrame, columns: list[str], k: int, seed: int):
+        rows = cv_folds(df.select("id", "label", F.array(*[F.col(c).cast("double") for c in columns]).alias("v")), k, seed)
+        rows = materialize(rows.select("label", "fold", "v"))
+        self.columns, self.sizes = columns, {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+        few = max(1, sum(self.sizes.values()) // 20_000)
+        self.rows = rows.coalesce(few) if rows.rdd.getNumPartitions() > few else rows
+        self.k = 1 + max((f for f, _ in self.sizes), default=0)
+
+    def counts(self, without: int | None = None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for (fold, label), n in self.sizes.items():
+            if fold != without:
+                out[label] = out.get(label, 0) + n
+        return out
+
+    def features(self, rows: DataFrame, cols: list[str]) -> DataFrame:
+        places = [self.columns.index(c) for c in cols]
+        whole = places == list(range(len(self.columns)))
+        v = F.col("v") if whole else F.transform(F.array(*map(F.lit, places)), lambda i: F.get("v", i))
+        return rows.select("label", "fold", array_to_vector(v).alias("features"))
+
+    def fit(self, cols: list[str], kind: str, seed: int, trees: int, l2: float = 1.0, without: int | None = None):
+        """A model on all rows, or all but one fold; null with one class."""
+        counts = self.counts(without)
+        if len(counts) < 2:
+            return None
+        rows = self.rows if without is None else self.rows.where(F.col("fold") != without)
+        return classifier(self.features(rows, cols), counts, kind, seed, trees, l2)
+
+    def cv_auc(self, sets: dict[str, list[str]], kind: str, seed: int, trees: int) -> dict[str, float | None]:
+        """Mean AUC over the folds for each named set of columns; folds without both classes are left out. The held-out
+        scores of all sets and folds are compared in one query."""
+        tests = []
+        for name, cols in sets.items():
+            for i in range(self.k if self.k > 1 else 0):
+                model = self.fit(cols, kind, seed, trees, without=i)
+                if model is not None:
+                    test = model.transform(self.features(self.rows.where(F.col("fold") == i), cols))
+                    tests.append(test.select(F.lit(name).alias("name"), "fold", "label", vector_to_array("probability")[1].alias("score")))
+        if not tests:
+            return dict.fromkeys(sets)
+        found = auc(materialize(reduce(DataFrame.union, tests)), by=("name", "fold")).where("auc is not null")
+        means = {r["name"]: r["auc"] for r in found.groupBy("name").agg(F.avg("auc").alias("auc")).collect()}
+        return {name: means.get(name) for name in sets}
 
 
 def ablation(features: DataFrame, cv: int = 5, seed: int = 0, kind: str = "rf", trees: int = 300) -> DataFrame:
     """(level, method_set, n_features, cv_roc_auc, delta_vs_prev) for the cumulative feature sets M1 to M6."""
-    spark = features.sparkSession
-    data = cv_folds(features, cv, seed).cache()
-    k = (data.agg(F.max("fold")).first()[0] or 0) + 1
     columns = [c for c in features.columns if c not in ("id", "label")]
+    sets = {level: cumulative_columns(columns, level) for level in LEVELS}
+    values = Folds(features, columns, cv, seed).cv_auc(sets, kind, seed, trees)
     rows, prev = [], None
     for n, level in enumerate(LEVELS):
-        cols = cumulative_columns(columns, level)
-        value = cv_auc(data, cols, k, kind, seed, trees) if k > 1 else None
+        value = values[level]
         delta = value - prev if value is not None and prev is not None else None
-        rows.append((n + 1, level if n == 0 else f"M1..{level}", len(cols), value, delta))
+        rows.append((n + 1, level if n == 0 else f"M1..{level}", len(sets[level]), value, delta))
         prev = value
-    data.unpersist()
-    return spark.createDataFrame(rows, "level int, method_set string, n_features int, cv_roc_auc double, delta_vs_prev double")
+    return features.sparkSession.createDataFrame(rows, "level int, method_set string, n_features int, cv_roc_auc double, delta_vs_prev double")
 
 
 def train_models(features: DataFrame, cv: int = 5, seed: int = 0, kind: str = "rf", trees: int = 300):
     """(model on M1 columns, model on all columns, metrics table): metrics are rows (metric, value)."""
     columns = [c for c in features.columns if c not in ("id", "label")]
-    m1, full = cumulative_columns(columns, "M1"), cumulative_columns(columns, "M6")
-    data = cv_folds(features, cv, seed).cache()
-    k = (data.agg(F.max("fold")).first()[0] or 0) + 1
-    a, b = (cv_auc(data, c, k, kind, seed, trees) if k > 1 else None for c in (m1, full))
-    counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-    models = fit(data, m1, kind, seed, trees), fit(data, full, kind, seed, trees)
-    data.unpersist()
+    sets = {"m1": cumulative_columns(columns, "M1"), "full": cumulative_columns(columns, "M6")}
+    folds = Folds(features, columns, cv, seed)
+    a, b = folds.cv_auc(sets, kind, seed, trees).values()
+    models, counts = [folds.fit(c, kind, seed, trees) for c in sets.values()], folds.counts()
     gain = b - a if a is not None and b is not None else None
     rows = [("n_positive", float(counts.get(1, 0))), ("n_negative", float(counts.get(0, 0))), ("auc_M1_peptide_only", a), ("auc_full", b), ("total_gain_auc", gain)]
     return *models, features.sparkSession.createDataFrame(rows, "metric string, value double")
@@ -145,14 +182,11 @@ def cut_model(positives: DataFrame, negatives: DataFrame, folds: int = 5, least:
 
     rows = positives.withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
     rows = rows.withColumn("_f", window_features(F.col("window")))
-    wide = rows.select("id", "label", *[F.col("_f")[i].alias(f"f{i}") for i in range(165)]).cache()
-    counts = {r["label"]: r["count"] for r in wide.groupBy("label").count().collect()}
-    cols, model, value = [f"f{i}" for i in range(165)], None, None
+    cols = [f"f{i}" for i in range(165)]
+    data, model, value = Folds(rows.select("id", "label", *[F.col("_f")[i].alias(c) for i, c in enumerate(cols)]), cols, folds, seed), None, None
+    counts = data.counts()
     if len(counts) == 2 and sum(counts.values()) >= least:
-        k = min(folds, *counts.values())
-        if k >= 2:
-            value = cv_auc(cv_folds(wide, k, seed).cache(), cols, k, "logreg", seed, 0)
-        model = fit(wide, cols, "logreg", seed)
+        value = data.cv_auc({"windows": cols}, "logreg", seed, 0)["windows"]
+        model = data.fit(cols, "logreg", seed, 0)
     metrics = [("n_positives", float(counts.get(1, 0))), ("n_negatives", float(counts.get(0, 0))), ("ml_cv_auc", value)]
-    wide.unpersist()
     return model, positives.sparkSession.createDataFrame(metrics, "metric string, value double")

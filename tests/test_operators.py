@@ -62,7 +62,7 @@ def test_scan_equals_finditer(spark):
         for n, (_, _, p, off, _) in enumerate(PROTEASE_MOTIFS):
             want |= {(sid, n, m.start() + off) for m in re.finditer(p, seq) if 1 <= m.start() + off < len(seq)}
     df = frame(spark, "id string, seq string", *seqs)
-    for got in (C.scan_cleavage(df), C.scan_cleavage_regex(df.repartition(3), [m[:4] for m in PROTEASE_MOTIFS])):
+    for got in (C.scan_cleavage(df), C.scan_cleavage(df.repartition(3), [m[:4] for m in PROTEASE_MOTIFS])):
         assert {(r["precursor_id"], r["motif_ord"], r["bond"]) for r in got.collect()} == want
 
 
