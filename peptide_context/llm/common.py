@@ -2,40 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..operators.components import components, materialize, scratch  # noqa: F401
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..operators.components import components, materialize, scratch, small_side  # noqa: F401
 
-def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
-    """``df`` to be broadcast if it is small, else as it is, to be joined by shuffle.
 
-    Small is at most ``most`` rows, or a sum of the column ``weight`` (the lengths of its arrays, say) of at most
-    that: some tens of MB. ``df`` should be a written table of few columns. It is counted, never assumed.
-    """
-    size = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] if weight is not None else df.limit(most + 1).count()
-    return F.broadcast(df) if size <= most else df
+def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Places (from, to) that cut a batch of texts into parts of at most ``most`` bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], bits: int = 10) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], bits: int = 10, split: int = 100_000) -> DataFrame:
     """Adds ``rank``: the 0-based place of a row among those with equal ``keys``, by the long hash ``order``.
 
-    A key is split by the top ``bits`` of the hash, so that a key with a third of all rows is ranked by
-    many tasks: each part is ranked by itself, and starts after the rows counted in the parts below it.
-    ``keys`` hold no nulls.
+    A key of more than ``split`` rows is split by the top ``bits`` of the hash, so that one with a third of all rows is
+    ranked by many tasks: each part is ranked by itself, and starts after the rows counted in the parts below it.
+    There are few such keys, as they are many rows each. ``df`` should be a written table; ``keys`` hold no nulls.
     """
-    parted = df.withColumn("_part", F.shiftright(F.col(order), 64 - bits))
-    counts = parted.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > split)
+    hot = small_side(materialize(hot.select(*keys, F.lit(True).alias("_hot"))))
+    parted = df.join(hot, keys, "left").withColumn("_part", F.when(F.col("_hot"), F.shiftright(F.col(order), 64 - bits)).otherwise(F.lit(None)))
+    counts = df.join(hot, keys).groupBy(*keys, F.shiftright(F.col(order), 64 - bits).alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*keys, "_part").orderBy(order, *ties)
     return (
-        parted.join(base, [*keys, "_part"])
-        .withColumn("rank", F.col("_base") + F.row_number().over(inside) - 1)
-        .drop("_base", "_part")
+        parted.join(small_side(materialize(base)), [*keys, "_part"], "left")
+        .withColumn("rank", F.coalesce("_base", F.lit(0)) + F.row_number().over(inside) - 1)
+        .drop("_base", "_part", "_hot")
     )
+
+
+def field(name: str) -> Column:
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns as one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*map(field, df.columns)).alias(name)
+
+
+def fields_of(df: DataFrame, name: str = "_row") -> list[Column]:
+    """The columns of ``whole_row`` again."""
+    return [F.col(name).getField(c).alias(c) for c in df.columns]

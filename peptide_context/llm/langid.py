@@ -4,33 +4,33 @@ A text is read as the sequence of its lower-case words (runs of letters), each f
 language's model gives a word a cross-entropy; the language of the lowest length-normalised cross-entropy wins,
 and texts that no model explains as well as it explains its own training texts are rejected.
 
-The models are tables of n-grams in sorted 64-bit hash arrays, found by binary search: log-probabilities of
-seen n-grams and back-off weights of seen contexts, one column a language.
+A language's model is a table of n-grams in sorted 64-bit hash arrays, found by binary search: log-probabilities of
+seen n-grams and back-off weights of seen contexts. It is built by one task from the counts of its sample.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import byte_slices, materialize
 
 UNKNOWN = "und"
 ORDER = 4
-#: Bound of the fit: documents a language, chosen by a seeded hash of their text, and characters of any one of them.
-FIT_DOCS = 1500
+FIT_DOCS = 1500  # bound of the fit: documents a language, chosen by a seeded hash of their text
 FIT_CALIBRATE = 5  # every fifth of them is kept from the counts and sets the rejection level,
 CALIBRATE_FROM = 20  # in languages with so many different texts; a language with fewer learns from all of them
-MAX_NGRAMS = 120_000  # most frequent n-grams kept, a language and order
 DISCOUNT = 0.75
-_WORDS = re.compile(r"[^\W\d_]+")
+TEXT_BYTES = 8 << 20  # of texts that a task scores at a time
+_WORDS = regex.compile(r"\p{L}+")
 _MARK = "\x02"
 
 
@@ -71,18 +71,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """The arrays of all languages: ``keys`` sorted, ``logp`` and ``backoff`` rows of one column a language."""
+    """For each language, and each order n: ``keys`` and ``contexts`` sorted, with their ``logp`` and ``backoff``."""
 
     def __init__(self, langs: list[str]):
+        none = [np.empty(0, np.uint64), np.empty(0, np.float32)] * 2
         self.langs = langs
-        self.keys = [np.empty(0, np.uint64)] * (ORDER + 1)
-        self.logp = [np.empty((0, len(langs)))] * (ORDER + 1)
-        self.contexts = [np.empty(0, np.uint64)] * (ORDER + 1)
-        self.backoff = [np.empty((0, len(langs)))] * (ORDER + 1)
+        self.tables = [[none for _ in range(ORDER + 1)] for _ in langs]  # keys, logp, contexts, backoff
         self.floor = np.full(len(langs), -16.0)
         self.letters = np.zeros(len(langs))  # number of different ones
         self.limit = np.full((len(langs), 2), np.inf)  # mean, scaled deviation of own texts' cross-entropy
 
+    def _find(self, n: int, at: int, grams: np.ndarray, missing: float) -> np.ndarray:
+        """(grams, languages): the values of each n-gram, looked up once for each different one."""
+        found, back = np.unique(grams, return_inverse=True)
+        out = np.full((len(found), len(self.langs)), missing, np.float32)
+        for column, tables in enumerate(self.tables):
+            keys, values = tables[n][at : at + 2]
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                out[:, column] = np.where(keys[i] == found, values[i], np.float32(missing))
+        return out[back]
+
     def score_words(self, words: list[str]) -> np.ndarray:
         """Sum of log2 probabilities of every word's letters and end mark: (words, languages)."""
         if not words:
@@ -96,124 +105,105 @@ class Model:
         at = np.arange(1, len(codes))
         word = np.repeat(np.arange(len(words)), lengths)
         depth = at - starts[word]  # characters of the word and its start mark before the position
-        total = np.zeros((len(at), len(self.langs)))
+        total = np.zeros((len(at), len(self.langs)), np.float32)
         open_ = np.ones((len(at), len(self.langs)), dtype=bool)
         for n in range(ORDER, 0, -1):
             reach = np.flatnonzero((depth >= n - 1) & open_.any(axis=1))
-            if not len(reach) or not len(self.keys[n]):
+            if not len(reach):
                 continue
-            grams = gram_hash(codes, n)[at[reach] - n + 1]
-            i = np.minimum(np.searchsorted(self.keys[n], grams), len(self.keys[n]) - 1)
-            seen = self.keys[n][i] == grams
-            p = np.where(seen[:, None], self.logp[n][i], np.nan)
+            p = self._find(n, 0, gram_hash(codes, n)[at[reach] - n + 1], np.nan)
             use = open_[reach] & ~np.isnan(p)
             sub = total[reach]
             sub[use] += p[use]
             still = open_[reach] & ~use
-            if n > 1 and still.any() and len(self.contexts[n]):
-                context = gram_hash(codes, n - 1)[at[reach] - n + 1]
-                j = np.minimum(np.searchsorted(self.contexts[n], context), len(self.contexts[n]) - 1)
-                known = self.contexts[n][j] == context
-                sub += np.where(still & known[:, None], self.backoff[n][j], 0.0)
+            if n > 1 and still.any():
+                sub += np.where(still, self._find(n, 2, gram_hash(codes, n - 1)[at[reach] - n + 1], 0.0), 0)
             total[reach] = sub
             open_[reach] = still
         total += np.where(open_, self.floor[None, :], 0.0)
         return np.add.reduceat(total, np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
 
-
-def build(rows, langs: list[str]) -> Model:
-    """Interpolated Kneser-Ney from the counts: the highest order by counts, lower orders by how many different
-    characters come before. Every stored probability already holds its interpolated lower orders."""
-    model = Model(langs)
-    column = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[tuple[str, int], dict[str, int]] = {}
-    for lang, n, gram, c in rows:
-        tables.setdefault((lang, n), {})[gram] = c
-    found: list[dict[int, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-    backs: list[dict[int, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-    hashed: dict[str, int] = {}
-
-    def key(gram: str) -> int:
-        if gram not in hashed:
-            hashed[gram] = int(gram_hash(np.frombuffer(gram.encode("utf-32-le"), dtype="<u4").astype(np.uint64), len(gram))[0])
-        return hashed[gram]
-
-    for lang, col in column.items():
-        lower: dict[str, float] = {}
-        letters_ = {g for g in tables.get((lang, 1), {}) if g != _MARK} | {_MARK}
-        model.letters[col] = len(letters_) - 1
-        uniform = 1.0 / (len(letters_) + 64)
-        for n in range(1, ORDER + 1):
-            raw = tables.get((lang, n), {})
-            if n == ORDER:
-                use = dict(raw)
-            else:
-                use = {}
-                for g in tables.get((lang, n + 1), {}):
-                    use[g[1:]] = use.get(g[1:], 0) + 1
-                for g, c in raw.items():  # nothing stands before a start mark: its plain count
-                    if g[0] == _MARK and len(g) > 1:
-                        use[g] = c
-            if n == 1:
-                use.setdefault(_MARK, 1)
-            total: dict[str, float] = {}
-            kinds: dict[str, int] = {}
-            for g, c in use.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + c
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            now = {}
-            for g, c in use.items():
-                h = g[:-1]
-                under = lower.get(g[1:], uniform) if n > 1 else uniform
-                now[g] = max(c - DISCOUNT, 0) / total[h] + DISCOUNT * kinds[h] / total[h] * under
-                found[n].setdefault(key(g), np.full(len(langs), np.nan))[col] = np.log2(now[g])
-            for h in total if n > 1 else ():
-                backs[n].setdefault(key(h), np.zeros(len(langs)))[col] = np.log2(DISCOUNT * kinds[h] / total[h])
-            if n == 1:
-                model.floor[col] = np.log2(DISCOUNT * kinds.get("", 1) / max(total.get("", 1), 1) * uniform)
-            lower = now
+    def cross_entropies(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits a predicted character for each language, number of predicted characters); 0 characters: no letter.
+
+        Texts are split at white space, and of some megabytes of texts each different piece is scored once.
+        """
+        bits, size = [np.zeros((0, len(self.langs)))], [np.zeros(0, np.int64)]
+        for a, b in byte_slices(texts, TEXT_BYTES):
+            lists = pc.ascii_split_whitespace(pc.fill_null(texts.slice(a, b - a), ""))
+            pieces = pc.list_flatten(lists).dictionary_encode()
+            words = [letters(p) for p in pieces.dictionary.to_pylist()]
+            place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+            names = list(place)
+            each = np.concatenate([np.zeros((0, len(self.langs))), *(self.score_words(names[i : i + 20_000]) for i in range(0, len(names), 20_000))])
+            used = np.fromiter((place[w] for ws in words for w in ws), np.int64)
+            lengths = np.fromiter((len(w) + 1 for w in names), np.int64, len(names))
+            edge = np.cumsum([0, *map(len, words)])
+            piece_bits = _sums(-each[used], edge)
+            piece_size = _sums(lengths[used].astype(np.float64)[:, None], edge)[:, 0]
+            code, ends = pieces.indices.to_numpy(), lists.offsets.to_numpy()
+            bits.append(_sums(piece_bits[code], ends))
+            size.append(np.rint(_sums(piece_size[code][:, None], ends)[:, 0]).astype(np.int64))
+        bits, size = np.concatenate(bits), np.concatenate(size)
+        return bits / np.maximum(size, 1)[:, None], size
+
+
+def _sums(rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of rows[edge[i] : edge[i + 1]], in doubles."""
+    out = np.zeros((len(edge) - 1, rows.shape[1]))
+    full = np.flatnonzero(edge[1:] > edge[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(rows, edge[:-1][full], axis=0, dtype=np.float64)
+    return out
+
+
+def _built(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One language's model from its counts, a row an order. Interpolated Kneser-Ney: the highest order by counts, lower
+    orders by how many different characters come before; every stored probability already holds its interpolated lower orders."""
+    tables: dict[int, dict[str, int]] = {n: {} for n in range(1, ORDER + 1)}
+    for batch in batches:
+        for n, gram, c in zip(*(batch.column(x).to_pylist() for x in ("n", "gram", "c")), strict=True):
+            tables[n][gram] = c
+    alphabet = set(tables[1]) | {_MARK}
+    uniform, floor = 1.0 / (len(alphabet) + 64), 0.0
+    out: list[list] = [[] for _ in range(7)]
+    lower: dict[str, float] = {}
     for n in range(1, ORDER + 1):
-        for source, keys, values in ((found[n], model.keys, model.logp), (backs[n], model.contexts, model.backoff)):
-            if source:
-                k = np.fromiter(source, dtype=np.uint64, count=len(source))
-                order = np.argsort(k)
-                keys[n] = k[order]
-                values[n] = np.stack(list(source.values()))[order].astype(np.float32)
-    return model
-
-
-class _Scores(dict):
-    """Word -> its row in the score table; words met for the first time are scored together."""
-
-    def __init__(self, model: Model, most: int = 500_000):
-        self.model, self.most = model, most
-        self.table = np.zeros((0, len(model.langs)), dtype=np.float32)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = list({w for t in texts for w in t if w not in self})
-        if len(self) + len(new) > self.most:
-            self.clear()
-            self.table = self.table[:0]
-            new = list({w for t in texts for w in t})
-        if new:
-            rows = [self.model.score_words(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
-            base = len(self.table)
-            self.table = np.concatenate([self.table, *rows]).astype(np.float32)
-            self.update(zip(new, range(base, base + len(new)), strict=True))
-
-
-def cross_entropies(model: Model, known: _Scores, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bits a predicted character for each language, number of predicted characters); 0 characters: no letter."""
-    words = [letters(t) for t in texts]
-    known.learn(words)
-    bits = np.zeros((len(texts), len(model.langs)))
-    size = np.zeros(len(texts), dtype=np.int64)
-    for i, w in enumerate(words):
-        if w:
-            rows = np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=len(w))
-            bits[i] = -known.table[rows].sum(axis=0, dtype=np.float64)
-            size[i] = sum(map(len, w)) + len(w)
-    return bits / np.maximum(size, 1)[:, None], size
+        use = dict(tables[n])
+        if n < ORDER:
+            use = {}
+            for g in tables[n + 1]:
+                use[g[1:]] = use.get(g[1:], 0) + 1
+            for g, c in tables[n].items():  # nothing stands before a start mark: its plain count
+                if g[0] == _MARK and len(g) > 1:
+                    use[g] = c
+        if n == 1:
+            use.setdefault(_MARK, 1)
+        total: dict[str, float] = {}
+        kinds: dict[str, int] = {}
+        for g, c in use.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        now = {}
+        for g, c in use.items():
+            h = g[:-1]
+            now[g] = max(c - DISCOUNT, 0) / total[h] + DISCOUNT * kinds[h] / total[h] * (lower.get(g[1:], uniform) if n > 1 else uniform)
+        back = {h: DISCOUNT * kinds[h] / total[h] for h in total} if n > 1 else {}
+        if n == 1:
+            floor = float(np.log2(DISCOUNT * kinds[""] / total[""] * uniform))
+        lower = now
+        columns = [n]
+        for table, size in ((now, n), (back, n - 1)):
+            codes = np.frombuffer("".join(table).encode("utf-32-le"), "<u4").astype(np.uint64)
+            keys = gram_hash(codes, size)[::size] if table else np.empty(0, np.uint64)
+            order = np.argsort(keys)
+            columns += [keys[order].tobytes(), np.log2(np.fromiter(table.values(), np.float64, len(table)))[order].astype(np.float32).tobytes()]
+        for column, value in zip(out, [*columns, floor, len(alphabet) - 1], strict=True):
+            column.append(value)
+    kinds_ = (pa.int32(), *[pa.binary()] * 4, pa.float64(), pa.int64())
+    names = ["n", "keys", "logp", "contexts", "backoff", "floor", "letters"]
+    lang = pa.array([key[0].as_py()] * ORDER, pa.string())
+    yield pa.record_batch([lang, *(pa.array(c, k) for c, k in zip(out, kinds_, strict=True))], ["lang", *names])
 
 
 def training_sample(docs: DataFrame, per_language: int = FIT_DOCS, seed: int = 5) -> DataFrame:
@@ -228,8 +218,8 @@ def training_sample(docs: DataFrame, per_language: int = FIT_DOCS, seed: int = 5
 
 
 def fit(docs: DataFrame, per_language: int = FIT_DOCS) -> Model:
-    """Learns from labelled rows docs(lang, text). The sample, and so the model, is bounded by ``per_language`` and
-    ``MAX_NGRAMS``; counting and choosing n-grams run on Spark. Without labelled rows the model has no language.
+    """Learns from labelled rows docs(lang, text). The sample is bounded by ``per_language`` documents a language; the model
+    holds all n-grams of its sample. Without labelled rows the model has no language.
 
     A language of at least ``CALIBRATE_FROM`` different texts with letters sets its rejection level by the fifth of them
     that is held back. Any other learns from all its texts, and gets the calibrated languages' pooled level, or, if there
@@ -242,23 +232,17 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS) -> Model:
     sample = sample.join(enough, "lang", "left").withColumn("_held", F.col("_held") & F.coalesce("_enough", F.lit(False)))
     grams = sample.where(~F.col("_held")).select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
     grams = materialize(grams.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    # the count at which a language and order reach MAX_NGRAMS n-grams: from counts of counts, not by a sort
-    levels = grams.groupBy("lang", "n", "c").agg(F.count("*").alias("k")).collect()
-    least: dict[tuple[str, int], int] = {}
-    room: dict[tuple[str, int], int] = {}
-    for r in sorted(levels, key=lambda r: -r["c"]):
-        at = (r["lang"], r["n"])
-        if room.setdefault(at, MAX_NGRAMS) >= r["k"] and room[at] >= 0:
-            room[at] -= r["k"]
-            least[at] = r["c"]
-        else:
-            room[at] = -1
-    langs = sorted({lang for lang, _ in least})
-    if not langs:
-        return Model([])
-    keep = F.broadcast(docs.sparkSession.createDataFrame([(a, b, c) for (a, b), c in least.items()], "lang string, n int, least long"))
-    rows = grams.join(keep, ["lang", "n"]).where("c >= least").select("lang", "n", "gram", "c")
-    model = build(((r[0], r[1], r[2], r[3]) for r in rows.toLocalIterator()), langs)
+    schema = "lang string, n int, keys binary, logp binary, contexts binary, backoff binary, floor double, letters long"
+    rows = grams.groupBy("lang").applyInArrow(_built, schema).collect()
+    model = Model(sorted({r["lang"] for r in rows}))
+    for r in rows:
+        i = model.langs.index(r["lang"])
+        pairs = ((r["keys"], r["logp"]), (r["contexts"], r["backoff"]))
+        model.tables[i][r["n"]] = [x for k, v in pairs for x in (np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32))]
+        model.letters[i] = r["letters"]
+        model.floor[i] = r["floor"]
+    if not rows:
+        return model
     _calibrate(model, sample.where("_held").select("lang", "text"))
     return model
 
@@ -269,20 +253,20 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shipped.value)
-        known, column = _Scores(m), {x: i for i, x in enumerate(m.langs)}
+        column = {x: i for i, x in enumerate(m.langs)}
         for batch in batches:
             lang = batch.column(0).to_pylist()
-            ce, size = cross_entropies(m, known, batch.column(1).to_pylist())
+            ce, size = m.cross_entropies(batch.column(1))
             own = [ce[i, column[x]] if x in column else np.nan for i, x in enumerate(lang)]
-            yield pa.record_batch([pa.array(lang), pa.array(own, pa.float64()), pa.array(size, pa.int64())], ["lang", "ce", "size"])
+            yield pa.record_batch([pa.array(lang, pa.string()), pa.array(own, pa.float64()), pa.array(size, pa.int64())], ["lang", "ce", "size"])
 
     seen = sample.mapInArrow(measure, "lang string, ce double, size long").where("size > 0 and not isnan(ce)")
     mean = F.sum(F.col("ce") * F.col("size")) / F.sum("size")
-    means = {r[0]: r[1] for r in seen.groupBy("lang").agg(mean).collect()}
-    for lang, at in means.items():
-        scaled = (F.col("ce") - F.lit(at)) * F.sqrt(F.least(F.col("size"), F.lit(400)))
-        row = seen.where(F.col("lang") == lang).agg(F.sqrt(F.avg(scaled * scaled))).first()
-        model.limit[model.langs.index(lang)] = (at, max(row[0] or 0.0, 1.0))
+    w = F.least(F.col("size"), F.lit(400))
+    sums = [F.avg(x) for x in (w * F.col("ce") * F.col("ce"), w * F.col("ce"), w)]
+    for lang, at, a, b, c in seen.groupBy("lang").agg(mean, *sums).collect():
+        scaled = a - 2 * at * b + at * at * c  # mean of size * (ce - at) ** 2
+        model.limit[model.langs.index(lang)] = (at, max(np.sqrt(max(scaled, 0.0)), 1.0))
     # too few texts to hold any back: the mean of the languages that have a level, with the widest deviation
     known = np.isfinite(model.limit[:, 0])
     if known.any():
@@ -291,12 +275,13 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
         model.limit[:] = np.column_stack([np.log2(model.letters + 1), np.ones(len(model.langs))])
 
 
-def judge(m: Model, known: _Scores, texts: list[str | None], deviations: float, margin: float):
+def judge(m: Model, texts: pa.StringArray, deviations: float, margin: float):
     """Lists over texts: language, score, cross-entropy, accepted; see ``classify``."""
     n = len(texts)
     if not m.langs:
-        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.array([bool(letters(t)) for t in texts], dtype=bool)
-    ce, size = cross_entropies(m, known, texts)
+        has = [bool(t) and _WORDS.search(t) is not None for t in texts.to_pylist()]
+        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.nan), np.array(has, dtype=bool)
+    ce, size = m.cross_entropies(texts)
     win = ce.argmin(axis=1)
     has = size > 0
     best = np.where(has, ce[np.arange(n), win], np.nan)
@@ -321,11 +306,10 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shipped.value)
-        known = _Scores(m)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                pred, score, best, ok = judge(m, known, part.column(1).to_pylist(), deviations, margin)
+            for a, b in byte_slices(batch.column(1), TEXT_BYTES):
+                part = batch.slice(a, b - a)
+                pred, score, best, ok = judge(m, part.column(1), deviations, margin)
                 yield pa.record_batch(
                     [part.column(0), pa.array(pred), pa.array(score), pa.array(best, from_pandas=True), pa.array(ok)],
                     ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"],
@@ -341,11 +325,10 @@ def keep_accepted(docs: DataFrame, model: Model, deviations: float = 8.0, margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shipped.value)
-        known = _Scores(m)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield part.filter(pa.array(judge(m, known, part.column(text).to_pylist(), deviations, margin)[3]))
+            for a, b in byte_slices(batch.column(text), TEXT_BYTES):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(judge(m, part.column(text), deviations, margin)[3]))
 
     text = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rank_within, small_side
+from .common import byte_slices, materialize, rank_within, small_side
 
 WINDOW = 2048
 END_ID = 1
@@ -101,17 +101,6 @@ class _Words:
         return ids, np.cumsum(size) - size, size
 
 
-def _texts_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, pa.StringArray]]:
-    """(ids, texts) of slices of a batch with at most ``most`` bytes of text, or one row."""
-    texts = pc.fill_null(batch.column(1), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield batch.column(0).slice(at, to - at), texts.slice(at, to - at)
-        at = to
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """Cuts the ids of each text, and ``end_id`` behind them, into pieces of ``window`` ids and one shorter rest.
 
@@ -127,7 +116,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, seen = _Words(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            for doc, texts in _texts_of(batch, TEXT_BYTES):
+            for a, b in byte_slices(batch.column(1), TEXT_BYTES):
+                doc, texts = batch.column(0).slice(a, b - a), pc.fill_null(batch.column(1).slice(a, b - a), "")
                 lists = pc.ascii_split_whitespace(texts)
                 words = pc.list_flatten(lists).dictionary_encode()
                 pool, start, length = known.encode(words.dictionary)
