@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by subset-sum budget fitting.
 
-Documents are counted by exact length; each source's budget is met by whole passes over the source, a
-proportional share of each length, and a bounded-knapsack dynamic program for the remainder; the counts
-per length are then filled with documents in a seeded order.
+Documents are counted by exact length; each source's budget is met by a proportional share of each length, a document
+being taken up to three times, and a bounded-knapsack dynamic program for the remainder; the counts per length are then
+filled with documents in a seeded order.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, rank_within
+from .common import materialize, rank_within, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,67 +49,73 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return per.select("source", "source_size", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take, so that the lengths sum to ``budget`` or as near below it
-    as can be found: a proportional share of every length, then the longest that still fit while more than
-    ``reach`` is open, then a bounded knapsack over what is left of each length. ``reach`` bounds the
-    program's table, not the documents."""
-    taken = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return taken
-    if budget >= total:
-        return counts.astype(np.int64)
-    taken = np.floor(counts * (budget / total)).astype(np.int64)
-    left = int(budget - (lengths * taken).sum())
-    if left < 0:  # a rounding of the share
-        taken = np.maximum(taken - 1, 0)
-        left = int(budget - (lengths * taken).sum())
-    # at most one more of each length closes most of the gap, longest first
-    order = np.argsort(-lengths, kind="stable")
-    for _ in range(3):
-        for i in order:
-            if left <= reach:
-                break
-            n = min(int(counts[i] - taken[i]), max(1, (left - reach) // int(lengths[i]) // 8), left // int(lengths[i]))
-            if n > 0:
-                taken[i] += n
-                left -= n * int(lengths[i])
-    for i in order:
-        if left <= reach:
-            break
-        n = min(int(counts[i] - taken[i]), (left - reach) // int(lengths[i]))
-        if n > 0:
-            taken[i] += n
-            left -= n * int(lengths[i])
-    cap = int(min(left, reach))
+def _knapsack(lengths: np.ndarray, room: np.ndarray, cap: int) -> np.ndarray:
+    """How many more of each length, at most ``room``, sum to ``cap`` or as near below it as can be: bounded knapsack."""
+    more = np.zeros(len(lengths), dtype=np.int64)
     first = np.full(cap + 1, -1, dtype=np.int64)
     open_ = np.zeros(cap + 1, dtype=bool)
     open_[0] = True
     items: list[tuple[int, int]] = []
     for i in np.argsort(lengths, kind="stable"):
-        size, room = int(lengths[i]), int(min(counts[i] - taken[i], cap // max(1, int(lengths[i]))))
-        step = 1
-        while room > 0 and not open_[cap]:
-            n = min(step, room)
+        size = int(lengths[i])
+        left, step = int(min(room[i], cap // max(1, size))), 1
+        while left > 0 and not open_[cap]:
+            n = min(step, left)
             w = n * size
-            if w <= cap:
-                new = np.zeros_like(open_)
-                new[w:] = open_[: cap + 1 - w]
-                new &= ~open_
-                first[new] = len(items)
-                items.append((int(i), n))
-                open_ |= new
-            room -= n
+            new = np.zeros_like(open_)
+            new[w:] = open_[: cap + 1 - w]
+            new &= ~open_
+            first[new] = len(items)
+            items.append((int(i), n))
+            open_ |= new
+            left -= n
             step *= 2
         if open_[cap]:
             break
     at = int(np.flatnonzero(open_)[-1])
     while at:
         i, n = items[first[at]]
-        taken[i] += n
+        more[i] += n
         at -= n * int(lengths[i])
-    return taken
+    return more
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = 1 << 16) -> np.ndarray:
+    """How many times to take each length, at most ``counts``, so that the lengths sum to ``budget`` or as near below
+    it as can be found.
+
+    Every length gets its proportional share, the longest that fit are added while more than ``reach`` is open, and a
+    bounded knapsack closes the rest. Where it cannot (few documents, all too long for the rest), less is shared and more
+    left to the knapsack, down to none: what is within ``reach`` then is solved exactly. ``reach`` bounds the program's
+    table, not the documents.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total:
+        return counts.astype(np.int64)
+    order, best, gap = np.argsort(-lengths, kind="stable"), None, None
+    for share in (1.0, 0.9, 0.5, 0.0):
+        taken = np.minimum(np.floor(counts * (share * budget / total)).astype(np.int64), counts)
+        left = int(budget - (lengths * taken).sum())
+        if left < 0:  # a rounding of the share
+            taken = np.maximum(taken - 1, 0)
+            left = int(budget - (lengths * taken).sum())
+        for part in (8, 8, 8, 1):  # most of the gap is spread over the lengths, longest first
+            for i in order:
+                if left <= reach:
+                    break
+                n = min(int(counts[i] - taken[i]), max(1, (left - reach) // int(lengths[i]) // part), left // int(lengths[i]))
+                if n > 0:
+                    taken[i] += n
+                    left -= n * int(lengths[i])
+        taken = taken + _knapsack(lengths, counts - taken, int(min(left, reach)))
+        left = int(budget - (lengths * taken).sum())
+        if best is None or left < gap:
+            best, gap = taken, left
+        if not gap:
+            break
+    return best
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
@@ -131,31 +137,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
             F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"),
         )
     )
-    targets = source_targets(sizes, weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = materialize(
-        targets.withColumn("_passes", F.least(whole, F.lit(most)).cast("long"))
-        .withColumn("_budget", F.greatest(F.round("target").cast("long") - F.col("_passes") * F.col("source_size"), F.lit(0)))
-        .withColumn("_source", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()))
-    )
-    keyed = sizes.withColumn("_source", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()))
+    key = F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
+    targets = materialize(source_targets(sizes, weights, most).withColumn("_source", key).withColumn("_budget", F.round("target").cast("long")))
+    keyed = materialize(sizes.withColumn("_source", key))
     lengths = keyed.where("size > 0").groupBy("_source", "size").agg(F.count("*").alias("n"))
-    budgets = targets.where("_passes < 3 and _budget > 0" if most == 3 else f"_passes < {most} and _budget > 0")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        took = fit_counts(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["_budget"].iloc[0]))
-        return pd.DataFrame({"_source": pdf["_source"], "size": pdf["size"], "_take": took})
+        n = pdf["n"].to_numpy(np.int64)
+        took = fit_counts(pdf["size"].to_numpy(np.int64), most * n, int(pdf["_budget"].iloc[0]))
+        return pd.DataFrame({"_source": pdf["_source"], "size": pdf["size"], "_each": took // n, "_more": took % n})
 
     take = (
-        lengths.join(budgets.select("_source", "_budget"), "_source")
+        lengths.join(small_side(targets.select("_source", "_budget")), "_source")
         .groupBy("_source")
-        .applyInPandas(fit, "_source long, size long, _take long")
+        .applyInPandas(fit, "_source long, size long, _each long, _more long")
     )
     ranked = rank_within(keyed, ["_source", "size"], "_h", ["doc_id"])
-    extra = F.when(F.col("rank") < F.coalesce(F.col("_take"), F.lit(0)), 1).otherwise(0)
+    copies = F.coalesce("_each", F.lit(0)) + F.when(F.col("rank") < F.coalesce("_more", F.lit(0)), 1).otherwise(0)
     return (
-        ranked.join(take, ["_source", "size"], "left")
-        .join(targets.drop("source", "_budget"), "_source")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_passes") + extra)).alias("taken"))
+        ranked.join(small_side(materialize(take)), ["_source", "size"], "left")
+        .join(small_side(targets.drop("source", "_budget")), "_source")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
     )
