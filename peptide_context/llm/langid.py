@@ -331,7 +331,8 @@ def keep_accepted(docs: DataFrame, model: Model, deviations: float = 8.0, margin
                 yield part.filter(pa.array(judge(m, part.column(text), deviations, margin)[3]))
 
     text = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow resolves no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id"):
