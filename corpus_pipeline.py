@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Earlier is by doc_id, null first. Null texts stay null, and a text that loses all its lines becomes empty; n_chars follows.
     Rows that are the same in doc_id and text both keep the lines that come first there; an empty table stays empty."""
-    return dedup_lines(docs, short=True).select(*docs.columns)
+    return dedup_lines(docs, short=True).select(*map(field, docs.columns))
 
 
 def row_key(docs: DataFrame) -> Column:
