@@ -1,9 +1,10 @@
 """Exact top-k by inner product with multi-resolution segment statistics.
 
-Vectors are cut into 1, 4 and 16 segments; a segment's mean and deviation bound its share of the inner product:
-sum(q * x) <= length * (mean_q * mean_x + deviation_q * deviation_x), which is the lower bound on the distance
-read for inner products. Coarse to fine, a candidate whose bound stays below the k-th score found so far is
-dropped; the survivors' products are computed exactly.
+Vectors are cut into 1, 4, 16 and half as many segments as they have components, then the first half, three quarters and
+seven eighths of the components stand alone; a segment's mean and deviation bound its share of the inner product: sum(q * x) <= length * (mean_q * mean_x + deviation_q * deviation_x), which is the lower
+bound on the distance read for inner products. Coarse to fine, a candidate whose bound stays below the k-th score found so
+far is dropped; exact products are computed for the survivors alone. The first k-th score of a query comes from the
+candidates whose means promise most. On random vectors the coarse levels leave all pairs open and the fine ones decide.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16)  # segments, before those of two components
+ALONE = (0.0, 0.5, 0.75, 0.875)  # share of the components that stand alone at the fine levels, the others by two
+FEW = 0.05  # below this share of open pairs a level is computed pair by pair
+QUERIES = 2048  # in a block, on average
 
 
 def quantized(rows: DataFrame, scale: int = 256) -> DataFrame:
@@ -28,13 +32,21 @@ def quantized(rows: DataFrame, scale: int = 256) -> DataFrame:
     return rows.where(e.isNotNull() & F.col("vec_id").isNotNull() & ~bad).select(F.col("vec_id").cast("long"), ints.alias("v"))
 
 
-def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
+def levels(dim: int) -> list[np.ndarray]:
+    """First components of the segments, level by level."""
+    coarse = [np.unique(np.linspace(0, dim, n, endpoint=False).astype(np.int64)) for n in LEVELS if n < dim // 2]
+    alone = dict.fromkeys(int(dim * share) // 2 * 2 for share in ALONE)
+    return coarse + [np.concatenate([np.arange(n), np.arange(n, dim, 2)]) for n in alone]
+
+
+def segment_stats(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One row a vector: root(length) * mean, then root(length) * deviation of each segment."""
-    parts = np.array_split(x, min(segments, max(1, x.shape[1])), axis=1)
-    root = [np.sqrt(p.shape[1]) for p in parts]
-    means = [p.mean(axis=1) * r if p.shape[1] else p.sum(axis=1) for p, r in zip(parts, root, strict=True)]
-    devs = [p.std(axis=1) * r if p.shape[1] else p.sum(axis=1) for p, r in zip(parts, root, strict=True)]
-    return np.stack(means + devs, axis=1)
+    if not len(first):
+        return np.zeros((len(x), 0))
+    size = np.diff(np.append(first, x.shape[1]))
+    mean = np.add.reduceat(x, first, axis=1) / size
+    spread = np.add.reduceat(x * x, first, axis=1) / size - mean * mean
+    return np.concatenate([mean * np.sqrt(size), np.sqrt(np.maximum(spread, 0) * size)], axis=1)
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -50,35 +62,45 @@ class BlockSearch:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, vectors, k
-        self.stats = [segment_stats(vectors.astype(np.float64), s) for s in LEVELS]
+        self.stats = [segment_stats(vectors.astype(np.float64), s) for s in levels(vectors.shape[1])]
         self.row, self.vec, self.score = (np.empty(0, np.int64) for _ in range(3))
         self.level = np.full(len(ids), -np.inf)
+        self.products = 0  # computed exactly so far
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        if x.shape[1] != self.q.shape[1]:
+        if x.shape[1] != self.q.shape[1] or not len(ids):
             return
-        stats = [segment_stats(x.astype(np.float64), s) for s in LEVELS]
+        stats = [segment_stats(x.astype(np.float64), s) for s in levels(x.shape[1])]
         slack = 1e-9 * (np.abs(self.stats[0]).max(initial=0) * np.abs(stats[0]).max(initial=0) + 1) * x.shape[1] + 1e-3
         open_ = self.ids[:, None] != ids[None, :]
+        new = np.flatnonzero(np.isneginf(self.level))
+        if len(new):
+            half = stats[-1].shape[1] // 2
+            means = np.where(open_[new], self.stats[-1][new, :half] @ stats[-1][:, :half].T, -np.inf)
+            first = np.argpartition(-means, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
+            a, b = np.repeat(new, first.shape[1]), first.ravel()
+            real = open_[a, b]
+            a, b = a[real], b[real]
+            self._take(a, ids[b], self._exact(a, x, b))
+            open_[a, b] = False
         for q, s in zip(self.stats, stats, strict=True):
-            if not np.isfinite(self.level).any() or np.count_nonzero(open_) < open_.size // 50:
-                break
-            open_ &= q @ s.T + slack >= self.level[:, None]
-        most = float(np.abs(self.q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
-        if most < 2**53 and np.count_nonzero(open_) > open_.size // 50:
-            # many are left: their products come as one matrix, and only those that enter the k best are kept
-            full = self.q.astype(np.float64) @ x.T.astype(np.float64)
-            full[~open_] = -np.inf
-            if len(ids) > self.k:
-                kth = np.partition(full, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-                open_ &= full >= np.maximum(kth, self.level)[:, None]
-            a, b = np.nonzero(open_)
-            scores = full[a, b].astype(np.int64)
-        else:
-            a, b = np.nonzero(open_)
-            scores = exact_products(self.q[a], x[b]) if len(a) else np.empty(0, np.int64)
-        row, vec = np.concatenate([self.row, a]), np.concatenate([self.vec, ids[b]])
-        score = np.concatenate([self.score, scores])
+            left = np.count_nonzero(open_)
+            if left > FEW * open_.size:
+                open_ &= q @ s.T + slack >= self.level[:, None]
+            else:
+                a, b = np.nonzero(open_)
+                open_[a, b] = np.einsum("ij,ij->i", q[a], s[b]) + slack >= self.level[a]
+        a, b = np.nonzero(open_)
+        for at in range(0, len(a), 1 << 18):
+            i, j = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+            self._take(i, ids[j], self._exact(i, x, j))
+
+    def _exact(self, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.products += len(a)
+        return exact_products(self.q[a], x[b]) if len(a) else np.empty(0, np.int64)
+
+    def _take(self, a: np.ndarray, vec: np.ndarray, scores: np.ndarray) -> None:
+        row, vec, score = np.concatenate([self.row, a]), np.concatenate([self.vec, vec]), np.concatenate([self.score, scores])
         order = np.lexsort((vec, -score, row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -102,17 +124,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(i)
                 vs.append(v)
             for dim, (ids, vs) in by_dim.items():
+                v = np.asarray(vs, np.int64).reshape(len(ids), dim)
+                width = next(w for w in (2, 4, 8) if w == 8 or not v.size or np.abs(v).max() < 1 << (8 * w - 1))
                 yield pa.record_batch(
                     [
-                        pa.array([dim], pa.int32()),
-                        pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()),
-                        pa.array([np.asarray(vs, np.int64).tobytes()], pa.binary()),
+                        pa.array([dim], pa.int32()), pa.array([width], pa.int32()),
+                        pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()), pa.array([v.astype(f"<i{width}").tobytes()], pa.binary()),
                     ],
-                    ["dim", "ids", "vectors"],
-                )
+                    ["dim", "width", "ids", "vectors"],
+                )
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 512, lanes: int = 24) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERIES, lanes: int = 24) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products over all rows but its own.
 
     ``rows`` and ``queries`` are (vec_id, v) as from ``quantized``; ties go to the smaller vec_id, fewer candidates
@@ -121,11 +144,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 512, lan
 
     Queries are hashed into blocks of about ``block``; candidate blocks are dealt over ``lanes`` for each query
     block, so the work is (query block, lane) tasks whatever either side's size, and only k rows a query and
-    lane meet in the end.
+    lane meet in the end. A candidate block travels once for each query block, in two bytes a component where they suffice.
     """
     queries = queries.dropDuplicates(["vec_id"])
     n = max(1, -(-queries.count() // block))
-    cands = rows.mapInArrow(_pack, "dim int, ids binary, vectors binary")
+    cands = rows.mapInArrow(_pack, "dim int, width int, ids binary, vectors binary")
     cands = cands.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
     cands = cands.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     dealt = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("qdim", F.size("v"))
@@ -136,7 +159,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 512, lan
         .where("dim = qdim")
         .repartition("qb", "qdim", "lane")
         .sortWithinPartitions("qb", "qdim", "lane")
-        .select("qb", "qdim", "lane", "q", "ids", "vectors")
+        .select("qb", "qdim", "lane", "q", "ids", "vectors", "width")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +178,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 512, lan
                         k,
                     )
                 ids = np.frombuffer(batch.column(4)[i].as_py(), np.int64)
-                state.add(ids, np.frombuffer(batch.column(5)[i].as_py(), np.int64).reshape(len(ids), key[1]))
+                x = np.frombuffer(batch.column(5)[i].as_py(), f"<i{batch.column(6)[i].as_py()}").astype(np.int64)
+                state.add(ids, x.reshape(len(ids), key[1]))
         if state is not None:
             yield state.rows()
 

@@ -232,6 +232,23 @@ def test_topk(spark):
     assert search_table(df.where("false")).count() == 0
 
 
+def test_topk_products():
+    """Bounds leave few products to compute, whatever the vectors, and the result is exact, with ties and repeats."""
+    from peptide_context.llm.topk import BlockSearch
+
+    rng = np.random.default_rng(5)
+    for dim, share, make in ((64, 0.08, lambda n: rng.normal(size=(n, 64))), (32, 0.2, lambda n: np.repeat(rng.normal(size=(n // 4 + 1, 32)), 4, axis=0)[:n]), (2, 1.0, lambda n: rng.normal(size=(n, 2)))):
+        q, x = (np.floor(256 * make(n)).astype(np.int64) for n in (100, 6000))
+        search = BlockSearch(np.arange(100), q, 5)
+        for at in range(0, 6000, 1000):
+            search.add(np.arange(at, at + 1000), x[at : at + 1000])
+        full = q @ x.T
+        full[np.arange(100), np.arange(100)] = -(2**62)
+        want = {(i, int(j), int(full[i, j])) for i in range(100) for j in sorted(range(6000), key=lambda j: (-full[i, j], j))[:5]}
+        assert {(int(a), int(b), int(c)) for a, b, c in zip(search.row, search.vec, search.score, strict=True)} == want
+        assert search.products <= share * full.size, (dim, search.products / full.size)
+
+
 def test_embedding_dedup(spark):
     from peptide_context.llm.embedding_dedup import decode, near_duplicates, roots
 
