@@ -105,6 +105,15 @@ final("homology_hits", "aligned", f"""SELECT a AS qseqid, b AS sseqid, CAST(d AS
   FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY same DESC, b) AS k FROM
     (SELECT *, (hi - lo) - hamming(substring(x, lo + 1, hi - lo), substring(y, lo + d + 1, hi - lo)) AS same FROM aligned)) WHERE k <= 5""")
 
+step("scored_hits", "aligned proteins", """SELECT *, (x5 * 0.318::DOUBLE - ln(0.134::DOUBLE)) / ln(2.0::DOUBLE) AS bitscore FROM (SELECT *, same * 5.0::DOUBLE + ((hi - lo) - same) * (-2.0::DOUBLE) AS x5,
+    row_number() OVER (PARTITION BY a ORDER BY same DESC, b) AS k FROM
+    (SELECT *, (hi - lo) - hamming(substring(x, lo + 1, hi - lo), substring(y, lo + d + 1, hi - lo)) AS same FROM aligned)) WHERE k <= 5""")
+final("homology_precursors", "scored_hits proteins", f"""SELECT a AS peptide_id, b AS precursor_id, '.' AS gene_symbol, {r6("pident")} AS pident, {r6("query_cov")} AS query_cov, CAST(length(y) AS INTEGER) AS precursor_len,
+  {r6("length(x) * (SELECT sum(length(seq))::DOUBLE FROM proteins) * pow(2.0::DOUBLE, -bitscore)")} AS evalue, '' AS stitle
+  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bitscore DESC, k) AS first FROM
+    (SELECT *, same * 100.0::DOUBLE / (hi - lo) AS pident, (hi - lo)::DOUBLE / length(x) AS query_cov FROM scored_hits)
+    WHERE pident >= 90 AND query_cov >= 0.8) WHERE first = 1""")
+
 # regions
 step("located", "proteins peptides", """SELECT p.n, p.id AS prec, q.id AS pep, p.seq AS s, q.seq AS q,
   CASE WHEN length(q.seq) > length(p.seq) THEN NULL WHEN strpos(p.seq, q.seq) > 0 THEN strpos(p.seq, q.seq)
@@ -377,3 +386,18 @@ final("standardize", "proteins", f"""SELECT id, {_std("m1_charge")} AS m1_charge
   FROM (SELECT id, {frac("seq", "KR")} - {frac("seq", "DE")} AS m1_charge, {_h} AS m1_hydropathy, {frac("seq", "FWY")} AS m1_aromatic FROM proteins)""")
 EMB = ", ".join(r6(count_of("seq", a) + "::DOUBLE / greatest(length(seq), 1)") + f" AS v{i}" for i, a in enumerate("ACDE"))
 final("embed_backend", "proteins", f"SELECT id, {EMB} FROM proteins")
+
+
+# sources and sinks
+final("read_fasta", "proteins", "SELECT id, seq FROM proteins")
+final("read_genome", "chunks", "SELECT chrom, chunk_id, seq FROM chunks")
+final("read_promoters", "prom_seq", 'SELECT gene, role, chrom, p_start AS "start", p_end AS "end", strand, seq FROM prom_seq')
+final("read_hits", "hits", f"SELECT qseqid, sseqid, {r6('pident')} AS pident, CAST(length AS INTEGER) AS length, qlen, slen, {r6('evalue')} AS evalue, {r6('bitscore')} AS bitscore, stitle, full_sseq FROM hits")
+final("read_gff", "mrna cds", f"""SELECT CAST(m.mrna_id AS VARCHAR) AS mrna_id, protein, chrom, strand, {r6('score')} AS score, c."start", c."end", CAST(phase AS INTEGER) AS phase
+  FROM mrna m JOIN cds c ON c.mrna_id = m.mrna_id""")
+final("read_gene_index", "genes", 'SELECT symbol, chrom, "start", "end", strand FROM genes')
+final("read_signal", "signal", "SELECT acc, signal_end FROM signal")
+SQL["q_read_rules"] = SQL["q_enzyme_rules"]
+SQL["q_read_table"] = SQL["q_define_regions"]
+final("read_bed", "blocks", "SELECT chrom, CAST(start0 AS BIGINT) AS start0, CAST(end0 AS BIGINT) AS end0, name, strand FROM blocks")
+SQL["q_load_pwm"] = SQL["q_pwm"]

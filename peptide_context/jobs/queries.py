@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.constants import FAMILY_RULES
 from ..operators import boundaries as B
 from ..operators import cleavage as C
 from ..operators import dataset as D
@@ -17,6 +18,9 @@ from ..operators import ml as L
 from ..operators import regions as R
 from ..operators import regulatory as T
 from ..operators import report as P
+from ..operators.components import materialize, scratch
+from ..sources import readers as IN
+from ..sources import writers as W
 from ..sources.readers import signal_ends
 from . import adapters as A
 
@@ -88,8 +92,12 @@ def _all_promoters(s, d):
 
 
 def _positives(s, d):
-    locus = E1.locus_features(_envelopes(s, d), _regions(s, d), _models(s, d), A.cds(s, d), A.genome(s, d), A.CHUNK)
-    return D.assemble_positives(A.peptides(s, d), _regions(s, d), A.proteins(s, d), D.cut_context(_scored(s, d)), locus)
+    regions = materialize(_regions(s, d))
+    envelopes = G.locus_envelope(regions, _models(s, d), A.cds(s, d))
+    locus = E1.locus_features(envelopes, regions, _models(s, d), A.cds(s, d), A.genome(s, d), A.CHUNK)
+    pwm = C.build_pwm(C.junction_windows(A.proteins(s, d), regions), C.background(A.proteins(s, d)))
+    cuts = D.cut_context(C.score_sites(_sites(s, d), pwm))
+    return D.assemble_positives(A.peptides(s, d), regions, A.proteins(s, d), cuts, locus)
 
 
 def _labelled(s, d):
@@ -120,7 +128,15 @@ def cluster_peptides(s, d):
 
 @query
 def homology_hits(s, d):
-    return rounded(H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False))  # as its SQL
+    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False)  # as its SQL
+    return rounded(hits.drop("bitscore", "evalue", "stitle", "full_sseq", "ord"))
+
+
+@query
+def homology_precursors(s, d):
+    """Search and best hit in one: what the search finds goes to the choice of precursors."""
+    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False)
+    return rounded(H.best_precursor(hits).drop("full_sseq", "ord"))
 
 
 @query
@@ -374,6 +390,103 @@ def shared_signatures(s, d):
     return T.shared_signatures(T.coreg_pairs(A.mapping(s, d), _loci(s, d)), T.tf_sets(T.tfbs_hits(_all_promoters(s, d))))
 
 
+# sources and sinks: tables written in the formats of files, and read back
+
+
+def _lines(df, *fields):
+    text = F.concat_ws("\t", *[F.coalesce(F.col(f).cast("string"), F.lit("")) if isinstance(f, str) else f for f in fields])
+    return df.select(text.alias("value"))
+
+
+def _written(s, df):
+    path = scratch(s)
+    df.write.text(path)
+    return path
+
+
+@query
+def read_fasta(s, d):
+    path = scratch(s)
+    W.write_fasta(A.proteins(s, d), path)
+    return IN.read_fasta(s, path).select("id", "seq")
+
+
+@query
+def read_genome(s, d):
+    whole = A.genome(s, d).groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "seq"))), lambda x: x["seq"]), "").alias("dna"))
+    path = scratch(s)
+    W.write_fasta(whole, path, "chrom", "dna")
+    return IN.read_genome(s, path, A.CHUNK)
+
+
+@query
+def read_promoters(s, d):
+    path = scratch(s)
+    name = F.concat_ws("|", "gene", "role", "chrom", "p_start", "p_end", "strand")
+    W.write_fasta(_all_promoters(s, d).select(name.alias("id"), "seq"), path)
+    return IN.read_promoters(s, path)
+
+
+@query
+def read_hits(s, d):
+    one = F.lit("1")
+    path = _written(s, _lines(A.hits(s, d), "qseqid", "sseqid", "pident", "length", "qlen", "slen", one, "length", one, "length", "evalue", "bitscore", "stitle", "full_sseq"))
+    rows = IN.read_hits(s, path).select("qseqid", "sseqid", "pident", "length", "qlen", "slen", "evalue", "bitscore", "stitle", "full_sseq")
+    return rounded(rows)
+
+
+@query
+def read_gff(s, d):
+    dot, text = F.lit("."), lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    target = text("ID=", F.col("mrna_id"), ";Target=", F.col("protein"), " 1 9")
+    mrna = _lines(A.mrna(s, d), "chrom", dot, F.lit("mRNA"), F.lit("1"), F.lit("9"), "score", "strand", dot, target)
+    cds = _lines(A.cds(s, d), F.lit("c"), dot, F.lit("CDS"), "start", "end", dot, F.lit("+"), "phase", text("Parent=", F.col("mrna_id")))
+    mrna, cds = IN.read_gff(s, _written(s, mrna.union(cds)))
+    return rounded(mrna.drop("ord").join(cds, "mrna_id"))
+
+
+@query
+def read_gene_index(s, d):
+    dot = F.lit(".")
+    name = F.concat(F.lit("ID=g;Name="), F.col("symbol"))
+    return IN.read_gene_index(s, _written(s, _lines(A.gene_index(s, d), "chrom", dot, F.lit("gene"), "start", "end", dot, "strand", dot, name)))
+
+
+@query
+def read_signal(s, d):
+    return IN.read_signal(s, _written(s, _lines(A.signal_rows(s, d), "acc", F.lit("p"), "type", F.lit("1"), "end")))
+
+
+@query
+def read_rules(s, d):
+    """Rules of a file, and what they ask for of the mapped peptides."""
+    path = _written(s, s.createDataFrame([("\t".join(r),) for r in [("# pattern", "role", "gene"), *FAMILY_RULES]], "value string").coalesce(1))
+    rules = IN.family_rules(s, path)
+    return E1.enzyme_rules(A.mapping(s, d), rules).select("role", "gene", F.array_join("families", ",").alias("families"))
+
+
+@query
+def read_table(s, d):
+    path, rows = scratch(s), _regions(s, d).drop("dibasic_hint")
+    W.write_table(rows, path, ["peptide_id"])
+    return IN.read_table(s, path, rows.schema)
+
+
+@query
+def read_bed(s, d):
+    path = scratch(s)
+    W.write_bed(_blocks(s, d), path)
+    schema = "chrom string, start0 long, end0 long, name string, score string, strand string"
+    return s.read.schema(schema).csv(path, sep="\t").drop("score")
+
+
+@query
+def load_pwm(s, d):
+    path = scratch(s)
+    W.save_pwm(_pwm(s, d), path)
+    return rounded(IN.load_pwm(s, path))
+
+
 # reports
 
 

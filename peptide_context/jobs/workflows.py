@@ -1,0 +1,102 @@
+"""Whole runs from files to files: peptides to genomic DNA, cleavage sites, and the predictor.
+
+Each function reads its inputs by Spark, writes tables in the folder ``out`` and returns nothing; steps that several
+outputs need are written once as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.constants import FAMILY_RULES, PROTEASE_MOTIFS
+from ..operators import boundaries, cleavage, dataset, genemodel, homology, loci, ml, regions, report
+from ..operators.components import materialize
+from ..sources import readers, writers
+
+CHUNK = 1 << 16
+METHODS = report.METHODS | {5: "method5_locus"}
+
+
+def _mapped(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Peptides, their precursors and regions, and gene models, from FASTA, alignment and signal files."""
+    peptides = materialize(homology.clean_peptides(readers.read_fasta(spark, paths["peptides"]).select("id", "seq", "ord")))
+    proteome = readers.read_fasta(spark, paths["proteome"], "last").select("id", "seq", "title")
+    best = materialize(homology.best_precursor(homology.homology_hits(peptides, proteome)))
+    precursors = materialize(homology.unique_precursors(best))
+    map_ = best.select("peptide_id", "precursor_id", "gene_symbol", "stitle")
+    found = materialize(regions.define_regions(map_, precursors, peptides, readers.read_signal(spark, paths["signal"])))
+    mrna, cds = readers.read_gff(spark, paths["alignment"])
+    models = materialize(genemodel.best_gene_model(mrna, cds))
+    return {"peptides": peptides, "precursors": precursors, "map": map_, "regions": found, "models": models, "cds": materialize(cds)}
+
+
+def map_features(spark: SparkSession, paths: dict[str, str], out: str, rules: list[tuple[str, str, str]] | None = None) -> None:
+    """Peptides to the DNA of their features: methods/<name> as BED and FASTA, report tables.
+
+    ``paths``: peptides, proteome, signal, alignment, annotation, genome, and optionally rules (a table of families).
+    """
+    rules = rules or (readers.family_rules(spark, paths["rules"]) if "rules" in paths else FAMILY_RULES)
+    own = _mapped(spark, paths)
+    units = genemodel.coding_units(own["models"], own["cds"])
+    blocks = materialize(genemodel.method_blocks(own["regions"], units))
+    envelopes = materialize(genemodel.locus_envelope(own["regions"], own["models"], own["cds"]))
+    chunks = materialize(readers.read_genome(spark, paths["genome"], CHUNK))
+    for n, name in METHODS.items():
+        bed = envelopes if n == 5 else blocks.where(F.col("method") == n)
+        writers.write_bed(bed, f"{out}/methods/{name}.bed")
+        writers.write_fasta(genemodel.fetch_sequence(bed, chunks, "name", CHUNK), f"{out}/methods/{name}.fa", "name", "seq", None)
+    found = materialize(loci.enzyme_loci(loci.enzyme_rules(own["map"], rules), readers.read_gene_index(spark, paths["annotation"])))
+    writers.write_fasta(loci.enzyme_sequences(found, chunks, CHUNK), f"{out}/methods/method4_enzyme.fa", "name", "seq", None)
+    writers.write_table(report.pipeline_summary(own["map"], own["regions"], blocks, envelopes, found), f"{out}/report/pipeline_summary", ["stage"])
+    writers.write_table(report.feature_map(own["regions"], blocks, envelopes), f"{out}/report/precursor_feature_map", ["peptide_id"])
+
+
+def cleavage_sites(spark: SparkSession, paths: dict[str, str], out: str) -> None:
+    """Cut sites of the precursors, the learned matrix, rescored sites, predicted regions and their accuracy, a genome track.
+
+    ``paths`` as for ``map_features``, optionally with motifs (a table of cleavage motifs).
+    """
+    motifs = readers.cleavage_motifs(spark, paths["motifs"]) if "motifs" in paths else PROTEASE_MOTIFS
+    own = _mapped(spark, paths)
+    signal = materialize(readers.read_signal(spark, paths["signal"]))
+    sites = materialize(cleavage.scan_cleavage(own["precursors"], motifs))
+    windows = materialize(cleavage.junction_windows(own["precursors"], own["regions"]))
+    writers.write_table(cleavage.motif_pfm(windows), f"{out}/cleavage/motif_report", ["junction", "pos", "rank"])
+    writers.save_pwm(cleavage.build_pwm(windows, cleavage.background(own["precursors"])), f"{out}/cleavage/pwm")
+    pos = windows.select(F.concat_ws("|", "peptide_id", "junction").alias("id"), "window")
+    neg = cleavage.negative_windows(own["precursors"], own["regions"]).select(F.concat_ws("|", "precursor_id", "bond").alias("id"), "window")
+    model, metrics = ml.cut_model(pos, neg)
+    writers.write_table(metrics, f"{out}/cleavage/metrics")
+    pwm = readers.load_pwm(spark, f"{out}/cleavage/pwm")
+    scored = materialize(cleavage.score_sites(sites, pwm) if model is None else cleavage.score_sites_model(sites, model))
+    writers.write_table(scored.drop("window8"), f"{out}/cleavage/candidate_sites_scored", ["precursor_id", "bond", "enzyme"])
+    predicted = materialize(boundaries.predict_boundaries(own["precursors"], scored, signal))
+    writers.write_table(predicted, f"{out}/cleavage/predicted_regions", ["precursor_id"])
+    truth = own["regions"].select("precursor_id", "mature_start", F.col("peptide_id").alias("ord"))
+    rows, summary = boundaries.boundary_accuracy(predicted, truth, scored)
+    writers.write_table(rows, f"{out}/cleavage/boundary_accuracy", ["precursor_id"])
+    writers.write_table(summary, f"{out}/cleavage/boundary_summary")
+    writers.write_bed(boundaries.cutsites_bed(scored, genemodel.coding_units(own["models"], own["cds"])), f"{out}/cleavage/cutsites.bed")
+
+
+def predictor(spark: SparkSession, paths: dict[str, str], out: str, cv: int = 5, trees: int = 300, kind: str = "rf", threshold: float = 0.5) -> None:
+    """Positives from the mapped regions, decoys and other sequences; ablation, models, and scores of new peptides.
+
+    ``paths`` as for ``map_features``, with negatives and queries (FASTA).
+    """
+    own = _mapped(spark, paths)
+    positives = dataset.assemble_positives(own["peptides"], own["regions"], own["precursors"])
+    other = readers.read_fasta(spark, paths["negatives"]).select("id", "seq")
+    features = materialize(dataset.method_features(dataset.make_dataset(positives, other, 1)))
+    writers.write_table(ml.ablation(features, cv, 0, kind, trees), f"{out}/model/ablation", ["level"])
+    small, full, metrics = ml.train_models(features, cv, 0, kind, trees)
+    writers.write_table(metrics, f"{out}/model/metrics")
+    columns = [c for c in features.columns if c not in ("id", "label")]
+    for model, level, name in ((small, "M1", "model_m1"), (full, "M6", "model_full")):
+        if model is not None:
+            writers.save_model(model, dataset.cumulative_columns(columns, level), f"{out}/model/{name}")
+    if small is not None:
+        model, _ = readers.load_model(spark, f"{out}/model/model_m1")
+        scores = ml.predict_peptides(readers.read_fasta(spark, paths["queries"]).select("id", "seq"), model, threshold)
+        writers.write_table(scores, f"{out}/predictions", ["id"])

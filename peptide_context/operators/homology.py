@@ -82,33 +82,53 @@ def _seed_pairs(a: DataFrame, b: DataFrame, k: int, least: int) -> DataFrame:
     return hit.agg(F.count("*").alias("seeds"), F.first("least").alias("least")).where("seeds >= least").drop("least")
 
 
-def homology_hits(peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: int = 2, max_targets: int = 5, ignore_case: bool = True) -> DataFrame:
-    """Peptides (id, seq) against proteins (id, seq) by shared k-mers, ungapped.
+def homology_hits(
+    peptides: DataFrame, proteome: DataFrame, k: int = 5, seeds: int = 2, max_targets: int = 5, ignore_case: bool = True,
+    match: float = 5.0, mismatch: float = -2.0, scale: tuple[float, float] = (0.318, 0.134), max_evalue: float | None = None,
+) -> DataFrame:
+    """Peptides (id, seq) against proteins (id, seq, and a title if there is one) by shared k-mers, ungapped.
 
     A pair's best diagonal is the one with most seeds (ties: the least); identity is counted over the overlap on it.
     Returns at most ``max_targets`` rows a peptide, by equal residues, then target id: (qseqid, sseqid, diagonal,
-    seeds, same, pident, length, qlen, slen, qstart, sstart). Lower-case letters count as upper-case ones unless
-    ``ignore_case`` is off. A peptide needs ``seeds`` common k-mers, or all of its own if it has fewer; one shorter than
-    ``k`` finds nothing. This is a stated ungapped search, not a gapped aligner.
+    seeds, same, pident, length, qlen, slen, qstart, sstart, bitscore, evalue, stitle, full_sseq, ord), which
+    ``best_precursor`` takes. The score is ``match`` for an equal residue and ``mismatch`` for another; bits and the
+    expected number of such hits follow from it by the constants ``scale`` (lambda, K) and the residues of the proteome;
+    hits above ``max_evalue`` are left out. Lower-case letters count as upper-case ones unless ``ignore_case`` is off. A
+    peptide needs ``seeds`` common k-mers, or all of its own if it has fewer; one shorter than ``k`` finds nothing. This is a
+    stated ungapped search, not a gapped aligner.
     """
+    title = F.col("title") if "title" in proteome.columns else F.lit("")
+    proteome = proteome.select("id", "seq", title.alias("title"))
     if ignore_case:
-        peptides, proteome = (x.select("id", F.upper("seq").alias("seq")) for x in (peptides, proteome))
+        peptides, proteome = (x.withColumn("seq", F.upper("seq")) for x in (peptides, proteome))
     pairs = _seed_pairs(peptides, proteome, k, seeds).groupBy("a_id", "b_id")
     best = pairs.agg(F.max_by(F.struct("diagonal", "seeds"), F.struct("seeds", -F.col("diagonal"))).alias("d")).select("a_id", "b_id", "d.*")
     q = peptides.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq"))
     s = proteome.select(F.col("id").alias("b_id"), F.col("seq").alias("sseq"))
     full = best.join(q, "a_id").join(s, "b_id")
+    # only the stretch beside the peptide goes on, however long the target
+    lo = F.greatest(F.col("diagonal"), F.lit(0))
     full = full.select(
         F.col("a_id").alias("qseqid"), F.col("b_id").alias("sseqid"), "diagonal", F.col("seeds").cast("int").alias("seeds"),
-        F.length("qseq").alias("qlen"), F.length("sseq").alias("slen"), "qseq", "sseq",
+        F.length("qseq").alias("qlen"), F.length("sseq").alias("slen"), "qseq", F.substring("sseq", lo + 1, F.length("qseq")).alias("sseq"),
+        F.least(F.col("diagonal"), F.lit(0)).alias("at"),
     )
     schema = "qseqid string, sseqid string, diagonal int, seeds int, qlen int, slen int, same int, qlo int, overlap int"
-    found = full.mapInArrow(_ungapped, schema)
+    renamed = full.withColumnsRenamed({"diagonal": "own", "at": "diagonal"}).select("qseqid", "sseqid", F.col("own").alias("_d"), "seeds", "qlen", "slen", "qseq", "sseq", "diagonal")
+    found = renamed.mapInArrow(_ungapped, schema.replace("diagonal int", "_d int").replace("slen int,", "slen int, diagonal int,")).drop("diagonal").withColumnRenamed("_d", "diagonal")
+    score = F.col("same") * match + (F.col("overlap") - F.col("same")) * mismatch
+    found = found.withColumn("bitscore", (score * scale[0] - F.log(F.lit(scale[1]))) / F.log(F.lit(2.0)))
+    total = proteome.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("double").alias("_total"))
+    found = found.join(F.broadcast(total)).withColumn("evalue", F.col("qlen") * F.col("_total") * F.pow(F.lit(2.0), -F.col("bitscore"))).drop("_total")
+    if max_evalue is not None:
+        found = found.where(F.col("evalue") <= max_evalue)
     by = Window.partitionBy("qseqid").orderBy(F.col("same").desc(), "sseqid")
     found = found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= max_targets)
+    found = found.join(proteome.select(F.col("id").alias("sseqid"), F.col("title").alias("stitle"), F.col("seq").alias("full_sseq")), "sseqid")
     return found.select(
         "qseqid", "sseqid", "diagonal", "seeds", "same", (F.col("same") * 100.0 / F.col("overlap")).alias("pident"),
         F.col("overlap").alias("length"), "qlen", "slen", (F.col("qlo") + 1).alias("qstart"), (F.col("qlo") + F.col("diagonal") + 1).alias("sstart"),
+        "bitscore", "evalue", "stitle", "full_sseq", F.col("n").cast("long").alias("ord"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import materialize, small_side
+
 HIT_SCHEMA = (
     "qseqid string, sseqid string, pident double, length int, qlen int, slen int, qstart int, qend int, "
     "sstart int, send int, evalue double, bitscore double, stitle string, full_sseq string"
@@ -30,15 +32,48 @@ def _fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, on_duplicate: str = "all") -> DataFrame:
-    """(id, seq, ord): id is the header's first token; blank lines are skipped, lines joined.
+    """(id, seq, ord, title): id is the header's first token, title the whole header; blank lines are skipped, lines joined.
 
     ``on_duplicate``: "all" keeps every record, "last" the last record of an id. White space inside sequence lines
-    is dropped. Files with one very long record should be cut into chunks before they are used at scale.
+    is dropped. A record is one row; files with very long records, as genomes, are read by ``read_genome``.
     """
-    df = _fasta(spark, path).select(F.regexp_extract("header", r"^\s*(\S+)", 1).alias("id"), "seq", "ord")
+    df = _fasta(spark, path).select(F.regexp_extract("header", r"^\s*(\S+)", 1).alias("id"), "seq", "ord", F.col("header").alias("title"))
     return _last_wins(df, "id") if on_duplicate == "last" else df
 
 
+def read_genome(spark: SparkSession, path: str, chunk_len: int) -> DataFrame:
+    """(chrom, chunk_id, seq): the records of FASTA files in chunks of ``chunk_len`` bases, chrom the header's first token.
+
+    Lines are rows, so no task holds a chromosome. A line's record and place in it come from its own split where that has
+    the header, else from the splits before: a running sum over one row a split. Files hold whole records.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.rtrim("value").alias("v"))
+    head = F.startswith("v", F.lit(">"))
+    lines = materialize(lines.withColumn("head", F.when(head, F.regexp_extract("v", r"^>\s*(\S*)", 1))).withColumn("n", F.when(head, 0).otherwise(F.length("v"))))
+    # place inside the split, behind its last header before the line (runs of one split and file are a split's work)
+    upto = Window.partitionBy("f", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = lines.withColumn("block", F.count("head").over(upto))
+    run = Window.partitionBy("f", "part", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("chrom", F.last("head", True).over(upto)).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    # what each split leaves to the next one: its last record and how much of it, or only more of the record before
+    ends = lines.groupBy("f", "part").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("last"), F.max(F.when(F.col("head").isNotNull(), F.col("at"))).alias("at"), F.min("at").alias("first"))
+    tail = lines.join(F.broadcast(ends.withColumnRenamed("at", "_h").drop("first")), ["f", "part"]).where(F.col("_h").isNull() | (F.col("at") > F.col("_h")))
+    left = ends.join(tail.groupBy("f", "part").agg(F.sum("n").alias("n")), ["f", "part"], "left")
+    earlier = Window.partitionBy("f").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = left.withColumn("k", F.count("last").over(earlier)).withColumn("name", F.last("last", True).over(earlier))
+    since = Window.partitionBy("f", "k").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = left.withColumn("so_far", F.sum(F.coalesce("n", F.lit(0))).over(since))
+    step = Window.partitionBy("f").orderBy("first")
+    carried = small_side(materialize(left.select("f", "part", F.lag("name").over(step).alias("from"), F.lag("so_far").over(step).alias("offset"))))
+    rows = inside.where("head is null and n > 0").join(carried, ["f", "part"])
+    rows = rows.select(F.coalesce("chrom", "from").alias("chrom"), (F.col("before") + F.when(F.col("chrom").isNull(), F.coalesce("offset", F.lit(0))).otherwise(0)).alias("start"), "v", "n")
+    rows = rows.where("chrom is not null").withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("start") / chunk_len), F.floor((F.col("start") + F.col("n") - 1) / chunk_len))))
+    lo = F.greatest(F.col("chunk_id") * chunk_len - F.col("start"), F.lit(0))
+    piece = F.substring("v", (lo + 1).cast("int"), F.least(F.lit(chunk_len), (F.col("chunk_id") + 1) * chunk_len - F.col("start") - lo).cast("int"))
+    parts = rows.groupBy("chrom", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", piece.alias("p")))).alias("a"))
+    return parts.select("chrom", "chunk_id", F.array_join(F.transform("a", lambda x: x["p"]), "").alias("seq"))
+
+
 def read_promoters(spark: SparkSession, path: str) -> DataFrame:
     """(gene, role, chrom, start, end, strand, seq) from FASTA headers with six fields between bars."""
     f = F.split("header", r"\|")
@@ -120,6 +155,43 @@ def read_rules(spark: SparkSession, path: str, names: list[str], least: int) ->
     return raw.where(F.size(f) >= least).select(*[F.try_element_at(f, F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "ord")
 
 
+def _few(rules: DataFrame, columns: list[str], most: int = 10_000) -> list[tuple]:
+    """A rule table as the list that operators take: rules become literals of a plan, so they are few by nature."""
+    rows = rules.orderBy("ord").select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a rule table has at most {most} rows")
+    return [tuple(r) for r in rows]
+
+
+def family_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(pattern, role, gene) of each rule, for ``enzyme_rules``."""
+    return _few(read_rules(spark, path, ["pattern", "role", "gene"], 3), ["pattern", "role", "gene"])
+
+
+def cleavage_motifs(spark: SparkSession, path: str) -> list[tuple[str, str, str, int]]:
+    """(enzyme, role, pattern, cut offset) of each motif, for ``scan_cleavage``."""
+    rules = read_rules(spark, path, ["enzyme", "role", "pattern", "offset"], 4).withColumn("offset", F.col("offset").cast("int"))
+    return _few(rules, ["enzyme", "role", "pattern", "offset"])
+
+
+def tf_motifs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(factor, consensus) of each motif, for ``tfbs_hits``."""
+    return _few(read_rules(spark, path, ["tf", "consensus"], 2), ["tf", "consensus"])
+
+
+def load_pwm(spark: SparkSession, path: str) -> DataFrame:
+    """A matrix written by ``save_pwm``."""
+    return spark.read.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, columns) written by ``save_model``."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    columns = [r["name"] for r in spark.read.parquet(f"{path}/columns").orderBy("place").collect()]
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark.sparkContext), columns
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A tab-separated table with a header line and a given schema."""
     return spark.read.schema(schema).csv(path, sep="\t", header=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,11 @@ def write_fasta(df: DataFrame, path: str, name: str = "id", seq: str = "seq", wi
     df.select(fasta_record(F.col(name), F.col(seq), width).alias("value")).write.text(path)
 
 
-def save_model(model, path: str) -> None:
-    """A fitted pyspark.ml model, replacing what is there."""
-    model.write().overwrite().save(path)
+def save_model(model, columns: list[str], path: str) -> None:
+    """A fitted pyspark.ml model and the names of its feature columns in order, replacing what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    rows = SparkSession.active().createDataFrame(list(enumerate(columns)), "place int, name string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
 
 def save_pwm(pwm: DataFrame, path: str) -> None:
