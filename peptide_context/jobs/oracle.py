@@ -367,7 +367,7 @@ for _i in range(8):
 step("grams", "proteins", f"""SELECT id, {_bucket} AS b, sum(n) AS n FROM (SELECT id, md5(m) AS h, n FROM (SELECT id, m, count(*) AS n FROM (SELECT id, substring(seq, i, 2) AS m FROM (SELECT id, seq, unnest(range(1, length(seq))) AS i FROM proteins)) GROUP BY ALL)) GROUP BY ALL""")
 final("kmer_embedding", "proteins grams", """SELECT p.id, array_to_string(list_transform(range(0, 32), lambda i: CAST(CAST(round(coalesce(list_sum(list_transform(list_filter(g.v, lambda x: x.b = i), lambda x: x.n)), 0) / coalesce(g.norm, 1) * 10000) AS BIGINT) AS VARCHAR)), ',') AS vec
   FROM proteins p LEFT JOIN (SELECT id, list({'b': b, 'n': CAST(n AS DOUBLE)}) AS v, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM grams GROUP BY id) g ON g.id = p.id""")
-MERGED = ", ".join(f"{r6(f'coalesce(CAST(embedding[{i + 1}] AS DOUBLE), 0.0)')} AS m6p_{i}" for i in range(8))
+MERGED = ", ".join(f"{r6(f'coalesce(CAST(embedding[{i + 1}] AS DOUBLE), 0.0)')} AS m6p_{i}" for i in range(64))
 final("merge_embeddings", "proteins", f"SELECT id, {MERGED} FROM proteins LEFT JOIN embeddings ON concat('P', vec_id) = id")
 _in = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
 ENZ, AMPS = _in(GENES[:5]), _in(GENES[6:])

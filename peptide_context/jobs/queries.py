@@ -557,7 +557,7 @@ def kmer_embedding(s, d):
 @query
 def merge_embeddings(s, d):
     vec = A.table(s, d, "embeddings").select(F.concat(F.lit("P"), "vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
-    return rounded(E.merge_embeddings(A.proteins(s, d).select("id"), [(vec, "m6p_", 8)]))
+    return rounded(E.merge_embeddings(A.proteins(s, d).select("id"), [(vec, "m6p_", 64)]))
 
 
 @query

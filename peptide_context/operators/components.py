@@ -4,23 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_STEPS: ContextVar[tuple[str, ...]] = ContextVar("steps", default=())
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+        base = _LOCAL[app]
+    return "/".join([base.rstrip("/"), "tables", app, *_STEPS.get()])
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path below the cluster's shared ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests on one machine), a temporary folder stands in for it.
+    Where that setting is absent, a temporary folder stands in for it on one machine (tests); a cluster without it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -32,6 +44,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables written so far, or so far in the step. DataFrames that read them are of no use any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for the one that is handed to the function given: it is written outside.
+
+    ``with step(spark) as keep: result = keep(work(df))``
+    """
+    outer = _STEPS.get()
+    inner = _STEPS.set((*outer, uuid.uuid4().hex))
+
+    def keep(df: DataFrame) -> DataFrame:
+        own = _STEPS.set(outer)
+        try:
+            return materialize(df)
+        finally:
+            _STEPS.reset(own)
+
+    try:
+        yield keep
+        drop_tables(spark)
+    finally:
+        _STEPS.reset(inner)
+
+
 def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
     """``df`` to be broadcast if it is small, else as it is, to be joined by shuffle.
 

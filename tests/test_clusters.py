@@ -25,3 +25,16 @@ def test_hits_ignore_case(spark):
     got = {(r["qseqid"], r["sseqid"], r["same"]) for r in H.homology_hits(pep, prot).collect()}
     assert got == {("p", "P", 10), ("p", "Q", 10)}
     assert {r["sseqid"] for r in H.homology_hits(pep, prot, ignore_case=False).collect()} == {"Q"}
+
+
+def test_steps_drop_their_tables(spark):
+    import os
+
+    from peptide_context.operators.components import materialize, scratch, step
+
+    before = materialize(spark.range(3))
+    with step(spark) as keep:
+        inner = materialize(spark.range(5))
+        kept = keep(inner.where("id > 1"))
+        folder = os.path.dirname(scratch(spark))
+    assert kept.count() == 3 and before.count() == 3 and not os.path.exists(folder.removeprefix("file:"))
