@@ -12,6 +12,7 @@ from peptide_context.llm.mixing import mix
 from peptide_context.llm.ngram_join import link
 from peptide_context.llm.packing import pack_documents
 from peptide_context.llm.registry import tokenizer_path
+from peptide_context.operators.components import step
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,8 +106,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet and read again by the next."""
+    """All stages over documents; each one's rows are written as Parquet and read again by the next. What a stage writes on
+    its way is removed when its rows are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with step(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs
