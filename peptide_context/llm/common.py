@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components, materialize, scratch, small_side  # noqa: F401
@@ -23,6 +23,16 @@ def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Texts go to Python in batches of at most ``most`` bytes, so that neither the JVM nor a worker holds many at a time.
+
+    Sets the session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default) where the user has not set it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize
+from .common import byte_slices, materialize, small_batches
 
 UNKNOWN = "und"
 ORDER = 4
@@ -29,7 +29,7 @@ FIT_DOCS = 1500  # bound of the fit: documents a language, chosen by a seeded ha
 FIT_CALIBRATE = 5  # every fifth of them is kept from the counts and sets the rejection level,
 CALIBRATE_FROM = 20  # in languages with so many different texts; a language with fewer learns from all of them
 DISCOUNT = 0.75
-TEXT_BYTES = 8 << 20  # of texts that a task scores at a time
+TEXT_BYTES = 6 << 20  # of texts that a task scores at a time
 _WORDS = regex.compile(r"\p{L}+")
 _MARK = "\x02"
 
@@ -302,6 +302,7 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
     are each classified; other columns are ignored. Without a learned language every row is ``und``, and accepted if it has
     a letter: nothing is known that could reject it.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +322,7 @@ def classify(docs: DataFrame, model: Model, deviations: float = 8.0, margin: flo
 
 def keep_accepted(docs: DataFrame, model: Model, deviations: float = 8.0, margin: float = 1.0) -> DataFrame:
     """The rows of ``docs`` that ``classify`` accepts, with all their columns and without a shuffle."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_side, text_or_empty
+from .common import components, materialize, small_batches, small_side, text_or_empty
 from .hashing import mix, shingle_sets
 
 NUM, DEN = 4, 5  # links reach a Jaccard similarity of NUM / DEN
@@ -470,6 +470,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     texts have no set and link with nothing; a row without doc_id links with nothing but counts its set. Rows that
     repeat are copies and link. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 6  # a word and its space
     bits, chunk = _buckets(total * 2 / DEN)

@@ -7,7 +7,6 @@ against the histogram of lengths, rounded down, and what is left is packed greed
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, rank_within, small_side
+from .common import byte_slices, materialize, rank_within, small_batches, small_side
 
 WINDOW = 2048
 END_ID = 1
-TEXT_BYTES = 12 << 20  # of texts that a task holds as words at a time
+TEXT_BYTES = 8 << 20  # of texts that a task holds as words at a time
 #: ASCII marks that the vocabulary takes as one run behind a word; the apostrophe may start a part of its own.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _STEM = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+$"
@@ -47,9 +46,8 @@ class _Words:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.plain = Tokenizer.from_file(path)
-        parts = json.loads(self.plain.to_str())
-        split = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-        self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+        self.merges = Tokenizer(self.plain.model)  # the same tables, without normalizer and special tokens
+        self.merges.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x130)) if c.isalpha() and c == c.lower()}
         self.stems: dict[str, int] = {}  # place in the table of spans
@@ -58,8 +56,8 @@ class _Words:
 
     def _learn(self, stems: list[str]) -> None:
         pools, sizes = [self.pool], [np.diff(self.at)]
-        for i in range(0, len(stems), 20_000):
-            part = stems[i : i + 20_000]
+        for i in range(0, len(stems), 5_000):
+            part = stems[i : i + 5_000]
             found = self.merges.encode(" ".join(part).translate(self.spelling), add_special_tokens=False)
             pools.append(np.asarray(found.ids, np.uint32))
             sizes.append(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part)))
@@ -147,6 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
         columns = [doc.take(pa.array(which)), *map(pa.array, (start, size, crc, total[which], np.full(len(size), part), place))]
         return pa.record_batch(columns + ([pa.array([bytes(x) for x in found], pa.binary())] if ids else []), list(kinds))
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return read.mapInArrow(cut, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in kinds))
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_or_empty
+from .common import materialize, small_batches, small_side, text_or_empty
 from .hashing import prefix_hash, sliding_argmin, span_hash
 
 LENGTH, GRAM, STEP = 400, 64, 32
@@ -220,6 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     Groups are counted by pre-aggregation and joined back, never gathered; only a document's own spans meet in a row.
     """
+    small_batches(docs.sparkSession)
     none = F.lit(-(1 << 63))  # stands for a null doc_id in keys
     read = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), text_or_empty().alias("text"))
     read = read.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
