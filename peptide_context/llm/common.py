@@ -37,7 +37,7 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], bits: int = 10, split: int = 100_000) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], bits: int = 10, split: int = 1000) -> DataFrame:
     """Adds ``rank``: the 0-based place of a row among those with equal ``keys``, by the long hash ``order``.
 
     A key of more than ``split`` rows is split by the top ``bits`` of the hash, so that one with a third of all rows is
