@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import AMINO_ACIDS, FLANK, HYDROPATHY, POSITION_LABELS, PROTEASE_MOTIFS
-from ..functions.sequences import count_of, full_window, logistic, seeded_rank_key, site_window
+from ..functions.sequences import count_of, full_window, logistic, seeded_rank_key
 
 
 def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
@@ -22,32 +22,32 @@ def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS,
     """
     patterns = [(p, o) for _, _, p, o, *_ in motifs]
 
-    @F.arrow_udf("array<struct<motif_ord:int,bond:int>>")
+    @F.arrow_udf("array<struct<motif_ord:int,bond:int,left:string,right:string>>")
     def matches(seqs: pa.Array) -> pa.Array:
         compiled = [(n, re.compile(p), o) for n, (p, o) in enumerate(patterns)]
-        motif, bond, ends = [], [], [0]
+        motif, bond, left, right, ends = [], [], [], [], [0]
         for seq in seqs:
             text = seq.as_py() or ""
             for n, pattern, offset in compiled:
-                found = [m.start() + offset for m in pattern.finditer(text)]
-                bond += found
+                found = [b for m in pattern.finditer(text) if 1 <= (b := m.start() + offset) < len(text)]
                 motif += [n] * len(found)
+                bond += found
+                # cut here: a substring of a long text by the JVM walks to its place from the start
+                left += [text[max(b - flank, 0) : b] for b in found]
+                right += [text[b : b + flank] for b in found]
             ends.append(len(bond))
-        rows = pa.StructArray.from_arrays([pa.array(motif, pa.int32()), pa.array(bond, pa.int32())], ["motif_ord", "bond"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("motif_ord") + 1)
-    found = precursors.select(F.col("id").alias("precursor_id"), "seq", matches("seq").alias("k"))
-    sites = found.select("precursor_id", "seq", F.explode("k").alias("k")).select("precursor_id", "seq", "k.*")
-    return _site_columns(sites.withColumn("enzyme", name(0)).withColumn("role", name(1)), flank)
-
-
-def _site_columns(sites: DataFrame, flank: int) -> DataFrame:
-    bond, seq = F.col("bond"), F.col("seq")
-    return sites.where((bond >= 1) & (bond < F.length(seq))).select(
-        "precursor_id", "enzyme", "role", "bond", F.substring(seq, bond, F.lit(1)).alias("p1_residue"),
-        site_window(seq, bond, flank).alias("window"), full_window(seq, bond, flank).alias("window8"),
-        F.length(seq).alias("seq_len"), "motif_ord", F.lit(1.0).alias("score"),
+        columns = [pa.array(motif, pa.int32()), pa.array(bond, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["motif_ord", "bond", "left", "right"]))
+
+    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("k.motif_ord") + 1)
+    found = precursors.select(F.col("id").alias("precursor_id"), F.length("seq").alias("seq_len"), matches("seq").alias("k"))
+    sites = found.select("precursor_id", "seq_len", F.explode("k").alias("k"))
+    left, right = F.col("k.left"), F.col("k.right")
+    full = (F.length(left) == flank) & (F.length(right) == flank)
+    return sites.select(
+        "precursor_id", name(0).alias("enzyme"), name(1).alias("role"), "k.bond", F.right(left, F.lit(1)).alias("p1_residue"),
+        F.concat(left, F.lit("|"), right).alias("window"), F.when(full, F.concat(left, right)).alias("window8"),
+        "seq_len", "k.motif_ord", F.lit(1.0).alias("score"),
     )
 
 
