@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import spread
+
 CHUNK = 1000
 SYMBOLS = ["CAMP", "DEFA1", "DEFB4A", "HTN1", "DCD", "LTF", "."]
 GENES = ["PRTN3", "KLK5", "MMP7", "FURIN", "CTSD", "ABCA1", "CAMP", "DEFA1", "DEFB4A", "HTN1", "DCD"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def letters() -> str:

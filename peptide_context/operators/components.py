@@ -44,6 +44,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer splits than there are, as a small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Removes the tables written so far, or so far in the step. DataFrames that read them are of no use any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
