@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key"))
     close = keys.join(small_side(shared), "key").select("_at._d", "_at._r", "_at._pos", "less", "j", "key")
     wanted = close.groupBy(F.col("_d").alias("_wd"), F.col("_r").alias("_wr")).agg(F.collect_set(F.struct("_pos", "less", "j", "key")).alias("_want"))
-    wanted = small_side(materialize(wanted), 500_000, F.size("_want"))
+    wanted = small_side(materialize(wanted), 1_000_000, F.size("_want"))
     fetched = lines.join(wanted, F.col("_d").eqNullSafe(F.col("_wd")) & (F.col("_r") == F.col("_wr")))
     fetched = fetched.select(at.alias("_at"), "_line", "_len", F.explode("_want").alias("_w")).where("_w._pos = _at._pos")
     fetched = materialize(fetched.select("_at", "_line", "_len", "_w.less", "_w.j", "_w.key"))
@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False
     judged = small_side(materialize(judged.select("_h1", "_h2", F.col("_at").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))))
     gone = lines.select(*ids, "_d", "_r", "_pos").join(judged, ["_h1", "_h2"])
     gone = gone.where(F.col("_near") | (at != F.col("_first"))).groupBy(F.col("_d").alias("_gd"), F.col("_r").alias("_gr"))
-    gone = small_side(materialize(gone.agg(F.collect_set("_pos").alias("_gone"))), 500_000, F.size("_gone"))
+    gone = small_side(materialize(gone.agg(F.collect_set("_pos").alias("_gone"))), 4_000_000, F.size("_gone"))
     full = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_rk"), F.col("text").alias("_text"))
     full = full.join(gone, F.col("_id").eqNullSafe(F.col("_gd")) & (F.col("_rk") == F.col("_gr")), "left")
     stays = F.filter(F.split("_text", LINE), lambda x, i: ~F.array_contains("_gone", i))
