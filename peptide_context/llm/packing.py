@@ -99,6 +99,27 @@ class _Words:
         return ids, np.cumsum(size) - size, size
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, ids_at_a_time: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of each, all ids one after the other) of batches (doc_id, text), about a million ids at a time; ``end_id`` follows
+    each text, and null is an empty text."""
+    known = _Words(tokenizer)
+    for batch in batches:
+        for a, b in byte_slices(batch.column(1), TEXT_BYTES):
+            doc, texts = batch.column(0).slice(a, b - a), pc.fill_null(batch.column(1).slice(a, b - a), "")
+            lists = pc.ascii_split_whitespace(texts)
+            words = pc.list_flatten(lists).dictionary_encode()
+            pool, start, length = known.encode(words.dictionary)
+            code, edge = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ends = np.concatenate([[0], np.cumsum(length[code])])[edge]
+            at = 0
+            while at < len(doc):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + ids_at_a_time, side="right")) - 1)
+                own = code[edge[at] : edge[to]]
+                flat = np.insert(_spans(pool, start[own], length[own]), ends[at + 1 : to + 1] - ends[at], end_id).astype("<u4")
+                yield doc.slice(at, to - at), np.diff(ends[at : to + 1]) + 1, flat
+                at = to
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, ids: bool = True) -> DataFrame:
     """Cuts the ids of each text, and ``end_id`` behind them, into pieces of ``window`` ids and one shorter rest.
 
@@ -112,22 +133,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     kinds |= {"ids": pa.binary()} if ids else {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, seen = _Words(tokenizer), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        for batch in batches:
-            for a, b in byte_slices(batch.column(1), TEXT_BYTES):
-                doc, texts = batch.column(0).slice(a, b - a), pc.fill_null(batch.column(1).slice(a, b - a), "")
-                lists = pc.ascii_split_whitespace(texts)
-                words = pc.list_flatten(lists).dictionary_encode()
-                pool, start, length = known.encode(words.dictionary)
-                code, edge = words.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                ends = np.concatenate([[0], np.cumsum(length[code])])[edge]
-                at = 0
-                while at < len(doc):  # about a million ids at a time
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), side="right")) - 1)
-                    own = code[edge[at] : edge[to]]
-                    flat = np.insert(_spans(pool, start[own], length[own]), ends[at + 1 : to + 1] - ends[at], end_id).astype("<u4")
-                    yield pieces(doc.slice(at, to - at), np.diff(ends[at : to + 1]) + 1, flat, part, seen)
-                    at = to
+        part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        for doc, total, flat in encoded(batches, tokenizer, end_id):
+            yield pieces(doc, total, flat, part, seen)
 
     def pieces(doc: pa.Array, total: np.ndarray, flat: np.ndarray, part: int, seen: np.ndarray) -> pa.RecordBatch:
         n = -(-total // window)
