@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+
+BROADCAST_BYTES = 64 << 20
 
 _LOCAL: dict[str, str] = {}
 _STEPS: ContextVar[tuple[str, ...]] = ContextVar("steps", default=())
@@ -79,14 +82,31 @@ def step(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _STEPS.reset(inner)
 
 
-def small_side(df: DataFrame, most: int = 1_000_000, weight=None) -> DataFrame:
-    """``df`` to be broadcast if it is small, else as it is, to be joined by shuffle.
+def _memory(kind: DataType, value: Column) -> Column | int:
+    """Bytes that a value takes in a broadcast table, about; a number where all values of its type take the same."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, StructType):
+        return 16 + sum((_memory(f.dataType, value.getField(f.name)) for f in kind.fields), 0)
+    if isinstance(kind, ArrayType):
+        one = _memory(kind.elementType, value)
+        if isinstance(one, int):
+            return F.lit(24) + one * F.coalesce(F.size(value), F.lit(0)).cast("long")
+        each = F.transform(value, lambda x: _memory(kind.elementType, x).cast("long"))
+        return F.lit(24) + F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(0))
+    return 8
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if its rows take at most ``most`` bytes there, else as it is, to be joined by shuffle.
 
-    Small is at most ``most`` rows, or a sum of the column ``weight`` (the lengths of its arrays, say) of at most
-    that: some tens of MB. ``df`` should be a written table of few columns. It is counted, never assumed.
+    ``df`` should be a written table of few columns. Its bytes are summed up (rows of fixed width are only counted), never
+    assumed: 64 a row for headers and the hash table's slot, and what the values take.
     """
-    size = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] if weight is not None else df.limit(most + 1).count()
-    return F.broadcast(df) if size <= most else df
+    row = 64 + _memory(df.schema, F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns]))
+    if isinstance(row, int):
+        return F.broadcast(df) if df.limit(most // row + 1).count() * row <= most else df
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0] <= most else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
