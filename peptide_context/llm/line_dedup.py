@@ -51,18 +51,19 @@ def _variants(line: Column, length: Column, less: Column, j: Column, key: Column
     return F.when(less == 0, F.concat(swap, whole)).otherwise(longer)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """``docs`` with its columns, ``text`` without the lines that go, ``n_chars`` (if there) counted again, and n_dropped.
 
     Lines are what stands between line feeds, in the order of doc_id (null first) and place in the text. Lines of
-    fewer than ``min_chars`` characters always stay and let others stay; with ``short``, those that are not blank go if
-    an earlier line is exactly the same, as one edit makes another word of a short line. A line is judged against all
+    fewer than ``min_chars`` characters go if an earlier line is exactly the same, as one edit makes another word of a short
+    line; blank ones always stay, and without ``short`` all of them. A line is judged against all
     earlier lines, also those that go themselves. Every row stays, with an empty text if all its lines go; null texts stay null.
     Rows alike in doc_id and text share their fate: both keep the lines that come first there. Other columns are
     passed on (an n_dropped of the input is replaced); an empty table gives an empty result.
 
     Scale: a line's place and hashes are shuffled, not its text; a line that very many documents share is
-    pre-aggregated to one row before anything is joined; texts are fetched only for lines whose remainder is shared.
+    pre-aggregated to one row before anything is joined; texts are fetched only for lines whose remainder is shared. To be
+    built again, the rows are shuffled once, at every size alike, by doc_id and hash, without a sort: the lists of places are the hashed side.
     """
     if min_chars < 2 * BLOCKS:
         raise ValueError(f"min_chars must be at least {2 * BLOCKS}")
@@ -83,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key"))
     close = keys.join(small_side(shared), "key").select("_at._d", "_at._r", "_at._pos", "less", "j", "key")
     wanted = close.groupBy(F.col("_d").alias("_wd"), F.col("_r").alias("_wr")).agg(F.collect_set(F.struct("_pos", "less", "j", "key")).alias("_want"))
-    wanted = small_side(materialize(wanted), 1_000_000, F.size("_want"))
+    wanted = small_side(materialize(wanted))
     fetched = lines.join(wanted, F.col("_d").eqNullSafe(F.col("_wd")) & (F.col("_r") == F.col("_wr")))
     fetched = fetched.select(at.alias("_at"), "_line", "_len", F.explode("_want").alias("_w")).where("_w._pos = _at._pos")
     fetched = materialize(fetched.select("_at", "_line", "_len", "_w.less", "_w.j", "_w.key"))
@@ -106,9 +107,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False
     judged = small_side(materialize(judged.select("_h1", "_h2", F.col("_at").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))))
     gone = lines.select(*ids, "_d", "_r", "_pos").join(judged, ["_h1", "_h2"])
     gone = gone.where(F.col("_near") | (at != F.col("_first"))).groupBy(F.col("_d").alias("_gd"), F.col("_r").alias("_gr"))
-    gone = small_side(materialize(gone.agg(F.collect_set("_pos").alias("_gone"))), 4_000_000, F.size("_gone"))
-    full = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_rk"), F.col("text").alias("_text"))
+    gone = materialize(gone.agg(F.collect_set("_pos").alias("_gone"))).hint("shuffle_hash")
+    full = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_rk"))
     full = full.join(gone, F.col("_id").eqNullSafe(F.col("_gd")) & (F.col("_rk") == F.col("_gr")), "left")
+    full = full.withColumn("_text", F.col("_row").getField("text").cast("string"))
     stays = F.filter(F.split("_text", LINE), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(stays, LINE))
     full = full.select("_row", text.alias("_text"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"))

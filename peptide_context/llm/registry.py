@@ -118,8 +118,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select(
-        "doc_id", (F.col("n_removed") > 0).alias("changed"), "n_removed", "n_spans", "n_bytes", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
-        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
@@ -163,19 +162,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of documents d, those that go, and the texts left: used for the query and for the pipeline's stage.
-SQL["op2_line_dedup"] = """
+SQL["op2_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
 ), u AS (
-  SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS at FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS at FROM l GROUP BY line
 ), near AS (
-  SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
-  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n + 1 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
-  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n - 1 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+  SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n AND x.n >= 20 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n + 1 AND x.n >= 20 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM u x JOIN u y ON y.n = x.n - 1 AND x.n >= 21 AND y.at < x.at WHERE levenshtein(x.line, y.line) <= 1
 ), j AS (
   SELECT l.doc_id, l.pos, l.line,
-         length(l.line) >= 20 AND (near.line IS NOT NULL OR u.at <> l.doc_id * 1000000 + l.pos) AS gone
+         regexp_matches(l.line, '[^ \t\n\x0B\f\r]') AND (near.line IS NOT NULL OR u.at <> l.doc_id * 1000000 + l.pos) AS gone
   FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN near ON near.line = l.line
 ), t AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text,

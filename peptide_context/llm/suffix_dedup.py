@@ -206,7 +206,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_texts(read: DataFrame, ranges: DataFrame, fields: list[str]) -> DataFrame:
     """(doc_id, rk, text, ranges) of the texts with ranges: these are broadcast if few, else joined by shuffle."""
     own = ranges.groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_r")).agg(F.collect_list(F.struct(*fields)).alias("ranges"))
-    own = small_side(materialize(own), 4_000_000, F.size("ranges"))
+    own = small_side(materialize(own))
     return read.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("rk") == F.col("_r"))).select("doc_id", "rk", "text", "ranges")
 
 
