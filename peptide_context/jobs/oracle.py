@@ -95,16 +95,36 @@ final("best_precursor", "best", f"""SELECT qseqid AS peptide_id, sseqid AS precu
 final("gene_symbol", "hits", f"SELECT qseqid, sseqid, ord, {SYMBOL} AS gene_symbol FROM hits")
 final("unique_precursors", "best", "SELECT sseqid AS id, replace(arg_min(full_sseq, ord), '-', '') AS seq FROM best GROUP BY sseqid")
 KMERS = "SELECT id, i, substring(seq, i + 1, 5) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - 4)) AS i FROM {0} WHERE length(seq) >= 5)"
-step("seeds", "peptides proteins", f"""SELECT a, b, d, count(*) AS seeds FROM (SELECT x.id AS a, y.id AS b, y.i - x.i AS d
-  FROM ({KMERS.format("peptides")}) x JOIN ({KMERS.format("proteins")}) y ON x.k = y.k) JOIN (SELECT id AS own, length(seq) AS n FROM peptides) ON own = a GROUP BY a, b, d, n HAVING count(*) >= least(2, n - 4)""")
+step("upper_peptides", "peptides", "SELECT id, upper(seq) AS seq FROM peptides")
+step("seeds", "upper_peptides proteins", f"""SELECT a, b, d, count(*) AS seeds FROM (SELECT x.id AS a, y.id AS b, y.i - x.i AS d
+  FROM ({KMERS.format("upper_peptides")}) x JOIN ({KMERS.format("proteins")}) y ON x.k = y.k) JOIN (SELECT id AS own, length(seq) AS n FROM upper_peptides) ON own = a GROUP BY a, b, d, n HAVING count(*) >= least(2, n - 4)""")
 step("diagonal", "seeds", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY seeds DESC, d) AS k FROM seeds) WHERE k = 1")
-step("aligned", "diagonal peptides proteins", """SELECT a, b, d, seeds, q.seq AS x, t.seq AS y, greatest(0, -d) AS lo, least(length(q.seq), length(t.seq) - d) AS hi
-  FROM diagonal JOIN peptides q ON q.id = a JOIN proteins t ON t.id = b""")
+step("aligned", "diagonal upper_peptides proteins", """SELECT a, b, d, seeds, q.seq AS x, t.seq AS y, greatest(0, -d) AS lo, least(length(q.seq), length(t.seq) - d) AS hi
+  FROM diagonal JOIN upper_peptides q ON q.id = a JOIN proteins t ON t.id = b""")
 final("homology_hits", "aligned", f"""SELECT a AS qseqid, b AS sseqid, CAST(d AS INTEGER) AS diagonal, CAST(seeds AS INTEGER) AS seeds, CAST(same AS INTEGER) AS same, {r6("same * 100.0::DOUBLE / (hi - lo)")} AS pident,
   CAST(hi - lo AS INTEGER) AS length, CAST(length(x) AS INTEGER) AS qlen, CAST(length(y) AS INTEGER) AS slen, CAST(lo + 1 AS INTEGER) AS qstart, CAST(lo + d + 1 AS INTEGER) AS sstart
   FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY same DESC, b) AS k FROM
     (SELECT *, (hi - lo) - hamming(substring(x, lo + 1, hi - lo), substring(y, lo + d + 1, hi - lo)) AS same FROM aligned)) WHERE k <= 5""")
 
+# clusters: similar pairs, then greedy choice, round by round
+ROUNDS = 12
+step("distinct_peptides", "upper_peptides", "SELECT seq, min(id) AS id, length(seq) AS n FROM upper_peptides GROUP BY seq")
+FOURS = "SELECT id, n, i, substring(seq, i + 1, 4) AS k FROM (SELECT id, n, seq, unnest(range(0, n - 3)) AS i FROM distinct_peptides WHERE n >= 4)"
+step("alike", "distinct_peptides", f"""SELECT DISTINCT a, b FROM (
+  SELECT DISTINCT x.id AS a, y.id AS b, y.i - x.i AS d FROM ({FOURS}) x JOIN ({FOURS}) y ON x.k = y.k WHERE y.n > x.n OR (y.n = x.n AND y.id < x.id)
+  ) JOIN distinct_peptides p ON p.id = a JOIN distinct_peptides q ON q.id = b
+  WHERE least(p.n, q.n - d) - greatest(0, -d) >= p.n * 0.9 AND least(p.n, q.n - d) - greatest(0, -d)
+    - hamming(substring(p.seq, greatest(0, -d) + 1, least(p.n, q.n - d) - greatest(0, -d)), substring(q.seq, greatest(0, -d) + d + 1, least(p.n, q.n - d) - greatest(0, -d))) >= p.n * 0.9""")
+step("open0", "alike", "SELECT a AS id FROM alike UNION SELECT b FROM alike")
+for r in range(ROUNDS):
+    step(f"chosen{r}", f"open{r} alike", f"SELECT id FROM open{r} WHERE id NOT IN (SELECT a FROM alike WHERE a IN (SELECT id FROM open{r}) AND b IN (SELECT id FROM open{r}))")
+    step(f"open{r + 1}", f"chosen{r}", f"SELECT id FROM open{r} WHERE id NOT IN (SELECT id FROM chosen{r}) AND id NOT IN (SELECT a FROM alike WHERE b IN (SELECT id FROM chosen{r}))")
+step("chosen", " ".join(f"chosen{r}" for r in range(ROUNDS)), " UNION ALL ".join(f"SELECT id FROM chosen{r}" for r in range(ROUNDS)))
+step("joined", "chosen", """SELECT a AS id, arg_min(b, (-n, b)) AS rep FROM alike JOIN distinct_peptides p ON p.id = b
+  WHERE b IN (SELECT id FROM chosen) AND a NOT IN (SELECT id FROM chosen) GROUP BY a""")
+final("cluster_peptides", f"joined open{ROUNDS}", f"""SELECT u.id, CASE WHEN (SELECT count(*) FROM open{ROUNDS}) > 0 THEN 'not settled' ELSE coalesce(j.rep, p.id) END AS representative
+  FROM upper_peptides u JOIN distinct_peptides p ON p.seq = u.seq LEFT JOIN joined j ON j.id = p.id""")
+
 step("scored_hits", "aligned proteins", """SELECT *, (x5 * 0.318::DOUBLE - ln(0.134::DOUBLE)) / ln(2.0::DOUBLE) AS bitscore FROM (SELECT *, same * 5.0::DOUBLE + ((hi - lo) - same) * (-2.0::DOUBLE) AS x5,
     row_number() OVER (PARTITION BY a ORDER BY same DESC, b) AS k FROM
     (SELECT *, (hi - lo) - hamming(substring(x, lo + 1, hi - lo), substring(y, lo + d + 1, hi - lo)) AS same FROM aligned)) WHERE k <= 5""")

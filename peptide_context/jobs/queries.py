@@ -128,14 +128,14 @@ def cluster_peptides(s, d):
 
 @query
 def homology_hits(s, d):
-    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False)  # as its SQL
+    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d))
     return rounded(hits.drop("bitscore", "evalue", "stitle", "full_sseq", "ord"))
 
 
 @query
 def homology_precursors(s, d):
     """Search and best hit in one: what the search finds goes to the choice of precursors."""
-    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d), ignore_case=False)
+    hits = H.homology_hits(A.peptides(s, d), A.proteins(s, d))
     return rounded(H.best_precursor(hits).drop("full_sseq", "ord"))
 
 

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import gene_symbol, kmers
-from .components import components, materialize, small_side
+from .components import materialize, small_side
+from .ungapped import Index, Texts, best_diagonals, equal_residues, first_of
+
+BLOCK_RESIDUES = 1 << 20  # of the peptides that one unit of a search holds
+LANE_RESIDUES = 4 << 20  # of the proteins that it holds
 
 
 def clean_peptides(seqs: DataFrame) -> DataFrame:
@@ -49,37 +53,23 @@ def unique_precursors(best: DataFrame) -> DataFrame:
     return best.groupBy(F.col("precursor_id").alias("id")).agg(first).select("id", F.replace(F.col("s"), F.lit("-"), F.lit("")).alias("seq"))
 
 
-def _ungapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts equal residues of each (query, target) pair on one diagonal."""
-    for batch in batches:
-        q, s, d = (batch.column(c).to_pylist() for c in ("qseq", "sseq", "diagonal"))
-        same, start, length = [], [], []
-        for a, b, off in zip(q, s, d, strict=True):
-            x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-            lo, hi = max(0, -off), min(len(x), len(y) - off)
-            same.append(int((x[lo:hi] == y[lo + off : hi + off]).sum()))
-            start.append(lo)
-            length.append(hi - lo)
-        yield batch.drop_columns(["qseq", "sseq"]).append_column("same", pa.array(same, pa.int32())).append_column(
-            "qlo", pa.array(start, pa.int32())
-        ).append_column("overlap", pa.array(length, pa.int32()))
-
-
-def _seed_pairs(a: DataFrame, b: DataFrame, k: int, least: int) -> DataFrame:
-    """(a_id, b_id, diagonal, seeds) of sequence pairs that share at least ``least`` k-mers on a diagonal, or all k-mers
-    of the first sequence if it has fewer.
-
-    Of b only k-mers that a has are kept; a's are broadcast if they are few, and then b is not moved at all. Beyond that
-    both are tables joined by shuffle, whose hot keys Spark deals anew. Pairs are counted before sequences are fetched.
-    """
-    left = a.select(F.col("id").alias("a_id"), F.length("seq").alias("n"), F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer"))
-    left = materialize(left.select("a_id", "i", "kmer", F.least(F.lit(least), F.col("n") - k + 1).alias("least")))
-    right = b.select(F.col("id").alias("b_id"), F.posexplode(kmers(F.col("seq"), k)).alias("j", "kmer"))
-    side = small_side(left)
-    if side is left:
-        right = materialize(right.join(small_side(materialize(left.select("kmer").distinct())), "kmer", "left_semi"))
-    hit = right.join(side, "kmer").groupBy("a_id", "b_id", (F.col("j") - F.col("i")).alias("diagonal"))
-    return hit.agg(F.count("*").alias("seeds"), F.first("least").alias("least")).where("seeds >= least").drop("least")
+def _letters(seq: Column, ignore_case: bool = True) -> Column:
+    """Sequences as they are compared: one byte a residue, so that places in bytes are places; others than ASCII become ``?``."""
+    plain = F.regexp_replace(F.coalesce(seq, F.lit("")), r"[^\x00-\x7F]", "?")
+    return F.upper(plain) if ignore_case else plain
+
+
+def _bytes(column: pa.ChunkedArray) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def _dealt(df: DataFrame, name: str, residues: int, least: int = 1) -> tuple[DataFrame, int]:
+    """``df`` with a number ``name`` that deals its rows by id into parts of about ``residues``, and how many parts there are."""
+    n = max(least, -(-df.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0] // residues))
+    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+
+_FOUND = "qseqid string, sseqid string, diagonal int, seeds int, same int, qlo int, overlap int, qlen int, slen int"
 
 
 def homology_hits(
@@ -93,67 +83,124 @@ def homology_hits(
     seeds, same, pident, length, qlen, slen, qstart, sstart, bitscore, evalue, stitle, full_sseq, ord), which
     ``best_precursor`` takes. The score is ``match`` for an equal residue and ``mismatch`` for another; bits and the
     expected number of such hits follow from it by the constants ``scale`` (lambda, K) and the residues of the proteome;
-    hits above ``max_evalue`` are left out. Lower-case letters count as upper-case ones unless ``ignore_case`` is off. A
-    peptide needs ``seeds`` common k-mers, or all of its own if it has fewer; one shorter than ``k`` finds nothing. This is a
-    stated ungapped search, not a gapped aligner.
+    hits above ``max_evalue`` are left out. Lower-case letters count as upper-case ones unless ``ignore_case`` is off; characters
+    beyond ASCII are all one unknown letter. A peptide needs ``seeds`` common k-mers, or all of its own if it has fewer; one
+    shorter than ``k`` (at most 9) finds nothing. Ids are taken to be unique. This is a stated ungapped search, not a gapped aligner.
+
+    Scale: the peptides are a set of queries against all proteins, in blocks. A unit of work holds a block of peptides with its
+    index of k-mers and a lane of proteins, both of bounded size; it finds diagonals, compares residues and keeps the best
+    ``max_targets`` of each peptide there. No pair leaves it but those, so common k-mers cost time but move nothing, and
+    none is left out.
     """
     title = F.col("title") if "title" in proteome.columns else F.lit("")
-    proteome = proteome.select("id", "seq", title.alias("title"))
-    if ignore_case:
-        peptides, proteome = (x.withColumn("seq", F.upper("seq")) for x in (peptides, proteome))
-    pairs = _seed_pairs(peptides, proteome, k, seeds).groupBy("a_id", "b_id")
-    best = pairs.agg(F.max_by(F.struct("diagonal", "seeds"), F.struct("seeds", -F.col("diagonal"))).alias("d")).select("a_id", "b_id", "d.*")
-    q = peptides.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq"))
-    s = proteome.select(F.col("id").alias("b_id"), F.col("seq").alias("sseq"))
-    full = best.join(q, "a_id").join(s, "b_id")
-    # only the stretch beside the peptide goes on, however long the target
-    lo = F.greatest(F.col("diagonal"), F.lit(0))
-    full = full.select(
-        F.col("a_id").alias("qseqid"), F.col("b_id").alias("sseqid"), "diagonal", F.col("seeds").cast("int").alias("seeds"),
-        F.length("qseq").alias("qlen"), F.length("sseq").alias("slen"), "qseq", F.substring("sseq", lo + 1, F.length("qseq")).alias("sseq"),
-        F.least(F.col("diagonal"), F.lit(0)).alias("at"),
-    )
-    schema = "qseqid string, sseqid string, diagonal int, seeds int, qlen int, slen int, same int, qlo int, overlap int"
-    renamed = full.withColumnsRenamed({"diagonal": "own", "at": "diagonal"}).select("qseqid", "sseqid", F.col("own").alias("_d"), "seeds", "qlen", "slen", "qseq", "sseq", "diagonal")
-    found = renamed.mapInArrow(_ungapped, schema.replace("diagonal int", "_d int").replace("slen int,", "slen int, diagonal int,")).drop("diagonal").withColumnRenamed("_d", "diagonal")
+    named = proteome.select("id", F.col("seq").alias("full"), title.alias("title"))
+    p = materialize(peptides.select("id", _letters(F.col("seq"), ignore_case).alias("seq")).where("id is not null"))
+    t = materialize(proteome.select("id", _letters(F.col("seq"), ignore_case).alias("seq")).where("id is not null"))
+    total = float(t.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0])
+    p, blocks = _dealt(p, "block", BLOCK_RESIDUES)
+    t, lanes = _dealt(t, "lane", LANE_RESIDUES, 2 * p.sparkSession.sparkContext.defaultParallelism)
+    p = p.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    t = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def bits(same, overlap):
+        return ((same * match + (overlap - same) * mismatch) * scale[0] - np.log(scale[1])) / np.log(2.0)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, targets = Texts(_bytes(left["seq"]), k), Texts(_bytes(right["seq"]), k)
+        names = np.array(_bytes(right["id"]), object)
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+        kept = np.empty((7, 0), np.int64)
+        for found in best_diagonals(Index(queries), targets, k, seeds):
+            rows = np.array(found, np.int64)
+            if max_evalue is not None:
+                rows = rows[:, queries.size[rows[1]] * total * 2.0 ** -bits(rows[4], rows[6]) <= max_evalue]
+            kept = np.concatenate([kept, rows], axis=1)
+            kept = kept[:, np.lexsort((rank[kept[0]], -kept[4], kept[1]))]
+            start = first_of(kept[1])
+            kept = kept[:, np.arange(kept.shape[1]) - np.repeat(start, np.diff([*start, kept.shape[1]])) < max_targets]
+        target, query, d, n, same, lo, overlap = kept
+        numbers = [pa.array(x, pa.int32()) for x in (d, n, same, lo, overlap, queries.size[query], targets.size[target])]
+        names = [left["id"].combine_chunks().take(pa.array(query)), right["id"].combine_chunks().take(pa.array(target))]
+        return pa.table([*names, *numbers], [c.split()[0] for c in _FOUND.split(", ")])
+
+    found = p.groupBy("block", "lane").cogroup(t.groupBy("block", "lane")).applyInArrow(search, _FOUND)
+    by = Window.partitionBy("qseqid").orderBy(F.col("same").desc(), "sseqid")
+    found = materialize(found.withColumn("ord", F.row_number().over(by)).where(F.col("ord") <= max_targets))
     score = F.col("same") * match + (F.col("overlap") - F.col("same")) * mismatch
     found = found.withColumn("bitscore", (score * scale[0] - F.log(F.lit(scale[1]))) / F.log(F.lit(2.0)))
-    total = proteome.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("double").alias("_total"))
-    found = found.join(F.broadcast(total)).withColumn("evalue", F.col("qlen") * F.col("_total") * F.pow(F.lit(2.0), -F.col("bitscore"))).drop("_total")
-    if max_evalue is not None:
-        found = found.where(F.col("evalue") <= max_evalue)
-    by = Window.partitionBy("qseqid").orderBy(F.col("same").desc(), "sseqid")
-    found = found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= max_targets)
-    found = found.join(proteome.select(F.col("id").alias("sseqid"), F.col("title").alias("stitle"), F.col("seq").alias("full_sseq")), "sseqid")
+    found = found.withColumn("evalue", F.col("qlen") * F.lit(total) * F.pow(F.lit(2.0), -F.col("bitscore")))
+    found = named.join(small_side(found), F.col("id") == F.col("sseqid"))
     return found.select(
         "qseqid", "sseqid", "diagonal", "seeds", "same", (F.col("same") * 100.0 / F.col("overlap")).alias("pident"),
         F.col("overlap").alias("length"), "qlen", "slen", (F.col("qlo") + 1).alias("qstart"), (F.col("qlo") + F.col("diagonal") + 1).alias("sstart"),
-        "bitscore", "evalue", "stitle", "full_sseq", F.col("n").cast("long").alias("ord"),
+        "bitscore", "evalue", F.col("title").alias("stitle"), (F.upper("full") if ignore_case else F.col("full")).alias("full_sseq"), F.col("ord").cast("long").alias("ord"),
     )
 
 
-def cluster_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4, seeds: int = 2) -> DataFrame:
-    """(id, representative): peptides (id, seq) linked at ``min_identity`` fall into one cluster.
+def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts equal residues of each pair of sequences on one diagonal."""
+    for batch in batches:
+        q, s = (Texts(batch.column(c).cast(pa.binary()).to_pylist(), 1) for c in ("a_seq", "b_seq"))
+        d = batch.column("diagonal").to_numpy().astype(np.int64)
+        lo = np.maximum(0, -d)
+        overlap = np.maximum(0, np.minimum(q.size, s.size - d) - lo)
+        same = equal_residues(q.data, q.start + lo, s.data, s.start + lo + d, overlap)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(same, pa.int32())], ["a", "b", "same"])
+
 
-    Letters count without case. Equal sequences link at any length. Two others link if on their best diagonal (most
-    shared k-mers) equal residues over the shorter length reach ``min_identity``; this needs ``seeds`` common k-mers.
-    The representative is the longest member of the linked component, ties by id. Components are followed to their
-    end, however long the chain of links.
+def similar_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4) -> DataFrame:
+    """(a, b) of peptides (id, seq) whose equal residues on some diagonal are at least ``min_identity`` of the shorter one, a.
+
+    Of two equally long ones, a has the greater id. Exact for shorter ones of ``k`` residues and more, as far as a k-mer survives: with m
+    residues of n replaced, the m * k + 1 rarest k-mers of the shorter one hold an undamaged one, if it has that many; else
+    all are looked up. So each peptide looks up only its rarest k-mers among all k-mers of peptides at least as long.
+    """
+    n = F.length("seq")
+    rows = seqs.select("id", "seq", n.alias("n")).where(n >= k)
+    every = materialize(rows.select("id", "n", F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer")))
+    often = materialize(every.groupBy("kmer").agg(F.count("*").alias("f")))
+    most = F.floor(F.col("n") * (1.0 - min_identity) + 1e-9) * k + 1
+    own = every.join(small_side(often), "kmer").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "kmer", "i"))).alias("all"))
+    own = own.select(F.col("id").alias("a"), F.col("n").alias("an"), F.explode(F.slice("all", F.lit(1), most.cast("int"))).alias("x"))
+    own = own.select("a", "an", "x.kmer", F.col("x.i").alias("ai"))
+    other = every.select(F.col("id").alias("b"), F.col("n").alias("bn"), "kmer", F.col("i").alias("bi"))
+    pairs = own.join(other, "kmer").where("a <> b and (bn > an or (bn = an and b < a))")
+    pairs = materialize(pairs.select("a", "b", (F.col("bi") - F.col("ai")).alias("diagonal")).distinct())
+    full = pairs.join(rows.select(F.col("id").alias("a"), F.col("seq").alias("a_seq")), "a").join(rows.select(F.col("id").alias("b"), F.col("seq").alias("b_seq")), "b")
+    counted = full.select("a", "b", "diagonal", "a_seq", "b_seq").mapInArrow(_identities, "a string, b string, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+    found = counted.join(rows.select(F.col("id").alias("a"), "n"), "a")
+    return found.where(F.col("same") >= F.col("n") * min_identity - 1e-9).select("a", "b")
+
+
+def cluster_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4) -> DataFrame:
+    """(id, representative): peptides (id, seq), each under a representative that it shares ``min_identity`` of its residues with.
+
+    Greedy, as if gone through from the longest to the shortest (ties by id): a peptide joins the first representative that it is similar
+    to (``similar_peptides``), or else becomes one. So no two representatives are similar, and every member is similar to its own, not
+    only through others. Letters count without case; equal sequences share a representative at any length; nulls and empty
+    sequences stand for themselves; repeated ids should be removed before.
+
+    Rounds do it in parallel: a peptide becomes a representative once no earlier one that it is similar to is undecided or a representative,
+    and those similar to a representative are decided. Rounds go on until all are; each one is a written table.
     """
-    seqs = seqs.select("id", F.upper("seq").alias("seq"))
+    seqs = seqs.select("id", F.nullif(_letters(F.col("seq")), F.lit("")).alias("seq"))
     # one peptide stands for its exact copies, so that only different sequences are searched
-    distinct = materialize(seqs.groupBy("seq").agg(F.min("id").alias("id")))
-    copies = seqs.join(distinct.withColumnRenamed("id", "first"), "seq").where("id <> first and seq <> ''").select(F.col("first").alias("a_id"), F.col("id").alias("b_id"))
-    hits = _seed_pairs(distinct, distinct, k, seeds).where("a_id < b_id").groupBy("a_id", "b_id")
-    best = hits.agg(F.max_by(F.struct("diagonal", "seeds"), F.struct("seeds", -F.col("diagonal"))).alias("d")).select("a_id", "b_id", "d.*")
-    q, s = distinct.select(F.col("id").alias("a_id"), F.col("seq").alias("qseq")), distinct.select(F.col("id").alias("b_id"), F.col("seq").alias("sseq"))
-    full = best.join(q, "a_id").join(s, "b_id").withColumn("shorter", F.least(F.length("qseq"), F.length("sseq")))
-    full = full.where(F.col("seeds") >= 1).select("a_id", "b_id", "shorter", "diagonal", "qseq", "sseq")
-    links = full.mapInArrow(_ungapped, "a_id string, b_id string, shorter int, diagonal int, same int, qlo int, overlap int")
-    links = links.where(F.col("same") >= F.col("shorter") * min_identity).select("a_id", "b_id")
-    comps = materialize(components(links.union(copies).toDF("a", "b")))
-    # a label orders members: longest first, then id
-    label = F.struct((-F.length("seq")).alias("n"), F.col("id").alias("rep"))
-    member = materialize(seqs.join(comps, seqs["id"] == comps["node"], "left").select("id", "comp", label.alias("label")))
-    first = member.where("comp is not null").groupBy("comp").agg(F.min("label").alias("first"))
-    return member.join(first, "comp", "left").select("id", F.coalesce("first", "label")["rep"].alias("representative"))
+    distinct = materialize(seqs.where("seq is not null").groupBy("seq").agg(F.min("id").alias("id")))
+    edges = materialize(similar_peptides(distinct, min_identity, k))  # a comes after b
+    left = materialize(edges.select("a").union(edges.select("b")).distinct().toDF("id"))
+    chosen, pending = None, edges
+    while left.limit(1).count():
+        pending = materialize(pending.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+        new = materialize(left.join(pending.select(F.col("a").alias("id")), "id", "left_anti"))
+        gone = pending.join(new.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))
+        chosen = new if chosen is None else chosen.union(new)
+        left = materialize(left.join(new, "id", "left_anti").join(gone, "id", "left_anti"))
+    first = distinct.select("id", F.col("id").alias("rep"))
+    if chosen is not None:
+        size = distinct.select(F.col("id").alias("b"), F.length("seq").alias("n"))
+        joins = edges.join(chosen.withColumnRenamed("id", "b"), "b", "left_semi").join(chosen.withColumnRenamed("id", "a"), "a", "left_anti").join(size, "b")
+        joins = materialize(joins.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("m")).select("id", F.col("m.b").alias("joined")))
+        first = first.join(joins, "id", "left").select("id", F.coalesce("joined", "rep").alias("rep"))
+    rep = distinct.join(first, "id").select("seq", "rep")
+    return seqs.join(rep, "seq", "left").select("id", F.coalesce("rep", "id").alias("representative"))
