@@ -138,7 +138,7 @@ def brute_lines(rows, least=20):
         i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
-    seen, out = [], {}
+    seen, short, out = [], set(), {}
     for i, text, *_ in rows:
         if text is None:
             out[i] = None
@@ -150,6 +150,10 @@ def brute_lines(rows, least=20):
                     seen.append(line)
                     continue
                 seen.append(line)
+            elif line.strip(" \t\n\x0b\f\r"):  # short ones go where they repeat
+                if line in short:
+                    continue
+                short.add(line)
             kept.append(line)
         out[i] = "\n".join(kept)
     return out
