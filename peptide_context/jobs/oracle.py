@@ -15,6 +15,7 @@ from ..functions.constants import (
     TF_MOTIFS,
 )
 from .adapters import CHUNK, GENES, SYMBOLS
+from .saved import node_rows
 
 STEPS: dict[str, tuple[list[str], str]] = {}
 SQL: dict[str, str] = {}
@@ -408,6 +409,39 @@ EMB = ", ".join(r6(count_of("seq", a) + "::DOUBLE / greatest(length(seq), 1)") +
 final("embed_backend", "proteins", f"SELECT id, {EMB} FROM proteins")
 
 
+# models: what holds at the optimum of a fit, and walks through a forest
+step("m1", "proteins", f"SELECT id, n, {stats('seq', 'm1')}, {composition('seq', 'm1')} FROM proteins")
+M1 = [f"m1_{k}" for k in ("len", "charge", "cationic", "acidic", "hydropathy", "aromatic", "cys", "gly", "boman")] + [f"m1_aa_{a}" for a in AMINO_ACIDS]
+step("m1_labelled", "m1", "SELECT m1.*, quality AS label FROM m1 JOIN labels ON doc_id = n WHERE quality IS NOT NULL")
+_moment = lambda c: f"SELECT '{c}' AS term, round(avg({c}) FILTER (WHERE label = 1) / CASE WHEN max(abs({c})) > 0 THEN max(abs({c})) ELSE 1.0 END, 4) + 0.0 AS moment FROM m1_labelled"
+final("logreg_optimum", "m1_labelled", "SELECT 'intercept' AS term, 1.0::DOUBLE AS moment UNION ALL " + " UNION ALL ".join(map(_moment, M1)))
+_w = lambda v: f"round(avg({v}), 4) + 0.0"
+_terms = [_w(f"CASE WHEN substring(win, {i}, 1) = '{a}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END") for i in range(1, 9) for a in AMINO_ACIDS]
+_terms += [_w(count_of("win", "KR") + "::DOUBLE / 8"), _w(hyd("win") + " / 8"), *map(_w, (flag(4, "KR"), flag(4, "AGSCT"), flag(5, "FWY")))]
+final("cut_model_optimum", "windows", "SELECT 'intercept' AS term, 1.0::DOUBLE AS moment UNION ALL " + " UNION ALL ".join(f"SELECT 'f{i}', {t} FROM windows" for i, t in enumerate(_terms)))
+_val = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x) + ("::DOUBLE" if isinstance(x, float) else "")
+step("nodes", "", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_val, r)) + ")" for r in node_rows()) + ') AS v(tree, node, feature, threshold, "left", "right", p)')
+
+
+def walked(source: str) -> str:
+    value = "CASE feature " + " ".join(f"WHEN '{c}' THEN f.{c}" for c in M1) + " END"
+    return f"""(WITH RECURSIVE walk(id, tree, node) AS (SELECT id, tree, 0 FROM {source}, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL SELECT w.id, w.tree, CASE WHEN {value} <= threshold THEN n."left" ELSE n."right" END FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN {source} f ON f.id = w.id WHERE feature IS NOT NULL)
+  SELECT w.id, avg(p) AS score FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE feature IS NULL GROUP BY w.id)"""
+
+
+final("predict_peptides", "m1 nodes", f"""SELECT id, CAST(m1_len AS INTEGER) AS length, round(score, 4) AS amp_probability, CASE WHEN score >= 0.5 THEN 'AMP' ELSE 'non-AMP' END AS call
+  FROM {walked("m1")} JOIN m1 USING (id)""")
+final("forest_scores", "m1_labelled nodes", f"SELECT id, label, {r6('score')} AS score FROM {walked('m1_labelled')} JOIN m1_labelled USING (id)")
+_bucket3 = "0"
+for _i in range(8):
+    _bucket3 = f"(({_bucket3}) * 65536 + CAST(concat('0x', substring(h, {4 * _i + 1}, 4)) AS INTEGER)) % 30"
+step("locus_seq", "envelopes dna", f"SELECT peptide_id, upper(seq) AS seq FROM ({fetched('SELECT * FROM envelopes', 'peptide_id')})")
+step("dna_grams", "locus_seq", f"""SELECT id, {_bucket3} AS b, sum(n) AS n FROM (SELECT id, md5(m) AS h, n FROM (SELECT id, m, count(*) AS n FROM
+  (SELECT peptide_id AS id, substring(seq, i, 3) AS m FROM (SELECT peptide_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM locus_seq)) GROUP BY ALL)) GROUP BY ALL""")
+final("dna_embedding", "locus_seq dna_grams", """SELECT p.peptide_id, array_to_string(list_transform(range(0, 30), lambda i: CAST(CAST(round(coalesce(list_sum(list_transform(list_filter(g.v, lambda x: x.b = i), lambda x: x.n)), 0) / coalesce(g.norm, 1) * 10000) AS BIGINT) AS VARCHAR)), ',') AS vec
+  FROM locus_seq p LEFT JOIN (SELECT id, list({'b': b, 'n': CAST(n AS DOUBLE)}) AS v, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM dna_grams GROUP BY id) g ON g.id = p.peptide_id""")
+
 # sources and sinks
 final("read_fasta", "proteins", "SELECT id, seq FROM proteins")
 final("read_genome", "chunks", "SELECT chrom, chunk_id, seq FROM chunks")

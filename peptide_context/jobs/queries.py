@@ -19,10 +19,12 @@ from ..operators import regions as R
 from ..operators import regulatory as T
 from ..operators import report as P
 from ..operators.components import materialize, scratch
+from ..operators.forest import score_forest
 from ..sources import readers as IN
 from ..sources import writers as W
 from ..sources.readers import signal_ends
 from . import adapters as A
+from .saved import saved_forest
 
 QUERIES = {}
 PLACES = 6
@@ -53,6 +55,11 @@ def _sites(s, d):
     return C.scan_cleavage(A.proteins(s, d))
 
 
+def _kept_sites(s, d):
+    """Sites that several steps of a query use: scanned once, and kept."""
+    return materialize(_sites(s, d))
+
+
 def _windows(s, d):
     return C.junction_windows(A.proteins(s, d), _regions(s, d))
 
@@ -269,9 +276,7 @@ def pwm(s, d):
 
 @query
 def pwm_score(s, d):
-    one = F.broadcast(C.pwm_map(_pwm(s, d)))
-    rows = _windows(s, d).join(one)
-    return rounded(rows.select("peptide_id", "junction", C.pwm_score(F.col("window"), F.col("pwm")).alias("score")))
+    return rounded(C.pwm_scored(_windows(s, d), _pwm(s, d), "window").select("peptide_id", "junction", "score"))
 
 
 @query
@@ -289,19 +294,39 @@ def window_features(s, d):
 
 @query
 def auc(s, d):
-    one = F.broadcast(C.pwm_map(_pwm(s, d)))
     pos = _windows(s, d).select("window", F.lit(1).alias("label"))
     both = pos.union(C.negative_windows(A.proteins(s, d), _regions(s, d)).select("window", F.lit(0)))
     # scores to six places: sums of other engines then tie in the same rows
-    scored = both.join(one).select("label", F.round(C.pwm_score(F.col("window"), F.col("pwm")), PLACES).alias("score"))
+    scored = C.pwm_scored(both, _pwm(s, d), "window").select("label", F.round("score", PLACES).alias("score"))
     return rounded(L.auc(scored))
 
 
+def _bonds(s, d):
+    """(windows at bonds that are cut, windows at others), each (id, window)."""
+    regions = materialize(_regions(s, d))
+    pos = C.junction_windows(A.proteins(s, d), regions).select(F.concat_ws("|", "peptide_id", "junction").alias("id"), "window")
+    neg = C.negative_windows(A.proteins(s, d), regions).select(F.concat_ws("|", "precursor_id", "bond").alias("id"), "window")
+    return materialize(pos), materialize(neg)
+
+
 @query
 def cut_model(s, d):
-    pos = _windows(s, d).select(F.concat_ws("|", "peptide_id", "junction").alias("id"), "window")
-    neg = C.negative_windows(A.proteins(s, d), _regions(s, d)).select(F.concat_ws("|", "precursor_id", "bond").alias("id"), "window")
-    return L.cut_model(pos, neg)[1]
+    return L.cut_model(*_bonds(s, d), pwm=_pwm(s, d))[1]
+
+
+@query
+def cut_model_optimum(s, d):
+    """The fit of the cut model is settled: what it implies for every window feature is what the cut windows show."""
+    rows, cols = L.window_rows(*_bonds(s, d))
+    rows = materialize(rows)
+    return L.optimum(L.fit(rows, cols, "logreg"), rows, cols).select("term", (F.round("moment", 4) + 0.0).alias("moment"))
+
+
+@query
+def score_sites_model(s, d):
+    """Sites rescored by the cut model instead of the matrix."""
+    model, _ = L.cut_model(*_bonds(s, d))
+    return C.score_sites_model(_sites(s, d), model).select("precursor_id", "enzyme", "bond", "score")
 
 
 @query
@@ -311,25 +336,27 @@ def score_sites(s, d):
 
 @query
 def predict_mature_start(s, d):
-    return rounded(B.predict_mature_start(A.proteins(s, d), _sites(s, d), _signal(s, d)).drop("seq"))
+    return rounded(B.predict_mature_start(A.proteins(s, d), _sites(s, d), _signal(s, d)).select("precursor_id", "signal_end", "mature_start", "sel_score"))
 
 
 @query
 def trim_cterm(s, d):
-    starts = B.predict_mature_start(A.proteins(s, d), _sites(s, d), _signal(s, d))
-    return B.trim_cterm(starts, _sites(s, d)).select("precursor_id", "mature_start", "mature_end", "mature_end_source")
+    sites = _kept_sites(s, d)
+    starts = materialize(B.predict_mature_start(A.proteins(s, d), sites, _signal(s, d)))
+    return B.trim_cterm(starts, sites).select("precursor_id", "mature_start", "mature_end", "mature_end_source")
 
 
 @query
 def predicted_regions(s, d):
     """The flagship: boundaries predicted for every protein from rescored cut sites."""
-    return rounded(B.predict_boundaries(A.proteins(s, d), _scored(s, d), _signal(s, d)).withColumn("sel_score", F.round("sel_score", 3)))
+    return rounded(B.predict_boundaries(A.proteins(s, d), materialize(_scored(s, d)), _signal(s, d)).withColumn("sel_score", F.round("sel_score", 3)))
 
 
 def _accuracy(s, d):
-    pred = B.predict_boundaries(A.proteins(s, d), _sites(s, d), _signal(s, d))
+    sites = _kept_sites(s, d)
+    pred = B.predict_boundaries(A.proteins(s, d), sites, _signal(s, d))
     truth = _regions(s, d).select("precursor_id", "mature_start", F.col("peptide_id").alias("ord"))
-    return B.boundary_accuracy(pred, truth, _sites(s, d))
+    return B.boundary_accuracy(pred, truth, sites)
 
 
 @query
@@ -554,6 +581,14 @@ def kmer_embedding(s, d):
     return vec.select("id", F.array_join(F.transform("vec", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vec"))
 
 
+@query
+def dna_embedding(s, d):
+    """Embeddings of the loci's DNA, by k-mers of 3."""
+    seqs = G.fetch_sequence(_envelopes(s, d), A.genome(s, d), "peptide_id", A.CHUNK)
+    vec = E.kmer_vectors(seqs, dim=30, k=3)
+    return vec.select("peptide_id", F.array_join(F.transform("vec", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vec"))
+
+
 @query
 def merge_embeddings(s, d):
     vec = A.table(s, d, "embeddings").select(F.concat(F.lit("P"), "vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
@@ -592,6 +627,17 @@ def logreg(s, d):
     return L.scored(L.fit(rows, cols, "logreg"), rows, cols).select("id", "label", "score")
 
 
+@query
+def logreg_optimum(s, d):
+    """The fit of q_logreg is settled: what it implies for every column, over the column's greatest number, is what the positives show."""
+    rows = materialize(_labelled(s, d))
+    cols = D.cumulative_columns(rows.columns, "M1")
+    most = rows.agg(*[F.max(F.abs(c)).alias(c) for c in cols])
+    most = most.select(F.explode(F.array(F.struct(F.lit("intercept").alias("term"), F.lit(1.0).alias("most")), *[F.struct(F.lit(c).alias("term"), F.col(c).alias("most")) for c in cols])).alias("m")).select("m.*")
+    found = L.optimum(L.fit(rows, cols, "logreg"), rows, cols).join(F.broadcast(most), "term")
+    return found.select("term", (F.round(F.col("moment") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0), 4) + 0.0).alias("moment"))
+
+
 @query
 def random_forest(s, d):
     rows = _labelled(s, d)
@@ -611,11 +657,24 @@ def train_models(s, d):
 
 @query
 def predict_peptides(s, d):
+    """Every protein scored by the forest that is kept as a table."""
+    return L.predict_peptides(A.proteins(s, d).select("id", "seq"), saved_forest(s))
+
+
+@query
+def fit_and_predict(s, d):
     rows = _labelled(s, d)
     model = L.fit(rows, D.cumulative_columns(rows.columns, "M1"), "logreg")
     return L.predict_peptides(A.proteins(s, d).select("id", "seq"), model)
 
 
+@query
+def forest_scores(s, d):
+    """The labelled rows by the kept forest, walked as a table of nodes."""
+    rows = _labelled(s, d)
+    return rounded(score_forest(rows, saved_forest(s)).select("id", "label", "score"))
+
+
 @query
 def embed_backend(s, d):
     """The embedding hook with a small user function: residue fractions."""

@@ -6,34 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROLE_PRIORITY
-from ..functions.sequences import count_of, fraction
+from ..functions.sequences import count_of
+from .components import materialize, small_side
 from .genemodel import bonds_to_genome
 
 
 def predict_mature_start(precursors: DataFrame, candidates: DataFrame, signal: DataFrame, min_mature: int = 5, max_mature: int = 120) -> DataFrame:
-    """(precursor_id, seq, signal_end, mature_start, sel_score) for every precursor (id, seq).
+    """(precursor_id, seq_len, signal_end, mature_start, kr_before, sel_score) for every precursor (id, seq).
 
     Of the cuts behind the signal whose remainder is min to max long, the best by role priority + 3 * score + 2 * basic
     share of the remainder + 0.5 for remainders up to 60; ties go to the earlier motif, then the earlier bond. Without
-    any, the residue behind the signal, score 0. max_by combines before the shuffle by precursor.
+    any, the residue behind the signal, score 0. kr_before counts K and R in front of the start. The cuts are those of
+    ``scan_cleavage`` and bring their own counts, so no sequence is moved; max_by combines before the shuffle by precursor.
     """
     signal = signal.withColumnRenamed("acc", "precursor_id")
     base = precursors.select(F.col("id").alias("precursor_id"), "seq").join(signal, "precursor_id", "left")
-    base = base.withColumn("signal_end", F.coalesce("signal_end", F.lit(0)))
+    base = base.select("precursor_id", F.length("seq").alias("seq_len"), F.coalesce("signal_end", F.lit(0)).alias("signal_end"), count_of(F.left("seq", F.coalesce("signal_end", F.lit(0))), "KR").alias("kr_signal"))
     tail = F.col("seq_len") - F.col("bond")
-    near = candidates.where((tail >= min_mature) & (tail <= max_mature)).select("precursor_id", "role", "bond", "motif_ord", "score")
-    rows = near.join(base, "precursor_id").where("bond > signal_end")
-    rest = F.substring(F.col("seq"), F.col("bond") + 1, F.lit(max_mature))
+    near = candidates.where((tail >= min_mature) & (tail <= max_mature))
+    near = near.select("precursor_id", "role", "bond", "motif_ord", "score", "kr_before", tail.alias("tail"), ((F.col("kr_total") - F.col("kr_before")) / tail).alias("basic"))
+    rows = near.join(base.select("precursor_id", "signal_end"), "precursor_id").where("bond > signal_end")
     priority = F.lit(1.0)
     for role, weight in ROLE_PRIORITY.items():
         priority = F.when(F.col("role") == role, weight).otherwise(priority)
-    length = F.length(rest)
-    value = priority + 3.0 * F.col("score") + 2.0 * fraction(rest, "KR") + F.when((length >= min_mature) & (length <= 60), 0.5).otherwise(0.0)
+    value = priority + 3.0 * F.col("score") + 2.0 * F.col("basic") + F.when((F.col("tail") >= min_mature) & (F.col("tail") <= 60), 0.5).otherwise(0.0)
     rows = rows.withColumn("value", value)
-    best = rows.groupBy("precursor_id").agg(F.max_by(F.struct("bond", "value"), F.struct("value", -F.col("motif_ord"), -F.col("bond"))).alias("b"))
+    best = rows.groupBy("precursor_id").agg(F.max_by(F.struct("bond", "value", "kr_before"), F.struct("value", -F.col("motif_ord"), -F.col("bond"))).alias("b"))
     start = F.coalesce(F.col("b.bond"), F.col("signal_end")) + 1
     return base.join(best, "precursor_id", "left").select(
-        "precursor_id", "seq", "signal_end", start.alias("mature_start"), F.coalesce("b.value", F.lit(0.0)).alias("sel_score")
+        "precursor_id", "seq_len", "signal_end", start.alias("mature_start"), F.coalesce("b.kr_before", "kr_signal").alias("kr_before"), F.coalesce("b.value", F.lit(0.0)).alias("sel_score")
     )
 
 
@@ -41,34 +42,32 @@ def trim_cterm(starts: DataFrame, candidates: DataFrame, min_mature: int = 5, ma
     """Adds mature_end and mature_end_source to ``predict_mature_start``.
 
     The last cut behind the mature start that leaves a tail of at least ``min_tail``, a mature part of min to max
-    residues, a net anionic tail, and a mature part more basic than the tail; else the end of the protein.
+    residues, a net anionic tail, and a mature part more basic than the tail; else the end of the protein. ``starts`` should be
+    a written table: it has a row a protein and goes to the cuts by broadcast if it is small, so that these are not moved.
     """
     if not cterm:
-        return starts.withColumn("mature_end", F.length("seq")).withColumn("mature_end_source", F.lit("terminus"))
-    # copies of a bond by several motifs are one here
-    bonds = candidates.select("precursor_id", "bond").distinct()
-    size = F.col("bond") - F.col("mature_start") + 1
-    rows = starts.join(bonds, "precursor_id").where((F.col("bond") > F.col("mature_start")) & (F.length("seq") - F.col("bond") >= min_tail))
-    rows = rows.where((size >= min_mature) & (size <= max_mature))
-    mature = F.substring(F.col("seq"), F.col("mature_start"), size)
-    tail = F.substring(F.col("seq"), F.col("bond") + 1, F.length("seq"))
-    n, m = F.length(tail), F.length(mature)
-    basic = count_of(tail, "KR") / n
-    fits = (count_of(tail, "DE") / n > basic) & (count_of(mature, "KR") / m > basic)
+        return starts.withColumn("mature_end", F.col("seq_len")).withColumn("mature_end_source", F.lit("terminus"))
+    own = small_side(starts.select("precursor_id", "mature_start", F.col("kr_before").alias("kr_start")))
+    rows = candidates.select("precursor_id", "bond", "seq_len", "kr_before", "kr_total", "de_before", "de_total").join(own, "precursor_id")
+    size, n = F.col("bond") - F.col("mature_start") + 1, F.col("seq_len") - F.col("bond")
+    rows = rows.where((F.col("bond") > F.col("mature_start")) & (n >= min_tail) & (size >= min_mature) & (size <= max_mature))
+    basic = (F.col("kr_total") - F.col("kr_before")) / n
+    fits = ((F.col("de_total") - F.col("de_before")) / n > basic) & ((F.col("kr_before") - F.col("kr_start")) / size > basic)
     ends = rows.where(fits).groupBy("precursor_id").agg(F.max("bond").alias("cut"))
     joined = starts.join(ends, "precursor_id", "left")
     source = F.when(F.col("cut").isNull(), "terminus").otherwise("cterm_cut")
-    return joined.withColumn("mature_end", F.coalesce("cut", F.length("seq"))).withColumn("mature_end_source", source).drop("cut")
+    return joined.withColumn("mature_end", F.coalesce("cut", "seq_len")).withColumn("mature_end_source", source).drop("cut")
 
 
 def predict_boundaries(precursors, candidates, signal, min_mature: int = 5, max_mature: int = 120, cterm: bool = True, min_tail: int = 3) -> DataFrame:
-    """The region table predicted for every precursor; pro coordinates are 0 where no pro-region is left."""
-    starts = predict_mature_start(precursors, candidates, signal, min_mature, max_mature)
+    """The region table predicted for every precursor; pro coordinates are 0 where no pro-region is left. ``candidates`` are read
+    twice, and should be a written table."""
+    starts = materialize(predict_mature_start(precursors, candidates, signal, min_mature, max_mature))
     full = trim_cterm(starts, candidates, min_mature, max_mature, cterm, min_tail)
     has = F.col("mature_start") - 1 >= F.col("signal_end") + 1
     return full.select(
         F.concat("precursor_id", F.lit("_pred")).alias("peptide_id"), "precursor_id", F.lit(".").alias("gene_symbol"),
-        F.length("seq").alias("precursor_len"), "signal_end", "mature_start", "mature_end",
+        F.col("seq_len").alias("precursor_len"), "signal_end", "mature_start", "mature_end",
         F.when(has, F.col("signal_end") + 1).otherwise(0).alias("pro_start"), F.when(has, F.col("mature_start") - 1).otherwise(0).alias("pro_end"),
         F.lit(".").alias("dibasic_hint"), "sel_score", "mature_end_source",
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import AMINO_ACIDS, FLANK, HYDROPATHY, POSITION_LABELS, PROTEASE_MOTIFS
+from ..functions.motifs import SITES, scan
 from ..functions.sequences import count_of, full_window, logistic, seeded_rank_key
 
 
@@ -16,38 +17,22 @@ def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS,
     """Cut sites of motifs on proteins (id, seq): leftmost non-overlapping matches of each motif (enzyme, role, pattern,
     cut offset, ..), patterns in Python's syntax.
 
-    (precursor_id, enzyme, role, bond, p1_residue, window, window8, seq_len, motif_ord, score): the bond lies behind
-    residue ``bond``, 1 <= bond < length. Only bonds are exploded, never residues; sites carry their windows, so nothing
-    is joined back. Score is 1. Null sequences have no sites.
+    (precursor_id, enzyme, role, bond, p1_residue, window, window8, seq_len, motif_ord, score, kr_before, kr_total, de_before,
+    de_total): the bond lies behind residue ``bond``, 1 <= bond < length. All motifs run as one automaton over slices of the sequences,
+    and only bonds come out. They carry their windows, and how many of K and R, and of D and E, stand in front of them and in the
+    whole protein, so that no later step needs the sequence. Score is 1. Null sequences have no sites.
     """
     patterns = [(p, o) for _, _, p, o, *_ in motifs]
 
-    @F.arrow_udf("array<struct<motif_ord:int,bond:int,left:string,right:string>>")
-    def matches(seqs: pa.Array) -> pa.Array:
-        compiled = [(n, re.compile(p), o) for n, (p, o) in enumerate(patterns)]
-        motif, bond, left, right, ends = [], [], [], [], [0]
-        for seq in seqs:
-            text = seq.as_py() or ""
-            for n, pattern, offset in compiled:
-                found = [b for m in pattern.finditer(text) if 1 <= (b := m.start() + offset) < len(text)]
-                motif += [n] * len(found)
-                bond += found
-                # cut here: a substring of a long text by the JVM walks to its place from the start
-                left += [text[max(b - flank, 0) : b] for b in found]
-                right += [text[b : b + flank] for b in found]
-            ends.append(len(bond))
-        columns = [pa.array(motif, pa.int32()), pa.array(bond, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["motif_ord", "bond", "left", "right"]))
-
-    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("k.motif_ord") + 1)
-    found = precursors.select(F.col("id").alias("precursor_id"), F.length("seq").alias("seq_len"), matches("seq").alias("k"))
-    sites = found.select("precursor_id", "seq_len", F.explode("k").alias("k"))
-    left, right = F.col("k.left"), F.col("k.right")
-    full = (F.length(left) == flank) & (F.length(right) == flank)
-    return sites.select(
-        "precursor_id", name(0).alias("enzyme"), name(1).alias("role"), "k.bond", F.right(left, F.lit(1)).alias("p1_residue"),
-        F.concat(left, F.lit("|"), right).alias("window"), F.when(full, F.concat(left, right)).alias("window8"),
-        "seq_len", "k.motif_ord", F.lit(1.0).alias("score"),
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scan(batches, patterns, flank)
+
+    kinds = ", ".join(f"{c} {'string' if t == pa.string() else 'int'}" for c, t in SITES.items())
+    found = precursors.select(F.col("id").cast("string"), F.col("seq").cast("string")).mapInArrow(work, f"precursor_id string, {kinds}")
+    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("motif_ord") + 1)
+    return found.select(
+        "precursor_id", name(0).alias("enzyme"), name(1).alias("role"), "bond", "p1_residue", "window", "window8", "seq_len", "motif_ord",
+        F.lit(1.0).alias("score"), "kr_before", "kr_total", "de_before", "de_total",
     )
 
 
@@ -94,27 +79,35 @@ def build_pwm(windows: DataFrame, bg: DataFrame, length: int = 2 * FLANK) -> Dat
     return grid.select("pos", "aa", F.log2(share / F.col("freq")).alias("logodds"))
 
 
-def pwm_map(pwm: DataFrame) -> DataFrame:
-    """The matrix as one row with a map from place and residue to log-odds (160 entries for 8 places)."""
-    return pwm.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("pos").cast("string"), "aa"), "logodds"))).alias("pwm"))
+def pwm_array(pwm: DataFrame, length: int = 2 * FLANK) -> DataFrame:
+    """The matrix as one row with an array: the log-odds of residue r at place i stand at 128 * (i - 1) + its code, 0 where there are none."""
+    key = (F.col("pos") - 1) * 128 + F.ascii("aa")
+    known = pwm.agg(F.map_from_entries(F.collect_list(F.struct(key.cast("int"), "logodds"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(128 * length - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return known.select(every.alias("_pwm"))
 
 
 def pwm_score(window: Column, pwm: Column, length: int = 2 * FLANK) -> Column:
-    """Sum of log-odds over a window, unknown residues 0; null if the window has another length."""
+    """Sum of log-odds over a window by the array of ``pwm_array``, unknown residues 0; null if the window has another length."""
     total = F.lit(0.0)
     for i in range(1, length + 1):
-        key = F.concat(F.lit(str(i)), F.substring(window, F.lit(i), F.lit(1)))
-        total = total + F.coalesce(F.try_element_at(pwm, key), F.lit(0.0))
+        code = F.least(F.ascii(F.substring(window, F.lit(i), F.lit(1))), F.lit(127))
+        total = total + F.get(pwm, code + 128 * (i - 1))
     return F.when(F.length(window) == length, total)
 
 
+def pwm_scored(df: DataFrame, pwm: DataFrame, window: str) -> DataFrame:
+    """``df`` with the PWM score of a column of windows as ``score``. The matrix is one row, and is broadcast as that."""
+    rows = df.join(F.broadcast(pwm_array(pwm)))
+    return rows.withColumn("score", pwm_score(F.col(window), F.col("_pwm"))).drop("_pwm")
+
+
 def score_sites(candidates: DataFrame, pwm: DataFrame) -> DataFrame:
     """Candidates with their score replaced: logistic of the PWM score of their full window, 0 where it runs off an end.
 
-    The matrix has one row and is broadcast as that; sites carry their windows, so no sequence is joined.
+    Sites carry their windows, so no sequence is joined.
     """
-    rows = candidates.join(F.broadcast(pwm_map(pwm)))
-    return rows.withColumn("score", F.coalesce(logistic(pwm_score(F.col("window8"), F.col("pwm"))), F.lit(0.0))).drop("pwm")
+    return pwm_scored(candidates, pwm, "window8").withColumn("score", F.coalesce(logistic(F.col("score")), F.lit(0.0)))
 
 
 def score_sites_model(candidates: DataFrame, model) -> DataFrame:

@@ -6,12 +6,15 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import seeded_rank_key
 from .components import materialize
 from .dataset import LEVELS, cumulative_columns, method_features
+from .forest import score_forest
+
+AT_ONCE = 4  # fits of a cross-validation that run side by side
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
@@ -70,11 +73,37 @@ def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
 def classifier(rows: DataFrame, counts: dict[int, int], kind: str, seed: int, trees: int, l2: float):
     """Fits rows (features, label); a row weighs n / (2 * size of its class)."""
     n = sum(counts.values())
-    weight = F.element_at(F.create_map(*[F.lit(float(x)) for c, k in counts.items() for x in (c, n / (2 * k))]), F.col("label").cast("double"))
-    data = rows.select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    data = rows.select("features", F.col("label").cast("double").alias("label"), class_weights(counts).alias("weight"))
     if kind == "rf":
         return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxMemoryInMB=1024).fit(data)
-    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, n), maxIter=100).fit(data)
+    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, n), maxIter=1000, tol=1e-12).fit(data)
+
+
+def class_weights(counts: dict[int, int], label: str = "label") -> Column:
+    """n / (2 * size of its class) for each row."""
+    n = sum(counts.values())
+    return F.element_at(F.create_map(*[F.lit(float(x)) for c, k in counts.items() for x in (c, n / (2 * k))]), F.col(label).cast("double"))
+
+
+def optimum(model, df: DataFrame, cols: list[str], l2: float = 1.0) -> DataFrame:
+    """(term, moment): a certificate that a logistic regression of ``fit`` on (label, cols) is at its optimum.
+
+    There the gradient is 0, which says for every column: the weighted sum of p * x over all rows, and l2 * variance *
+    coefficient, are together the weighted sum of x over the positives. Both sides are divided by the positives' weights, so that
+    ``moment`` is the positives' mean of the column, and 1 for the intercept, if and only if the fit has settled. The left side is
+    computed here, from the model; the right side needs the data alone. One aggregate over the rows.
+    """
+    from pyspark.ml.stat import Summarizer
+
+    data = vectors(df, cols).select("features", "label")
+    counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
+    data = model.transform(data.withColumn("weight", class_weights(counts)))
+    p = F.col("weight") * vector_to_array("probability")[1]
+    x = vector_to_array("features")
+    sums = data.agg(Summarizer.metrics("variance").summary(F.col("features"), F.col("weight")).alias("s"), F.sum(p).alias("p"), *[F.sum(p * x[i]).alias(f"x{i}") for i in range(len(cols))]).first()
+    half = sum(counts.values()) / 2
+    values = [sums["p"] / half, *((sums[f"x{i}"] + l2 * v * b) / half for i, (v, b) in enumerate(zip(sums["s"]["variance"].toArray().tolist(), model.coefficients.toArray().tolist(), strict=True)))]
+    return df.sparkSession.createDataFrame(list(zip(["intercept", *cols], map(float, values), strict=True)), "term string, moment double")
 
 
 def fit(df: DataFrame, cols: list[str], kind: str = "rf", seed: int = 0, trees: int = 300, l2: float = 1.0):
@@ -121,16 +150,47 @@ class Folds:
         rows = self.rows if without is None else self.rows.where(F.col("fold") != without)
         return classifier(self.features(rows, cols), counts, kind, seed, trees, l2)
 
+    def fit_all(self, wanted: list[tuple], kind: str, seed: int, trees: int, at_once: int = AT_ONCE) -> list:
+        """The models of (columns, fold left out or None), at most ``at_once`` of them being fitted at a time.
+
+        A fit is many short jobs, one after the other, that leave most cores idle; jobs of several fits fill them. Where the session
+        schedules fairly (spark.scheduler.mode FAIR) each thread has a pool of its own, so that none waits behind another.
+        """
+        from pyspark import InheritableThread
+
+        found, left, failed = [None] * len(wanted), list(enumerate(wanted)), []
+        context = self.rows.sparkSession.sparkContext
+
+        def work(pool: int) -> None:
+            context.setLocalProperty("spark.scheduler.pool", f"fit{pool}")
+            while left and not failed:
+                try:
+                    at, (cols, without) = left.pop(0)
+                except IndexError:  # another thread took the last one
+                    return
+                try:
+                    found[at] = self.fit(cols, kind, seed, trees, without=without)
+                except Exception as e:
+                    failed.append(e)
+
+        threads = [InheritableThread(target=work, args=(i,)) for i in range(min(at_once, len(wanted)))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        if failed:
+            raise failed[0]
+        return found
+
     def cv_auc(self, sets: dict[str, list[str]], kind: str, seed: int, trees: int) -> dict[str, float | None]:
-        """Mean AUC over the folds for each named set of columns; folds without both classes are left out. The held-out
-        scores of all sets and folds are compared in one query."""
+        """Mean AUC over the folds for each named set of columns; folds without both classes are left out. The models are fitted
+        side by side; the held-out scores of all sets and folds are compared in one query."""
+        wanted = [(name, cols, i) for name, cols in sets.items() for i in range(self.k if self.k > 1 else 0)]
         tests = []
-        for name, cols in sets.items():
-            for i in range(self.k if self.k > 1 else 0):
-                model = self.fit(cols, kind, seed, trees, without=i)
-                if model is not None:
-                    test = model.transform(self.features(self.rows.where(F.col("fold") == i), cols))
-                    tests.append(test.select(F.lit(name).alias("name"), "fold", "label", vector_to_array("probability")[1].alias("score")))
+        for (name, cols, i), model in zip(wanted, self.fit_all([(c, i) for _, c, i in wanted], kind, seed, trees), strict=True):
+            if model is not None:
+                test = model.transform(self.features(self.rows.where(F.col("fold") == i), cols))
+                tests.append(test.select(F.lit(name).alias("name"), "fold", "label", vector_to_array("probability")[1].alias("score")))
         if not tests:
             return dict.fromkeys(sets)
         found = auc(materialize(reduce(DataFrame.union, tests)), by=("name", "fold")).where("auc is not null")
@@ -158,35 +218,47 @@ def train_models(features: DataFrame, cv: int = 5, seed: int = 0, kind: str = "r
     sets = {"m1": cumulative_columns(columns, "M1"), "full": cumulative_columns(columns, "M6")}
     folds = Folds(features, columns, cv, seed)
     a, b = folds.cv_auc(sets, kind, seed, trees).values()
-    models, counts = [folds.fit(c, kind, seed, trees) for c in sets.values()], folds.counts()
+    models, counts = folds.fit_all([(c, None) for c in sets.values()], kind, seed, trees), folds.counts()
     gain = b - a if a is not None and b is not None else None
     rows = [("n_positive", float(counts.get(1, 0))), ("n_negative", float(counts.get(0, 0))), ("auc_M1_peptide_only", a), ("auc_full", b), ("total_gain_auc", gain)]
     return *models, features.sparkSession.createDataFrame(rows, "metric string, value double")
 
 
 def predict_peptides(seqs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """(id, length, amp_probability, call) of sequences (id, seq) by a model on the M1 columns."""
+    """(id, length, amp_probability, call) of sequences (id, seq) by a model on the M1 columns: a fitted one, or a forest
+    as a table of nodes (``forest.NODES``)."""
     features = method_features(seqs.select("id", F.col("seq").alias("mature_seq"), F.length("seq").alias("length")), ("id", "length"))
     m1 = cumulative_columns(features.columns, "M1")
     p = F.round("score", 4)
     call = F.when(F.col("score") >= threshold, "AMP").otherwise("non-AMP")
-    return scored(model, features, m1).select("id", "length", p.alias("amp_probability"), call.alias("call"))
+    found = score_forest(features, model) if isinstance(model, DataFrame) else scored(model, features, m1)
+    return found.select("id", "length", p.alias("amp_probability"), call.alias("call"))
 
 
-def cut_model(positives: DataFrame, negatives: DataFrame, folds: int = 5, least: int = 10, seed: int = 0):
-    """(model or None, metrics): balanced logistic regression on window features, with mean AUC over folds.
-
-    ``positives`` and ``negatives`` are rows (id, window). Fitted only with both classes and ``least`` rows.
-    """
+def window_rows(positives: DataFrame, negatives: DataFrame) -> tuple[DataFrame, list[str]]:
+    """((id, label, window, f0 to f164), those columns) of windows at bonds that are cut (id, window) and of others."""
     from .cleavage import window_features
 
     rows = positives.withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
     rows = rows.withColumn("_f", window_features(F.col("window")))
     cols = [f"f{i}" for i in range(165)]
-    data, model, value = Folds(rows.select("id", "label", *[F.col("_f")[i].alias(c) for i, c in enumerate(cols)]), cols, folds, seed), None, None
+    return rows.select("id", "label", "window", *[F.col("_f")[i].alias(c) for i, c in enumerate(cols)]), cols
+
+
+def cut_model(positives: DataFrame, negatives: DataFrame, folds: int = 5, least: int = 10, seed: int = 0, pwm: DataFrame | None = None):
+    """(model or None, metrics): balanced logistic regression on window features, with mean AUC over folds.
+
+    ``positives`` and ``negatives`` are rows (id, window). Fitted only with both classes and ``least`` rows. Metrics are rows
+    (metric, value): n_positives, n_negatives, pwm_auc (of the scores by ``pwm`` on the same windows, null without it) and ml_cv_auc.
+    """
+    from .cleavage import pwm_scored
+
+    rows, cols = window_rows(positives, negatives)
+    data, model, value = Folds(rows, cols, folds, seed), None, None
+    by_matrix = auc(pwm_scored(rows.select("label", "window"), pwm, "window")).first()["auc"] if pwm is not None else None
     counts = data.counts()
     if len(counts) == 2 and sum(counts.values()) >= least:
         value = data.cv_auc({"windows": cols}, "logreg", seed, 0)["windows"]
         model = data.fit(cols, "logreg", seed, 0)
-    metrics = [("n_positives", float(counts.get(1, 0))), ("n_negatives", float(counts.get(0, 0))), ("ml_cv_auc", value)]
+    metrics = [("n_positives", float(counts.get(1, 0))), ("n_negatives", float(counts.get(0, 0))), ("pwm_auc", by_matrix), ("ml_cv_auc", value)]
     return model, positives.sparkSession.createDataFrame(metrics, "metric string, value double")
