@@ -406,6 +406,8 @@ _h = f"CASE WHEN length(seq) > 0 THEN {hyd('seq')} / length(seq) ELSE 0.0 END"
 final("standardize", "proteins", f"""SELECT id, {_std("m1_charge")} AS m1_charge, {_std("m1_hydropathy")} AS m1_hydropathy, {_std("m1_aromatic")} AS m1_aromatic
   FROM (SELECT id, {frac("seq", "KR")} - {frac("seq", "DE")} AS m1_charge, {_h} AS m1_hydropathy, {frac("seq", "FWY")} AS m1_aromatic FROM proteins)""")
 EMB = ", ".join(r6(count_of("seq", a) + "::DOUBLE / greatest(length(seq), 1)") + f" AS v{i}" for i, a in enumerate("ACDE"))
+step("pieces", "proteins", "SELECT id, substring(seq, s + 1, 500) AS p FROM (SELECT id, seq, unnest(CASE WHEN length(seq) <= 500 THEN [0] ELSE range(0, length(seq) - 100, 400) END) AS s FROM proteins)")
+final("embed_windows", "pieces", "SELECT id, " + ", ".join(r6(f"sum({count_of('p', a)})::DOUBLE / sum(length(p))") + f" AS v{i}" for i, a in enumerate("ACDE")) + " FROM pieces GROUP BY id")
 final("embed_backend", "proteins", f"SELECT id, {EMB} FROM proteins")
 
 

@@ -440,9 +440,9 @@ def read_fasta(s, d):
 
 @query
 def read_genome(s, d):
-    whole = A.genome(s, d).groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "seq"))), lambda x: x["seq"]), "").alias("dna"))
+    """Chromosomes as FASTA lines, a line a chunk, each behind its header: written in order, a chromosome in no row."""
     path = scratch(s)
-    W.write_fasta(whole, path, "chrom", "dna")
+    W.write_genome(A.genome(s, d), path)
     return IN.read_genome(s, path, A.CHUNK)
 
 
@@ -686,3 +686,21 @@ def embed_backend(s, d):
 
     vec = E.embed(A.proteins(s, d), fractions)
     return rounded(vec.select("id", *[F.col("vec")[i].alias(f"v{i}") for i in range(4)]))
+
+
+@query
+def embed_windows(s, d):
+    """A model that each worker loads once, on windows of 500 residues that overlap by 100."""
+
+    def load():
+        import numpy as np
+
+        letters = "ACDE"
+
+        def fractions(seqs):
+            return np.array([[q.count(a) / max(1, len(q)) for a in letters] for q in seqs])
+
+        return fractions
+
+    vec = E.embed(A.proteins(s, d), factory=load, window=500, overlap=100)
+    return rounded(vec.select("id", *[F.col("vec")[i].alias(f"v{i}") for i in range(4)]))

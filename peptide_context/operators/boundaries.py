@@ -38,13 +38,24 @@ def predict_mature_start(precursors: DataFrame, candidates: DataFrame, signal: D
     )
 
 
+def with_counts(cuts: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Cuts (precursor_id, bond) from elsewhere than ``scan_cleavage``, with the counts it gives, from sequences (precursor_id, seq)."""
+    rows = cuts.join(seqs.select("precursor_id", F.col("seq").alias("_s")), "precursor_id")
+    counts = {f"{k.lower()}_{n}": count_of(s, k) for k in ("KR", "DE") for n, s in (("before", F.left("_s", F.col("bond"))), ("total", F.col("_s")))}
+    return rows.withColumns({"seq_len": F.length("_s"), **counts}).drop("_s")
+
+
 def trim_cterm(starts: DataFrame, candidates: DataFrame, min_mature: int = 5, max_mature: int = 120, cterm: bool = True, min_tail: int = 3) -> DataFrame:
     """Adds mature_end and mature_end_source to ``predict_mature_start``.
 
     The last cut behind the mature start that leaves a tail of at least ``min_tail``, a mature part of min to max
     residues, a net anionic tail, and a mature part more basic than the tail; else the end of the protein. ``starts`` should be
-    a written table: it has a row a protein and goes to the cuts by broadcast if it is small, so that these are not moved.
+    a written table: it has a row a protein and goes to the cuts by broadcast if it is small, so that these are not moved. Starts
+    that bring sequences instead of counts (precursor_id, seq, mature_start) are taken too, with cuts of any kind.
     """
+    if "kr_before" not in starts.columns:
+        candidates = candidates if "kr_before" in candidates.columns else with_counts(candidates, starts)
+        starts = starts.withColumns({"seq_len": F.length("seq"), "kr_before": count_of(F.left("seq", F.col("mature_start") - 1), "KR")})
     if not cterm:
         return starts.withColumn("mature_end", F.col("seq_len")).withColumn("mature_end_source", F.lit("terminus"))
     own = small_side(starts.select("precursor_id", "mature_start", F.col("kr_before").alias("kr_start")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +20,55 @@ def kmer_vectors(df: DataFrame, seq: str = "seq", dim: int = 32, k: int = 2, out
     return df.withColumn(out, kmer_vector(F.upper(seq), dim, k))
 
 
-def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], seq: str = "seq", key: str = "id", batch: int = 256) -> DataFrame:
-    """(key, vec) by a user's function from a list of sequences to an array of rows, called on Arrow batches of tasks."""
+def _model(key: str, factory: Callable[[], Callable]) -> Callable:
+    """What ``factory`` returned, once in a Python worker: it stays for the worker's later tasks until another is asked for."""
+    kept = sys.modules.setdefault("_embedding_models", types.ModuleType("_embedding_models"))  # outlives a task
+    if getattr(kept, "key", None) != key:
+        kept.model, kept.key = factory(), key
+    return kept.model
+
+
+def pieces(seq: str, window: int | None, overlap: int) -> list[str]:
+    """A sequence in windows that overlap; one piece where it is no longer than a window."""
+    if window is None or len(seq) <= window:
+        return [seq]
+    return [seq[i : i + window] for i in range(0, len(seq) - overlap, window - overlap)]
+
+
+def embed(
+    df: DataFrame, fn: Callable[[list[str]], np.ndarray] | None = None, seq: str = "seq", key: str = "id", batch: int = 256,
+    factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, window: int | None = None, overlap: int = 0,
+) -> DataFrame:
+    """(key, vec) by a user's model from a list of sequences to an array of rows, called in tasks on ``batch`` sequences at a time.
+
+    The model is ``fn``, or what ``factory`` returns: that is called once in each Python worker, however many tasks the worker
+    runs, so that weights are loaded once. Longer sequences than ``window`` go in windows that overlap by ``overlap`` residues, and their vector
+    is the mean of the windows' vectors by length; nothing is cut off. Sequences of an Arrow batch go in order of length, so
+    that a batch holds like ones. A null is an empty sequence; repeated keys are each embedded.
+    """
+    if (fn is None) == (factory is None):
+        raise ValueError("give a function or a factory of one")
+    if window is not None and not 0 <= overlap < window:
+        raise ValueError("windows must be longer than their overlap")
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fn if fn is not None else _model(name, factory)
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                vec = np.asarray(fn([s or "" for s in part.column(1).to_pylist()]), dtype=np.float64)
-                yield pa.record_batch([part.column(0), pa.array(list(vec), pa.list_(pa.float64()))], [key, "vec"])
+            for at in range(0, b.num_rows, 16 * batch):
+                part = b.slice(at, 16 * batch)
+                cut = [pieces(s or "", window, overlap) for s in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+                flat = [p for c in cut for p in c]
+                size = np.fromiter(map(len, flat), np.int64, len(flat))
+                order, total = np.argsort(size, kind="stable"), None
+                for i in range(0, len(order), batch):
+                    some = order[i : i + batch]
+                    vec = np.asarray(model([flat[k] for k in some.tolist()]), dtype=np.float64)
+                    total = np.zeros((len(cut), vec.shape[1])) if total is None else total
+                    np.add.at(total, row[some], vec * np.maximum(size[some], 1)[:, None])
+                mean = total / np.bincount(row, np.maximum(size, 1), len(cut))[:, None]
+                yield pa.record_batch([part.column(0), pa.array(list(mean), pa.list_(pa.float64()))], [key, "vec"])
 
     kind = dict(df.dtypes)[key]
     return df.select(key, seq).mapInArrow(run, f"{key} {kind}, vec array<double>")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FAMILY_RULES
@@ -60,19 +59,53 @@ def locus_features(envelopes: DataFrame, regions: DataFrame, models: DataFrame,
     return rows.select("peptide_id", length.alias("locus_len_bp"), (1 - F.col("coding") / length).alias("intron_frac"), gc.alias("gc_locus"), "n_exons")
 
 
+LEAST_LEVEL, MOST_LEVEL = 12, 40  # nested bins of 2**12 to 2**40 bases
+
+
+def _level(lo: Column, hi: Column) -> Column:
+    """The level of the smallest nested bin that holds the places lo to hi."""
+    apart = F.length(F.bin(lo.bitwiseXOR(hi)))  # bits from the highest in which they differ
+    return F.greatest(F.when(lo == hi, 0).otherwise(apart), F.lit(LEAST_LEVEL)).cast("int")
+
+
+def nested_bins(df: DataFrame, lo: Column, hi: Column, above: int | None) -> DataFrame:
+    """``df`` with (level, bin) of the one bin that holds the places lo to hi (from 0, both included), or, with ``above``, a row for each
+    bin that holds that bin, from ``above`` levels over it (0: itself too) to the top.
+
+    Bins nest: two either share no place, or one holds the other. So spans that share a place stand in bins of which one
+    holds the other, and a span gives as many rows as there are levels at most, however long it is.
+    """
+    low, high = F.greatest(lo, F.lit(0)).cast("long"), F.greatest(hi, lo, F.lit(0)).cast("long")
+    level = _level(low, high)
+    levels = F.array(level) if above is None else F.sequence(F.least(level + above, F.lit(MOST_LEVEL + 1)), F.lit(MOST_LEVEL + 1))
+    rows = df.withColumn("_lo", low).withColumn("level", F.explode(levels)).where(F.col("level") <= MOST_LEVEL)
+    return rows.withColumn("bin", F.expr("shiftright(_lo, level)")).drop("_lo")
+
+
+def near_genes(loci: DataFrame, genes: DataFrame, window: int) -> DataFrame:
+    """(peptide_id, start0, end0, symbol, gap): each gene (symbol, chrom, start, end) at most ``window`` bases from a locus
+    (peptide_id, chrom, start0, end0), the gap 0 where they overlap; each pair once.
+
+    Joined on nested bins: loci in their one bin with genes in all bins that hold theirs, and the other way round.
+    """
+    left = loci.select("peptide_id", "chrom", "start0", "end0")
+    right = genes.select("symbol", "chrom", (F.col("start") - 1).alias("g0"), F.col("end").alias("g1"))
+    wide = lambda above: nested_bins(left, F.col("start0") - window, F.col("end0") + window, above)
+    own = lambda above: nested_bins(right, F.col("g0"), F.col("g1"), above)
+    keys = ["chrom", "level", "bin"]
+    met = wide(None).join(own(0), keys).unionByName(wide(1).join(own(None), keys))
+    gap = F.greatest(F.col("g0") - F.col("end0"), F.col("start0") - F.col("g1"), F.lit(0))
+    return met.withColumn("gap", gap).where(F.col("gap") <= window).select("peptide_id", "start0", "end0", "symbol", "gap")
+
+
 def neighbourhood(loci: DataFrame, genes: DataFrame, enzymes: list[str], transporters: list[str], amps: list[str], window: int = 100_000) -> DataFrame:
     """Genes within ``window`` bases of each locus (peptide_id, chrom, start0, end0), by gap between the intervals.
 
     (peptide_id, enzyme_present, enzyme_dist_kb, transporter_present, gene_density, neighbor_amp_count): density is
     genes per kilobase of the widened locus; distances are 0 where intervals overlap and null without an enzyme.
-    Both sides are binned by ``window`` and joined on (chrom, bin); a pair that meets in several bins counts once.
+    Loci and genes meet in nested bins (``near_genes``), so that neither long loci nor long genes are copied over many bins.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / window), F.floor(b / window)))
-    left = loci.select("peptide_id", "chrom", "start0", "end0", bins(F.greatest(F.col("start0") - window, F.lit(0)), F.col("end0") + window).alias("bin"))
-    right = genes.select("symbol", "chrom", (F.col("start") - 1).alias("g0"), F.col("end").alias("g1"), bins(F.col("start") - 1, F.col("end")).alias("bin"))
-    gap = F.greatest(F.col("g0") - F.col("end0"), F.col("start0") - F.col("g1"), F.lit(0))
-    near = left.join(right, ["chrom", "bin"]).withColumn("gap", gap).where(F.col("gap") <= window)
-    near = near.select("peptide_id", "start0", "end0", "symbol", "gap").distinct()
+    near = near_genes(loci, genes, window)
     is_in = lambda names: F.col("symbol").isin(*names)
     some = lambda c: F.max(F.when(c, 1).otherwise(0))
     per = near.groupBy("peptide_id").agg(

@@ -10,19 +10,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import dibasic_hint
+from .ungapped import equal_residues, first_of
 
 
-def best_window(precursor: str, peptide: str, max_mismatch_frac: float) -> int:
-    """1-based start of the leftmost window with fewest mismatches, 0 if there are too many."""
+def _starts(text: str, block: str) -> Iterator[int]:
+    at = text.find(block)
+    while at >= 0:
+        yield at
+        at = text.find(block, at + 1)
+
+
+def candidate_windows(precursor: str, peptide: str, allowed: int) -> np.ndarray:
+    """0-based starts of the windows that may have at most ``allowed`` mismatches, in order.
+
+    Of allowed + 1 blocks of the peptide one stands there unchanged, so only windows around such a block are returned; all
+    windows, if the peptide has no more residues than mismatches are allowed.
+    """
     n, m = len(precursor), len(peptide)
-    if not m or m > n:
-        return 0
-    text, pattern = np.frombuffer(precursor.encode("utf-32-le"), "<u4"), np.frombuffer(peptide.encode("utf-32-le"), "<u4")
-    wrong = np.zeros(n - m + 1, dtype=np.int32)
-    for j in range(m):
-        wrong += text[j : n - m + 1 + j] != pattern[j]
-    at = int(wrong.argmin())
-    return at + 1 if wrong[at] <= max(1, int(max_mismatch_frac * m)) else 0
+    if m <= allowed:
+        return np.arange(n - m + 1)
+    edges = [m * i // (allowed + 1) for i in range(allowed + 2)]
+    found = {p - lo for lo, hi in zip(edges[:-1], edges[1:], strict=True) for p in _starts(precursor, peptide[lo:hi])}
+    return np.array(sorted(w for w in found if 0 <= w <= n - m), np.int64)
+
+
+def best_windows(precursors: list[str], peptides: list[str], max_mismatch_frac: float) -> list[int | None]:
+    """1-based start of the leftmost window with fewest mismatches for each pair, null if there are too many; peptides are not
+    empty and no longer than their precursors. The windows of all pairs are compared together."""
+    allowed = [max(1, int(max_mismatch_frac * len(p))) for p in peptides]
+    windows = [candidate_windows(*x) for x in zip(precursors, peptides, allowed, strict=True)]
+    which = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+    start = np.concatenate([np.zeros(0, np.int64), *windows])
+    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (precursors, peptides)]
+    data = [np.frombuffer("".join(x).encode("utf-32-le"), "<u4") for x in (precursors, peptides)]
+    at = [np.cumsum(s) - s for s in sizes]
+    same = equal_residues(data[0], at[0][which] + start, data[1], at[1][which], sizes[1][which])
+    wrong = sizes[1][which] - same
+    order = np.lexsort((start, wrong, which))
+    order = order[first_of(which[order])]
+    out: list[int | None] = [None] * len(windows)
+    for k, w, s in zip(which[order].tolist(), wrong[order].tolist(), start[order].tolist(), strict=True):
+        if w <= allowed[k]:
+            out[k] = s + 1
+    return out
 
 
 def find_mature(pairs: DataFrame, max_mismatch_frac: float = 0.2) -> DataFrame:
@@ -30,7 +60,7 @@ def find_mature(pairs: DataFrame, max_mismatch_frac: float = 0.2) -> DataFrame:
 
     Exact match first, then case-insensitive, then the window of fewest mismatches if at most max(1, part of the
     length); null if nothing fits, and for empty or too long peptides. Only rows that both matches leave open reach
-    the numpy helper.
+    the numpy helper, which looks at windows around an unchanged block alone (``candidate_windows``).
     """
     usable = (F.length("peptide") > 0) & (F.length("peptide") <= F.length("precursor"))
     exact = F.when(usable, F.greatest(F.instr("precursor", F.col("peptide")), F.lit(0)))
@@ -42,11 +72,10 @@ def find_mature(pairs: DataFrame, max_mismatch_frac: float = 0.2) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                best_window(a, b, max_mismatch_frac) or None
-                for a, b in zip(batch.column("precursor").to_pylist(), batch.column("peptide").to_pylist(), strict=True)
-            ]
-            yield batch.set_column(batch.schema.get_field_index("mature_start"), "mature_start", pa.array(found, pa.int32()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = best_windows(part.column("precursor").to_pylist(), part.column("peptide").to_pylist(), max_mismatch_frac)
+                yield part.set_column(part.schema.get_field_index("mature_start"), "mature_start", pa.array(found, pa.int32()))
 
     both = done.unionByName(todo.mapInArrow(search, todo.schema))
     return both.withColumn("mature_end", (F.col("mature_start") + F.length("peptide") - 1).cast("int"))

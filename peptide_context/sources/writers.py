@@ -27,6 +27,18 @@ def write_fasta(df: DataFrame, path: str, name: str = "id", seq: str = "seq", wi
     df.select(fasta_record(F.col(name), F.col(seq), width).alias("value")).write.text(path)
 
 
+def write_genome(chunks: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA of chromosomes from chunks (chrom, chunk_id, seq), wrapped at ``width`` inside a chunk.
+
+    A row is a chunk, with the header in front of the first of a chromosome; rows are written in the order of (chrom, chunk_id), a
+    chromosome in one file, and as many files as there are chromosomes or partitions. No chromosome is put together in a row.
+    """
+    body = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    line = F.when(F.col("chunk_id") == 0, F.concat(F.lit(">"), "chrom", F.lit("\n"), body)).otherwise(body)
+    ordered = chunks.repartition("chrom").sortWithinPartitions("chrom", "chunk_id")
+    ordered.select(line.alias("value")).write.text(path)
+
+
 def save_model(model, columns: list[str], path: str) -> None:
     """A fitted pyspark.ml model and the names of its feature columns in order, replacing what is there."""
     model.write().overwrite().save(f"{path}/model")
