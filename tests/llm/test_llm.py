@@ -253,6 +253,39 @@ def test_topk_products():
         assert search.products <= share * full.size, (dim, search.products / full.size)
 
 
+def test_topk_multiplications():
+    """Bounds never cost much more than all products, and save most of them where few components carry the vectors."""
+    from peptide_context.llm.topk import BlockSearch, levels
+
+    rng = np.random.default_rng(6)
+    spread = np.where(np.arange(64) % 8 == 3, 1.0, 0.05)
+    for limit, order, make in ((1.1, None, lambda n: rng.normal(size=(n, 64))), (0.35, np.argsort(-spread, kind="stable").tolist(), lambda n: rng.normal(size=(n, 64)) * spread)):
+        q, x = (np.floor(256 * make(n)).astype(np.int64) for n in (200, 20_000))
+        search = BlockSearch(np.arange(-200, 0), q, 5, order)
+        for at in range(0, 20_000, 1000):
+            search.add(np.arange(at, at + 1000), x[at : at + 1000])
+        full = q @ x.T
+        assert sorted(search.score.tolist()) == sorted(np.sort(full, axis=1)[:, -5:].ravel().tolist())
+        assert search.multiplications <= limit * full.size * 64, search.multiplications / full.size / 64
+    assert levels(64) == [8, 16, 32, 48, 56, 64] and levels(1) == [1] and levels(0) == [0]
+
+
+def test_topk_same_id_huge_numbers_and_dimensions(spark):
+    from peptide_context.llm.topk import component_orders, top_k
+
+    big = 1 << 30
+    rows = [(0, [5, 1]), (0, [2, 9]), (1, [1, 1]), (1, [1, 1]), (2, [-3, 4]), (3, []), (4, []), (5, [1]), (6, [big, -big, 3]), (7, [big, big, 1]), (8, [-big, -big, 5])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in top_k(df, df, 2, block=2, lane_bytes=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {
+        0: [(2, 30), (1, 11)], 1: [(0, 11), (0, 6)], 2: [(0, 30), (1, 1)], 3: [(4, 0)], 4: [(3, 0)], 6: [(8, 15), (7, 3)],
+        7: [(6, 3), (8, 5 - 2 * big * big)], 8: [(6, 15), (7, 5 - 2 * big * big)],
+    }
+    assert component_orders(df)[2] in ([0, 1], [1, 0]) and component_orders(df.where("false")) == {}
+
+
 def test_embedding_dedup(spark):
     from peptide_context.llm.embedding_dedup import decode, near_duplicates, roots
 
