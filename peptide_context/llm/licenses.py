@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
@@ -143,9 +144,11 @@ def canonical(text: Column) -> Column:
     bare = F.regexp_replace(low, COPYRIGHT_LINE, "\n")
     flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " ")), F.lit(" "))
     # British spellings can only be there where one of their stems is: most texts skip the replacements
-    spelt = flat
+    # each word between blanks of its own, so that neighbours are both replaced
+    spelt = F.replace(flat, F.lit(" "), F.lit("  "))
     for old, new in sorted(SPELLINGS.items()):
         spelt = F.replace(spelt, F.lit(f" {old} "), F.lit(f" {new} "))
+    spelt = F.replace(spelt, F.lit("  "), F.lit(" "))
     has = F.regexp_like(flat, F.lit(f" ({'|'.join(sorted(SPELLINGS))}) "))
     return F.trim(F.when(has, spelt).otherwise(flat))
 
@@ -170,26 +173,62 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     return hashed.join(F.broadcast(known), "digest", "left").select("doc_id", "n_words", "digest", "license_id")
 
 
-def scan_sql(known: list[tuple[str, str]] | None = None) -> str:
-    """The scan of the table documents as DuckDB SQL."""
+def scan_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, line, license_id): every line of docs(doc_id, text) that is a known licence by itself, lines counted from 1.
+
+    Each line is judged as ``scan`` judges a text. Null texts have no line; rows that repeat are each read; no row is moved."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    hashed = lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.md5(canonical(F.col("text"))).alias("digest"))
+    return hashed.join(F.broadcast(known), "digest").select("doc_id", "line", "license_id")
+
+
+def canonical_digest(text: str) -> str:
+    """The digest of ``canonical`` for one text, worked out by the driver: the SQL names the long licences by it."""
+    flat = re.sub(r"[^a-z0-9]+", " ", re.sub(COPYRIGHT_LINE, "\n", text.translate({c: c + 32 for c in range(65, 91)}))).strip()
+    return hashlib.md5(" ".join(SPELLINGS.get(w, w) for w in flat.split(" ")).encode()).hexdigest()
+
+
+def _sql_parts(known: list[tuple[str, str]] | None) -> tuple:
+    """(SQL of a text's canonical form, SQL of the digests of ``known``)."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def form(text: str) -> str:
         low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         bare = f"regexp_replace({low}, {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
         flat = f"' ' || trim(regexp_replace({bare}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+        flat = f"replace({flat}, ' ', '  ')"
         for old, new in sorted(SPELLINGS.items()):
             flat = f"replace({flat}, ' {old} ', ' {new} ')"
-        return f"trim({flat})"
+        return f"trim(replace({flat}, '  ', ' '))"
 
-    rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known or KNOWN)
-    return f"""
+    short = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known or KNOWN)
+    long = ", ".join(f"({quote(a)}, {quote(canonical_digest(b))})" for a, b in ([] if known else long_licences()))
+    more = f" UNION ALL SELECT digest, license_id FROM (VALUES {long}) AS w(license_id, digest)" if long else ""
+    return form, f"""
 WITH k AS (
-  SELECT md5({form("t")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, t) GROUP BY 1
-), d AS (
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT md5({form("t")}) AS digest, license_id FROM (VALUES {short}) AS v(license_id, t){more}
+  ) GROUP BY 1
+)"""
+
+
+def scan_sql(known: list[tuple[str, str]] | None = None) -> str:
+    """The scan of the table documents as DuckDB SQL, long licences included."""
+    form, digests = _sql_parts(known)
+    return f"""{digests}, d AS (
   SELECT doc_id, {form("text")} AS c FROM documents
 )
 SELECT d.doc_id, CAST(CASE WHEN c = '' THEN 0 ELSE length(c) - length(replace(c, ' ', '')) + 1 END AS BIGINT) AS n_words,
        md5(c) AS digest, k.license_id
 FROM d LEFT JOIN k ON k.digest = md5(c)
 """
+
+
+def scan_lines_sql(known: list[tuple[str, str]] | None = None) -> str:
+    """``scan_lines`` of the table documents as DuckDB SQL."""
+    form, digests = _sql_parts(known)
+    return f"""{digests}, l AS (
+  SELECT doc_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+)
+SELECT l.doc_id, CAST(l.line AS BIGINT) AS line, k.license_id FROM l JOIN k ON k.digest = md5({form("t")})
+"""

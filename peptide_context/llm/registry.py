@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import spread
-from .licenses import scan_sql
+from .licenses import scan_lines_sql, scan_sql
 
 QUERIES = {}
 SQL = {}
@@ -80,6 +80,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_licenses"] = scan_sql()
 
 
+@register
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that are licences by themselves: in the driver's table no whole text is one, but many lines are."""
+    from .licenses import known_digests, scan_lines
+
+    return scan_lines(_table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+SQL["license_lines"] = scan_lines_sql()
+
+
 @register
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import search_table

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 #: Fixed values of the formats: the skippable frame that carries a dictionary, the Zstandard frame's first bytes.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -156,8 +156,9 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     Of pages with equal payloads of at least ``least`` bytes, the largest page_id is the response. Payloads are
     compared by SHA-1 and length on rows without texts: a payload that very many pages share is pre-aggregated,
-    and only its digest meets the other copies. The decision returns to its page by page_id. A null html is an
-    empty payload; a page without page_id is a response of its own.
+    and only its digest meets the other copies. The decision returns to its page by page_id and digest: revisits that take
+    little memory are broadcast, so that no html is moved. A null html is an empty payload; a page without page_id is a response of
+    its own; rows with the same page_id and payload are alike, and share their fate; an empty table gives no records.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     read = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
@@ -167,7 +168,7 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     origin = small.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n"))
     origin = origin.where("_n > 1").drop("_n")
     revisits = small.join(origin, ["payload_digest", "payload_bytes"]).where("page_id <> refers_to")
-    revisits = revisits.select("page_id", "payload_digest", "refers_to").distinct()
+    revisits = small_side(materialize(revisits.select("page_id", "payload_digest", "refers_to").distinct()))
     return read.join(revisits, ["page_id", "payload_digest"], "left")
 
 
@@ -227,5 +228,6 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Writes all pages to archives in the shared scratch folder and reads every record back."""
+    """Writes all pages to archives in the shared scratch folder and reads every record back. Nulls, repeats and an empty
+    table are as in ``plan_records``; very long payloads make archives of their own."""
     return read_archives(materialize(write_archives(plan_records(pages, least))))
