@@ -35,8 +35,9 @@ SHINGLE = 5
 SEEDS = 4  # minimum hashes a node, to find its leader
 BLOCK = 128  # nodes in a block of bitmaps, on average
 PER_BUCKET = 1 << 18  # tokens that a hash bucket gets on average, up to
-MOST_BITS = 16  # two to the power of so many buckets
-CHUNK = 1 << 19  # tokens of a chunk of documents; more if there are many buckets
+MOST_BITS = 28  # two to the power of so many buckets: 7e13 tokens
+CHUNK = 1 << 19  # tokens of a chunk of documents; more if there are many buckets, up to
+MOST_CHUNK = 1 << 23  # so many
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -105,12 +106,12 @@ def _deal(shingle: int, bits: int, chunk_size: int, full: bool):
         single = count == 1
         one, one_who, more, times = key[start[single]], who[start[single]], key[start[~single]], count[~single].astype(np.uint32)
         several = np.repeat(~single, count)
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)
-        a, b = (np.append(np.searchsorted(x, edges), len(x)) for x in (one, more))
+        present = np.unique(key >> np.uint64(32))  # not all buckets: there may be more of them than tokens in a chunk
+        a, b = (np.append(np.searchsorted(x, present << np.uint64(32)), len(x)) for x in (one, more))
         out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "one", "who", "more", "times")}
-        for i in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)):
+        for i, bucket in enumerate(present.tolist()):
             x, y = slice(a[i], a[i + 1]), slice(b[i], b[i + 1])
-            values = (int(i), chunk, one[x].astype("<u4").tobytes(), one_who[x].tobytes(), more[y].astype("<u4").tobytes(), times[y].tobytes())
+            values = (bucket, chunk, one[x].astype("<u4").tobytes(), one_who[x].tobytes(), more[y].astype("<u4").tobytes(), times[y].tobytes())
             for c, v in zip(out.values(), values, strict=True):
                 c.append(v)
         if out["bucket"]:
@@ -256,9 +257,13 @@ def _settled(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _buckets(tokens: float) -> tuple[int, int]:
-    """Bits of the bucket number and tokens of a chunk for so many tokens in all."""
+    """Bits of the bucket number and tokens of a chunk for so many tokens in all.
+
+    Buckets follow the input, so that one holds some ``PER_BUCKET`` tokens whatever there is. A chunk gives each bucket a
+    row of some 128 tokens, up to the ``MOST_CHUNK`` tokens that a task holds; beyond that rows get shorter, and in
+    the end a row is a token, as in a plain shuffle of tokens."""
     bits = min(MOST_BITS, max(0, int(tokens // PER_BUCKET).bit_length()))
-    return bits, max(CHUNK, 128 << bits)
+    return bits, min(max(CHUNK, 128 << bits), MOST_CHUNK)
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:

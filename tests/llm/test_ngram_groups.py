@@ -95,3 +95,16 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:-9000])), (3, " ".join(words[: len(words) // 2])), (4, "x" * 1_500_000)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (199_996, 1), 2: (190_996, 1), 3: (99_996, 3), 4: (1, 4)}
+
+
+def test_many_buckets(spark, monkeypatch):
+    """More buckets than a chunk has tokens: rows of a token each, and the same components."""
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, join.link(docs).collect()), key=repr)
+    monkeypatch.setattr(join, "PER_BUCKET", 1)
+    monkeypatch.setattr(join, "CHUNK", 1000)
+    monkeypatch.setattr(join, "MOST_CHUNK", 2000)
+    bits, chunk = join._buckets(20_000)
+    assert bits >= 14 and chunk == 2000 and join._buckets(1e14)[0] == join.MOST_BITS
+    assert sorted(map(tuple, join.link(docs).collect()), key=repr) == want
