@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 BROADCAST_BYTES = 64 << 20
 
 _LOCAL: dict[str, str] = {}
+_GOES: set[str] = set()  # applications whose tables go when the driver ends
 _STEPS: ContextVar[tuple[str, ...]] = ContextVar("steps", default=())
 
 
@@ -31,10 +32,19 @@ def _folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the cluster's shared ``spark.checkpoint.dir``.
+    """A new path below the cluster's shared ``spark.checkpoint.dir``. What lies there goes when the driver ends.
 
     Where that setting is absent, a temporary folder stands in for it on one machine (tests); a cluster without it is an error.
     """
+    app = spark.sparkContext.applicationId
+    if app not in _GOES:
+        _GOES.add(app)
+        own = _STEPS.set(())
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+        _STEPS.reset(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return f"{_folder(spark)}/{uuid.uuid4().hex}"
 
 
