@@ -1,5 +1,6 @@
 """Alphabets, published scales and the curated rule tables the operators default to."""
 
+#: The 20 standard residues.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 #: Kyte-Doolittle hydropathy.
@@ -8,6 +9,7 @@ HYDROPATHY = {
     "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2,
 }
 
+#: Residues on each side of a bond, and the names of their places.
 FLANK = 4
 POSITION_LABELS = ["P4", "P3", "P2", "P1", "P1'", "P2'", "P3'", "P4'"]
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of the methods in the outputs.
 METHODS = {1: "method1_amp", 2: "method2_propeptide", 3: "method3_pro_plus_amp"}
 
 
