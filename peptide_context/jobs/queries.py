@@ -99,12 +99,12 @@ def _all_promoters(s, d):
 
 
 def _positives(s, d):
-    regions = materialize(_regions(s, d))
-    envelopes = G.locus_envelope(regions, _models(s, d), A.cds(s, d))
-    locus = E1.locus_features(envelopes, regions, _models(s, d), A.cds(s, d), A.genome(s, d), A.CHUNK)
-    pwm = C.build_pwm(C.junction_windows(A.proteins(s, d), regions), C.background(A.proteins(s, d)))
-    cuts = D.cut_context(C.score_sites(_sites(s, d), pwm))
-    return D.assemble_positives(A.peptides(s, d), regions, A.proteins(s, d), cuts, locus)
+    regions, models, proteins = materialize(_regions(s, d)), materialize(_models(s, d)), materialize(A.proteins(s, d))
+    envelopes = materialize(G.locus_envelope(regions, models, A.cds(s, d)))
+    locus = E1.locus_features(envelopes, regions, models, A.cds(s, d), A.genome(s, d), A.CHUNK)
+    pwm = C.build_pwm(C.junction_windows(proteins, regions), C.background(proteins))
+    cuts = D.cut_context(C.score_sites(C.scan_cleavage(proteins), pwm))
+    return D.assemble_positives(A.peptides(s, d), regions, proteins, cuts, locus)
 
 
 def _labelled(s, d):

@@ -59,25 +59,26 @@ def find_mature(pairs: DataFrame, max_mismatch_frac: float = 0.2) -> DataFrame:
     """Adds mature_start and mature_end (1-based, inclusive) to rows with ``precursor`` and ``peptide`` sequences.
 
     Exact match first, then case-insensitive, then the window of fewest mismatches if at most max(1, part of the
-    length); null if nothing fits, and for empty or too long peptides. Only rows that both matches leave open reach
-    the numpy helper, which looks at windows around an unchanged block alone (``candidate_windows``).
+    length); null if nothing fits, and for empty or too long peptides. Only the sequences of rows that both matches leave
+    open reach the numpy helper, which looks at windows around an unchanged block alone (``candidate_windows``).
     """
     usable = (F.length("peptide") > 0) & (F.length("peptide") <= F.length("precursor"))
     exact = F.when(usable, F.greatest(F.instr("precursor", F.col("peptide")), F.lit(0)))
     folded = F.instr(F.upper("precursor"), F.upper("peptide"))
     start = F.when(exact > 0, exact).when(usable & (folded > 0), folded)
     located = pairs.withColumn("mature_start", start)
-    done = located.where(F.col("mature_start").isNotNull() | F.coalesce(~usable, F.lit(True)))
-    todo = located.where(F.col("mature_start").isNull() & F.coalesce(usable, F.lit(False)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = best_windows(part.column("precursor").to_pylist(), part.column("peptide").to_pylist(), max_mismatch_frac)
-                yield part.set_column(part.schema.get_field_index("mature_start"), "mature_start", pa.array(found, pa.int32()))
-
-    both = done.unionByName(todo.mapInArrow(search, todo.schema))
+    @F.arrow_udf("int")
+    def search(precursors: pa.Array, peptides: pa.Array) -> pa.Array:
+        at = np.flatnonzero(precursors.is_valid().to_numpy(zero_copy_only=False))
+        found = np.zeros(len(precursors), np.int32)
+        for i in range(0, len(at), 1000):
+            part = pa.array(at[i : i + 1000])
+            found[at[i : i + 1000]] = [x or 0 for x in best_windows(precursors.take(part).to_pylist(), peptides.take(part).to_pylist(), max_mismatch_frac)]
+        return pa.array(found, mask=found == 0)
+
+    left = F.col("mature_start").isNull() & usable
+    both = located.withColumn("mature_start", F.coalesce("mature_start", search(F.when(left, F.col("precursor")), F.when(left, F.col("peptide")))))
     return both.withColumn("mature_end", (F.col("mature_start") + F.length("peptide") - 1).cast("int"))
 
 
