@@ -319,7 +319,7 @@ def cut_model_optimum(s, d):
     """The fit of the cut model is settled: what it implies for every window feature is what the cut windows show."""
     rows, cols = L.window_rows(*_bonds(s, d))
     rows = materialize(rows)
-    return L.optimum(L.fit(rows, cols, "logreg"), rows, cols).select("term", (F.round("moment", 4) + 0.0).alias("moment"))
+    return L.optimum(L.fit(rows, cols, "logreg", tol=1e-12), rows, cols).select("term", (F.round("moment", 4) + 0.0).alias("moment"))
 
 
 @query
@@ -634,7 +634,7 @@ def logreg_optimum(s, d):
     cols = D.cumulative_columns(rows.columns, "M1")
     most = rows.agg(*[F.max(F.abs(c)).alias(c) for c in cols])
     most = most.select(F.explode(F.array(F.struct(F.lit("intercept").alias("term"), F.lit(1.0).alias("most")), *[F.struct(F.lit(c).alias("term"), F.col(c).alias("most")) for c in cols])).alias("m")).select("m.*")
-    found = L.optimum(L.fit(rows, cols, "logreg"), rows, cols).join(F.broadcast(most), "term")
+    found = L.optimum(L.fit(rows, cols, "logreg", tol=1e-12), rows, cols).join(F.broadcast(most), "term")
     return found.select("term", (F.round(F.col("moment") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0), 4) + 0.0).alias("moment"))
 
 

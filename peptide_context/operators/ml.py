@@ -70,13 +70,13 @@ def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])))
 
 
-def classifier(rows: DataFrame, counts: dict[int, int], kind: str, seed: int, trees: int, l2: float):
+def classifier(rows: DataFrame, counts: dict[int, int], kind: str, seed: int, trees: int, l2: float, tol: float = 1e-6):
     """Fits rows (features, label); a row weighs n / (2 * size of its class)."""
     n = sum(counts.values())
     data = rows.select("features", F.col("label").cast("double").alias("label"), class_weights(counts).alias("weight"))
     if kind == "rf":
         return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxMemoryInMB=1024).fit(data)
-    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, n), maxIter=1000, tol=1e-12).fit(data)
+    return LogisticRegression(weightCol="weight", regParam=l2 / max(1, n), maxIter=100 if tol >= 1e-6 else 1000, tol=tol).fit(data)
 
 
 def class_weights(counts: dict[int, int], label: str = "label") -> Column:
@@ -106,11 +106,11 @@ def optimum(model, df: DataFrame, cols: list[str], l2: float = 1.0) -> DataFrame
     return df.sparkSession.createDataFrame(list(zip(["intercept", *cols], map(float, values), strict=True)), "term string, moment double")
 
 
-def fit(df: DataFrame, cols: list[str], kind: str = "rf", seed: int = 0, trees: int = 300, l2: float = 1.0):
+def fit(df: DataFrame, cols: list[str], kind: str = "rf", seed: int = 0, trees: int = 300, l2: float = 1.0, tol: float = 1e-6):
     """A class-weighted classifier on (label, cols): ``rf``, a forest, or ``logreg``, L2 logistic regression on
-    standardised columns with a penalty of ``l2`` over the number of rows."""
+    standardised columns with a penalty of ``l2`` over the number of rows; its steps end where they gain less than ``tol``."""
     data = materialize(vectors(df, cols).select("features", "label"))
-    return classifier(data, {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}, kind, seed, trees, l2)
+    return classifier(data, {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}, kind, seed, trees, l2, tol)
 
 
 def scored(model, df: DataFrame, cols: list[str]) -> DataFrame:

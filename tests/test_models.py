@@ -23,13 +23,13 @@ def rows(spark):
 
 
 def test_optimum_of_a_fit(rows):
-    model = ml.fit(rows, COLS, "logreg")
+    model = ml.fit(rows, COLS, "logreg", tol=1e-12)
     found = {r["term"]: r["moment"] for r in ml.optimum(model, rows, COLS).collect()}
     means = rows.where("label = 1").agg(*[F.avg(c).alias(c) for c in COLS]).first()
     assert found["intercept"] == pytest.approx(1.0, abs=1e-6)
     for c in COLS:
         assert found[c] == pytest.approx(means[c], abs=1e-5 * max(1.0, abs(means[c])))
-    other = ml.fit(rows, COLS, "logreg", l2=100.0)  # not where the gradient for l2 = 1 is 0
+    other = ml.fit(rows, COLS, "logreg", l2=100.0, tol=1e-12)  # not where the gradient for l2 = 1 is 0
     wrong = {r["term"]: r["moment"] for r in ml.optimum(other, rows, COLS).collect()}
     assert abs(wrong["a"] - means["a"]) > 1e-2
 
