@@ -81,3 +81,46 @@ def test_steps_of_few_ids(monkeypatch):
     ends = np.array([0, 1, 2, 2 + 11, 14, 15, 16, 40])
     expected = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     assert token_files._checksums(ids, ends) == expected
+
+
+def test_stems_are_learnt_once(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from peptide_context.llm import packing
+
+    plain, learn, learnt = Tokenizer.from_file(PATH), packing._Words._learn, Counter()
+
+    def counted(self, stems):
+        learnt.update(stems.to_pylist() if isinstance(stems, pa.Array) else stems)
+        return learn(self, stems)
+
+    monkeypatch.setattr(packing._Words, "_learn", counted)
+    texts = [f"Once{'abcdefghij'[k % 10]}, é{chr(97 + k % 26)} zürich. {chr(97 + k // 26)}x 12 don't" for k in range(200)] + [None, "", " "]
+
+    def encode():
+        batches = [pa.record_batch([pa.array([k]), pa.array([t], pa.string())], ["doc_id", "text"]) for k, t in enumerate(texts)]
+        return [flat.tolist() for _, _, flat in packing.encoded(iter(batches), PATH, 2)]
+
+    want = [ids_of(plain, t).tolist() for t in texts]
+    assert encode() == want and encode() == want  # two tasks of a worker
+    assert len(learnt) >= 40 and max(learnt.values()) == 1
+
+
+def test_few_stems_kept(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from peptide_context.llm import packing
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["alpha beta, gamma", "beta delta epsilon zeta!", "beta", "", "alpha beta"]
+    for most in ({"most": 0}, {"most": 3}, {"most_ids": 5}, {"most": 4}):
+        known = packing._Words(PATH, **most)
+        for t in [*texts, *texts]:
+            words = pa.array(t.split(), pa.string())
+            pool, start, length = known.encode(words)
+            assert packing._spans(pool, start, length).tolist() == plain.encode(t, add_special_tokens=False).ids
+            assert len(known.stems) <= known.most and len(known.at) == len(known.stems) + 1 and known.at[-1] == len(known.pool) <= known.most_ids
