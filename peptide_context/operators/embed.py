@@ -28,6 +28,16 @@ def _model(key: str, factory: Callable[[], Callable]) -> Callable:
     return kept.model
 
 
+def _slots(df: DataFrame) -> int | None:
+    """Tasks that run at a time, counting executors that are asked for but not there yet; None where they come and go."""
+    spark = df.sparkSession.sparkContext
+    conf = spark.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return None
+    asked = int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1"))
+    return max(spark.defaultParallelism, asked)
+
+
 def pieces(seq: str, window: int | None, overlap: int) -> list[str]:
     """A sequence in windows that overlap; one piece where it is no longer than a window."""
     if window is None or len(seq) <= window:
@@ -38,13 +48,17 @@ def pieces(seq: str, window: int | None, overlap: int) -> list[str]:
 def embed(
     df: DataFrame, fn: Callable[[list[str]], np.ndarray] | None = None, seq: str = "seq", key: str = "id", batch: int = 256,
     factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, window: int | None = None, overlap: int = 0,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(key, vec) by a user's model from a list of sequences to an array of rows, called in tasks on ``batch`` sequences at a time.
 
     The model is ``fn``, or what ``factory`` returns: that is called once in each Python worker, however many tasks the worker
-    runs, so that weights are loaded once. Longer sequences than ``window`` go in windows that overlap by ``overlap`` residues, and their vector
-    is the mean of the windows' vectors by length; nothing is cut off. Sequences of an Arrow batch go in order of length, so
-    that a batch holds like ones. A null is an empty sequence; repeated keys are each embedded.
+    runs, so that weights are loaded once. Spark gives tasks to its idle workers in turn, and stages of several Python steps
+    leave several a core; so with a factory partitions are put together, unshuffled, into at most ``tasks`` tasks (as many as
+    run at a time, if not given; with dynamic allocation they stay as they are), and no more workers load. Longer sequences
+    than ``window`` go in windows that overlap by ``overlap`` residues, and their vector is the mean of the windows' vectors
+    by length; nothing is cut off. Sequences of an Arrow batch go in order of length, so that a batch holds like ones. A null
+    is an empty sequence; repeated keys are each embedded.
     """
     if (fn is None) == (factory is None):
         raise ValueError("give a function or a factory of one")
@@ -71,7 +85,8 @@ def embed(
                 yield pa.record_batch([part.column(0), pa.array(list(mean), pa.list_(pa.float64()))], [key, "vec"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, seq).mapInArrow(run, f"{key} {kind}, vec array<double>")
+    rows, most = df.select(key, seq), tasks or (_slots(df) if factory is not None else None)
+    return (rows.coalesce(most) if most else rows).mapInArrow(run, f"{key} {kind}, vec array<double>")
 
 
 def merge_embeddings(dataset: DataFrame, tables: list[tuple[DataFrame, str, int]]) -> DataFrame:
