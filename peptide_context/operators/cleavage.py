@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import AMINO_ACIDS, FLANK, HYDROPATHY, POSITION_LABELS, PROTEASE_MOTIFS
+from ..functions.digests import drawn_places
 from ..functions.motifs import SITES, scan
-from ..functions.sequences import count_of, full_window, logistic, seeded_rank_key
+from ..functions.sequences import count_of, full_window, logistic, residue_counts
 
 
 def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
@@ -60,9 +61,10 @@ def motif_pfm(windows: DataFrame, top: int = 3) -> DataFrame:
 def background(precursors: DataFrame) -> DataFrame:
     """(aa, freq): residue frequencies over all sequences, one added to each of the 20 counts.
 
-    Counts are lengths with and without a letter, summed in one aggregate: no explode, one row a task to shuffle.
+    Residues are counted in one pass a sequence, and summed in one aggregate: no explode, one row a task to shuffle.
     """
-    sums = precursors.agg(*[F.coalesce(F.sum(count_of(F.col("seq"), a)), F.lit(0)).alias(a) for a in AMINO_ACIDS])
+    counts = precursors.select(residue_counts(F.col("seq")).alias("c"))
+    sums = counts.agg(*[F.coalesce(F.sum(F.col("c")[i].cast("long")), F.lit(0)).alias(a) for i, a in enumerate(AMINO_ACIDS)])
     total = sum((F.col(a) for a in AMINO_ACIDS), F.lit(len(AMINO_ACIDS)))
     pairs = F.array(*[F.struct(F.lit(a).alias("aa"), ((F.col(a) + 1) / total).alias("freq")) for a in AMINO_ACIDS])
     return sums.select(F.explode(pairs).alias("p")).select("p.*")
@@ -124,17 +126,25 @@ def negative_windows(precursors: DataFrame, regions: DataFrame, per_pos: int = 3
     """(precursor_id, bond, window): drawn windows away from true bonds, ``per_pos`` for each true bond (at least one).
 
     Bonds from flank to length - flank - 1 and farther than ``tol`` from every true bond are ordered by the MD5 of
-    (precursor, bond, seed) inside the row; the first ones are taken. No residue is exploded before the draw.
+    (precursor, bond, seed); the first ones are taken. The digests are made in numpy, many bonds at a time, from ids and lengths alone.
     """
     ms, se = F.col("mature_start"), F.col("signal_end")
     own = F.array_compact(F.array(F.when(ms > 1, ms - 1), F.when(se > 0, se)))
     truth = regions.groupBy("precursor_id").agg(F.flatten(F.collect_list(own)).alias("bonds"))
     rows = precursors.select(F.col("id").alias("precursor_id"), "seq").join(truth, "precursor_id").where(F.length("seq") > 2 * flank)
-    every = F.sequence(F.lit(flank), F.length("seq") - flank - 1)
-    free = F.filter(every, lambda k: ~F.exists("bonds", lambda b: F.abs(b - k) <= tol))
-    drawn = F.array_sort(F.transform(free, lambda k: F.struct(seeded_rank_key(F.col("precursor_id"), k, F.lit(seed)).alias("h"), k.alias("bond"))))
-    some = F.slice(drawn, F.lit(1), F.greatest(F.size("bonds"), F.lit(1)) * per_pos)
-    taken = rows.select("precursor_id", "seq", F.explode(some).alias("d")).select("precursor_id", "seq", "d.bond")
+
+    @F.arrow_udf("array<int>")
+    def draw(ids: pa.Array, sizes: pa.Array, bonds: pa.Array) -> pa.Array:
+        names, true, drawn = ids.cast(pa.binary()).to_pylist(), bonds.to_pylist(), []
+        for at in range(0, len(names), 1000):
+            part = slice(at, at + 1000)
+            ends = [n - flank for n in sizes[part].to_pylist()]
+            near = [sorted({k for b in t for k in range(b - tol, b + tol + 1)}) for t in true[part]]
+            drawn += drawn_places(names[part], [flank] * len(ends), ends, near, [max(len(t), 1) * per_pos for t in true[part]], seed)
+        return pa.array(drawn, pa.list_(pa.int32()))
+
+    some = draw(F.col("precursor_id").cast("string"), F.length("seq"), F.col("bonds").cast("array<int>"))
+    taken = rows.select("precursor_id", "seq", F.explode(some).alias("bond"))
     return taken.select("precursor_id", "bond", full_window(F.col("seq"), F.col("bond"), flank).alias("window"))
 
 
