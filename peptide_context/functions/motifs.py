@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .sequences import slices
+
 _SET = r"(?:\[\^?[A-Za-z]+\]|\.|[A-Za-z])"
 _SIMPLE = re.compile(rf"({_SET}+)(?:\(\?=({_SET}+)\))?")
 
@@ -90,36 +92,70 @@ def _strings(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(text))
 
 
+class Located:
+    """The bonds of motifs in sequences, and what stands around and before them."""
+
+    def __init__(self, motifs: Motifs, seqs: list[str], flank: int):
+        which, motif, bond = motifs.find(seqs)
+        self.size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer("".join(seqs).encode("utf-32-le"), "<u4")
+        if not len(self.data):
+            which, motif, bond, self.data = which[:0], motif[:0], bond[:0], np.zeros(1, np.uint32)
+        self.which, self.motif, self.bond = which, motif, bond
+        first = self.start[which]
+        at = (first + bond)[:, None] + np.arange(-flank, flank)
+        self.inside = (at >= first[:, None]) & (at < (first + self.size[which])[:, None])
+        self.letters = self.data[np.clip(at, 0, len(self.data) - 1)]
+        self.full = self.inside.all(axis=1)
+
+    def running(self, kind: str) -> np.ndarray:
+        """How many residues of a kind stand before each place, all sequences in a row."""
+        return np.concatenate([[0], np.cumsum(np.isin(self.data, [ord(c) for c in kind]))])
+
+    def scores(self, table: np.ndarray) -> np.ndarray:
+        """Logistic of the sum of ``table`` over a bond's full window, 0 where it runs off an end. The table has a number a place
+        and code, and the constant of the sum behind them, as ``cleavage.letter_table`` makes it."""
+        total = np.zeros(len(self.bond))
+        for i in range(self.letters.shape[1]):
+            total = total + table[128 * i : 128 * (i + 1)][np.minimum(self.letters[:, i], 127)]
+        return np.where(self.full, 1.0 / (1.0 + np.exp(-np.clip(total + table[-1], -700.0, 700.0))), 0.0)
+
+
 def sites(motifs: Motifs, seqs: list[str], flank: int) -> tuple[np.ndarray, list[pa.Array]]:
     """(sequence of each site, columns ``SITES``): what stands around the bonds, and how many basic and acidic residues
     stand in front of them, by running sums."""
-    which, motif, bond = motifs.find(seqs)
-    size = np.fromiter(map(len, seqs), np.int64, len(seqs))
-    start = np.cumsum(size) - size
-    data = np.frombuffer("".join(seqs).encode("utf-32-le"), "<u4")
-    if not len(data):
-        which, motif, bond, data = which[:0], motif[:0], bond[:0], np.zeros(1, np.uint32)
-    at = (start[which] + bond)[:, None] + np.arange(-flank, flank)
-    inside = (at >= start[which][:, None]) & (at < (start + size)[which][:, None])
-    letters = data[np.clip(at, 0, len(data) - 1)]
-    bar = np.full((len(bond), 1), ord("|"), data.dtype)
+    x = Located(motifs, seqs, flank)
+    which, bond, letters, inside, full = x.which, x.bond, x.letters, x.inside, x.full
+    bar = np.full((len(bond), 1), ord("|"), letters.dtype)
     window = _strings(np.hstack([letters[:, :flank], bar, letters[:, flank:]]), np.hstack([inside[:, :flank], bar > 0, inside[:, flank:]]))
-    full = inside.all(axis=1)
     whole = _strings(letters, inside & full[:, None])
     whole = pa.StringArray.from_buffers(len(whole), whole.buffers()[1], whole.buffers()[2], pa.py_buffer(np.packbits(full, bitorder="little").tobytes()), int((~full).sum()))
     counts = []
     for kind in ("KR", "DE"):
-        running = np.concatenate([[0], np.cumsum(np.isin(data, [ord(c) for c in kind]))])
-        counts += [running[start[which] + bond] - running[start[which]], (running[start + size] - running[start])[which]]
-    numbers = lambda x: pa.array(x, pa.int32())
+        running = x.running(kind)
+        counts += [running[x.start[which] + bond] - running[x.start[which]], (running[x.start + x.size] - running[x.start])[which]]
+    numbers = lambda v: pa.array(v, pa.int32())
     p1 = _strings(letters[:, flank - 1 : flank], inside[:, flank - 1 : flank])
-    return which, [numbers(motif), numbers(bond), p1, window, whole, numbers(size[which]), *map(numbers, counts)]
+    return which, [numbers(x.motif), numbers(bond), p1, window, whole, numbers(x.size[which]), *map(numbers, counts)]
+
+
+def scan_scored(batches: Iterator[pa.RecordBatch], patterns: list[tuple[str, int]], flank: int, table: np.ndarray, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(precursor_id, motif_ord, bond, score) of batches (id, seq): the sites of ``scan``, scored where they are found."""
+    motifs = Motifs(patterns)
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column(1), most):
+            x = Located(motifs, part.to_pylist(), flank)
+            ids = batch.column(0).slice(at, len(part)).take(pa.array(x.which))
+            at += len(part)
+            columns = [ids, pa.array(x.motif, pa.int32()), pa.array(x.bond, pa.int32()), pa.array(x.scores(table))]
+            for a in range(0, len(ids), 1 << 16):
+                yield pa.record_batch([c.slice(a, 1 << 16) for c in columns], ["precursor_id", "motif_ord", "bond", "score"])
 
 
 def scan(batches: Iterator[pa.RecordBatch], patterns: list[tuple[str, int]], flank: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Sites of batches (id, seq), ``most`` bytes of sequences at a time, or one sequence; nulls have none."""
-    from .sequences import slices
-
     motifs = Motifs(patterns)
     for batch in batches:
         at = 0

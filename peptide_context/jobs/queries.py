@@ -294,41 +294,43 @@ def window_features(s, d):
 
 @query
 def auc(s, d):
-    pos, neg, pwm = _bonds(s, d)
+    pos, neg = _bonds(s, d)
     both = pos.select("window", F.lit(1).alias("label")).union(neg.select("window", F.lit(0)))
     # scores to six places: sums of other engines then tie in the same rows
-    scored = C.pwm_scored(both, pwm, "window").select("label", F.round("score", PLACES).alias("score"))
+    scored = C.pwm_scored(both, _matrix(s, d, pos), "window").select("label", F.round("score", PLACES).alias("score"))
     return rounded(L.auc(materialize(scored)))
 
 
 def _bonds(s, d):
-    """(windows at bonds that are cut, windows at others, both (id, window), the matrix), each written once."""
+    """(windows at bonds that are cut, windows at others), each (id, window)."""
     regions = materialize(_regions(s, d))
     pos = C.junction_windows(A.proteins(s, d), regions).select(F.concat_ws("|", "peptide_id", "junction").alias("id"), "window")
     neg = C.negative_windows(A.proteins(s, d), regions).select(F.concat_ws("|", "precursor_id", "bond").alias("id"), "window")
-    pos = materialize(pos)
-    return pos, materialize(neg), materialize(C.build_pwm(pos, C.background(A.proteins(s, d))))
+    return materialize(pos), materialize(neg)
+
+
+def _matrix(s, d, windows):
+    """The matrix of windows that are written already, written itself."""
+    return materialize(C.build_pwm(windows, C.background(A.proteins(s, d))))
 
 
 @query
 def cut_model(s, d):
-    pos, neg, pwm = _bonds(s, d)
-    return L.cut_model(pos, neg, pwm=pwm)[1]
+    pos, neg = _bonds(s, d)
+    return L.cut_model(pos, neg, pwm=_matrix(s, d, pos))[1]
 
 
 @query
 def cut_model_optimum(s, d):
     """The fit of the cut model is settled: what it implies for every window feature is what the cut windows show."""
-    rows, cols = L.window_rows(*_bonds(s, d)[:2])
-    rows = materialize(rows)
-    return L.optimum(L.fit(rows, cols, "logreg", tol=1e-12), rows, cols).select("term", (F.round("moment", 4) + 0.0).alias("moment"))
+    return L.cut_model_optimum(*_bonds(s, d)).select("term", (F.round("moment", 4) + 0.0).alias("moment"))
 
 
 @query
 def score_sites_model(s, d):
     """Sites rescored by the cut model instead of the matrix."""
-    model, _ = L.cut_model(*_bonds(s, d)[:2])
-    return C.score_sites_model(_sites(s, d), model).select("precursor_id", "enzyme", "bond", "score")
+    model = L.fit_cut_model(*_bonds(s, d))
+    return C.scan_scored_sites(A.proteins(s, d), model).select("precursor_id", "enzyme", "bond", "score")
 
 
 @query

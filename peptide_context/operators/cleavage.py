@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import AMINO_ACIDS, FLANK, HYDROPATHY, POSITION_LABELS, PROTEASE_MOTIFS
 from ..functions.digests import drawn_places
-from ..functions.motifs import SITES, scan
+from ..functions.motifs import SITES, scan, scan_scored
 from ..functions.sequences import count_of, full_window, logistic, residue_counts
+from .window_fit import LETTERS, feature_table
 
 
 def scan_cleavage(precursors: DataFrame, motifs: list[tuple] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
@@ -122,6 +124,35 @@ def score_sites_model(candidates: DataFrame, model) -> DataFrame:
     return scored.select(*[c for c in candidates.columns if c != "score"], p.alias("score"))
 
 
+def letter_table(source) -> np.ndarray:
+    """A matrix (pos, aa, logodds), or a logistic regression on ``window_features``, as numbers a place and code of a letter,
+    and a constant behind them. Window features are sums over the window's letters, so that a model is a matrix as well."""
+    table = np.zeros(128 * 2 * FLANK + 1)
+    if isinstance(source, DataFrame):
+        for r in source.collect():
+            table[128 * (r["pos"] - 1) + ord(r["aa"])] = r["logodds"]
+        return table
+    letters = feature_table() @ source.coefficients.toArray()
+    for i in range(2 * FLANK):
+        for k, aa in enumerate(AMINO_ACIDS):
+            table[128 * i + ord(aa)] = letters[i * LETTERS + k]
+    table[-1] = source.intercept
+    return table
+
+
+def scan_scored_sites(precursors: DataFrame, source, motifs: list[tuple] = PROTEASE_MOTIFS, flank: int = FLANK) -> DataFrame:
+    """(precursor_id, enzyme, role, bond, motif_ord, score): ``scan_cleavage`` and ``score_sites`` by a matrix, or ``score_sites_model``
+    by a logistic regression, in one pass over the proteins: no window leaves it."""
+    patterns, table = [(p, o) for _, _, p, o, *_ in motifs], letter_table(source)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scan_scored(batches, patterns, flank, table)
+
+    found = precursors.select(F.col("id").cast("string"), F.col("seq").cast("string")).mapInArrow(work, "precursor_id string, motif_ord int, bond int, score double")
+    name = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in motifs]), F.col("motif_ord") + 1)
+    return found.select("precursor_id", name(0).alias("enzyme"), name(1).alias("role"), "bond", "motif_ord", "score")
+
+
 def negative_windows(precursors: DataFrame, regions: DataFrame, per_pos: int = 3, tol: int = 2, seed: int = 0, flank: int = FLANK) -> DataFrame:
     """(precursor_id, bond, window): drawn windows away from true bonds, ``per_pos`` for each true bond (at least one).
 

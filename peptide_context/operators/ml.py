@@ -13,6 +13,7 @@ from ..functions.sequences import seeded_rank_key
 from .components import materialize
 from .dataset import LEVELS, cumulative_columns, method_features
 from .forest import score_forest
+from .window_fit import WindowFits, classifier_of, whole
 
 AT_ONCE = 4  # fits of a cross-validation that run side by side
 
@@ -253,12 +254,53 @@ def cut_model(positives: DataFrame, negatives: DataFrame, folds: int = 5, least:
     """
     from .cleavage import pwm_scored
 
-    rows, cols = window_rows(positives, negatives)
-    data, model, value = Folds(rows, cols, folds, seed), None, None
-    by_matrix = auc(pwm_scored(rows.select("label", "window"), pwm, "window")).first()["auc"] if pwm is not None else None
-    counts = data.counts()
-    if len(counts) == 2 and sum(counts.values()) >= least:
-        value = data.cv_auc({"windows": cols}, "logreg", seed, 0)["windows"]
-        model = data.fit(cols, "logreg", seed, 0)
+    both = _labelled_windows(positives, negatives)
+    by_matrix = auc(pwm_scored(both.select("label", "window"), pwm, "window")).first()["auc"] if pwm is not None else None
+    model, value = None, None
+    if whole(both):
+        data = WindowFits(materialize(cv_folds(both, folds, seed).select("window", "label", "fold")))
+        counts = data.counts()
+        if len(counts) == 2 and sum(counts.values()) >= least:
+            out = list(range(data.k)) if data.k > 1 else []
+            *held, found = data.fit([*out, None])
+            if any(m is not None for m in held):
+                value = auc(materialize(data.held_out(held)), by=("fold",)).agg(F.avg("auc").alias("auc")).first()["auc"]
+            model = classifier_of(both, found)
+    else:
+        rows, cols = window_rows(positives, negatives)
+        data = Folds(rows, cols, folds, seed)
+        counts = data.counts()
+        if len(counts) == 2 and sum(counts.values()) >= least:
+            value = data.cv_auc({"windows": cols}, "logreg", seed, 0)["windows"]
+            model = data.fit(cols, "logreg", seed, 0)
     metrics = [("n_positives", float(counts.get(1, 0))), ("n_negatives", float(counts.get(0, 0))), ("pwm_auc", by_matrix), ("ml_cv_auc", value)]
     return model, positives.sparkSession.createDataFrame(metrics, "metric string, value double")
+
+
+def _labelled_windows(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    return positives.select("id", "window", F.lit(1).alias("label")).unionByName(negatives.select("id", "window", F.lit(0).alias("label")))
+
+
+def fit_cut_model(positives: DataFrame, negatives: DataFrame, least: int = 10):
+    """The model of ``cut_model`` (null with one class, or too few rows), without folds and metrics."""
+    both = materialize(_labelled_windows(positives, negatives).withColumn("fold", F.lit(0)))
+    if not whole(both):
+        rows, cols = window_rows(positives, negatives)
+        counts = {r["label"]: r["count"] for r in both.groupBy("label").count().collect()}
+        return fit(rows, cols, "logreg") if len(counts) == 2 and sum(counts.values()) >= least else None
+    data = WindowFits(both)
+    counts = data.counts()
+    return classifier_of(both, data.fit([None])[0]) if len(counts) == 2 and sum(counts.values()) >= least else None
+
+
+def cut_model_optimum(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """``optimum`` of the cut model on all windows, terms intercept and f0 to f164."""
+    both = materialize(_labelled_windows(positives, negatives).withColumn("fold", F.lit(0)))
+    if not whole(both):
+        rows, cols = window_rows(positives, negatives)
+        rows = materialize(rows)
+        return optimum(fit(rows, cols, "logreg", tol=1e-12), rows, cols)
+    data = WindowFits(both)
+    values = data.optimum(data.fit([None])[0])
+    terms = ["intercept", *[f"f{i}" for i in range(len(values) - 1)]]
+    return both.sparkSession.createDataFrame(list(zip(terms, map(float, values), strict=True)), "term string, moment double")
