@@ -353,7 +353,8 @@ def trim_cterm(s, d):
 @query
 def predicted_regions(s, d):
     """The flagship: boundaries predicted for every protein from rescored cut sites."""
-    return rounded(B.predict_boundaries(A.proteins(s, d), materialize(_scored(s, d)), _signal(s, d)).withColumn("sel_score", F.round("sel_score", 3)))
+    found = B.predict_regions(A.proteins(s, d), _signal(s, d), _matrix(s, d, materialize(_windows(s, d))))
+    return rounded(found.withColumn("sel_score", F.round("sel_score", 3)))
 
 
 def _accuracy(s, d):

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import ROLE_PRIORITY
-from ..functions.sequences import count_of
+from ..functions.constants import FLANK, PROTEASE_MOTIFS, ROLE_PRIORITY
+from ..functions.motifs import Located, Motifs
+from ..functions.sequences import count_of, slices
+from .cleavage import letter_table
 from .components import materialize, small_side
 from .genemodel import bonds_to_genome
+from .ungapped import first_of
 
 
 def predict_mature_start(precursors: DataFrame, candidates: DataFrame, signal: DataFrame, min_mature: int = 5, max_mature: int = 120) -> DataFrame:
@@ -84,6 +91,62 @@ def predict_boundaries(precursors, candidates, signal, min_mature: int = 5, max_
     )
 
 
+def predict_regions(precursors: DataFrame, signal: DataFrame, source, min_mature: int = 5, max_mature: int = 120, min_tail: int = 3) -> DataFrame:
+    """``predict_boundaries`` on the sites of ``scan_scored_sites``, protein by protein in one pass: no site leaves it.
+
+    ``source`` is a matrix or a logistic regression on windows. Ids of ``precursors`` (id, seq) and of ``signal`` (acc, signal_end) are
+    taken to be unique. Signals go to the proteins by broadcast if they are small, else the two are joined by shuffle.
+    """
+    patterns, table = [(p, o) for _, _, p, o, *_ in PROTEASE_MOTIFS], letter_table(source)
+    weight = np.array([ROLE_PRIORITY.get(m[1], 1.0) for m in PROTEASE_MOTIFS], np.float64)
+
+    def predict(seqs: list[str], signal_end: np.ndarray, motifs: Motifs) -> list[pa.Array]:
+        x = Located(motifs, seqs, FLANK)
+        score, bond, which = x.scores(table), x.bond, x.which
+        basic, acid = x.running("KR"), x.running("DE")
+        first, last = x.start, x.start + x.size
+        tail = x.size[which] - bond
+        kr_tail, de_tail = basic[last[which]] - basic[first[which] + bond], acid[last[which]] - acid[first[which] + bond]
+        value = weight[x.motif] + 3.0 * score + 2.0 * (kr_tail / tail) + np.where((tail >= min_mature) & (tail <= 60), 0.5, 0.0)
+        at = np.flatnonzero((tail >= min_mature) & (tail <= max_mature) & (bond > signal_end[which]))
+        at = at[np.lexsort((bond[at], x.motif[at], -value[at], which[at]))]
+        at = at[first_of(which[at])]
+        cut, best = signal_end.copy(), np.zeros(len(seqs))
+        cut[which[at]], best[which[at]] = bond[at], value[at]
+        kr_start = basic[first + np.clip(cut, 0, x.size)] - basic[first]
+        size = bond - cut[which]
+        part = (bond > cut[which] + 1) & (tail >= min_tail) & (size >= min_mature) & (size <= max_mature)
+        kr = kr_tail[part] / tail[part]
+        mature = (basic[first[which] + bond] - basic[first[which]] - kr_start[which])[part] / size[part]
+        fits = (de_tail[part] / tail[part] > kr) & (mature > kr)
+        end = np.zeros(len(seqs), np.int64)
+        np.maximum.at(end, which[part][fits], bond[part][fits])
+        number = lambda v: pa.array(v, pa.int32())
+        return [number(x.size), number(signal_end), number(cut + 1), pa.array(best), number(np.where(end > 0, end, x.size)), pa.array(np.where(end > 0, "cterm_cut", "terminus").tolist(), pa.string())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        motifs = Motifs(patterns)
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1), 1 << 18):
+                ends = batch.column(2).slice(at, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = batch.column(0).slice(at, len(part))
+                at += len(part)
+                yield pa.record_batch([ids, *predict(part.to_pylist(), ends, motifs)], names)
+
+    names = ["precursor_id", "seq_len", "signal_end", "mature_start", "sel_score", "mature_end", "mature_end_source"]
+    schema = "precursor_id string, seq_len int, signal_end int, mature_start int, sel_score double, mature_end int, mature_end_source string"
+    own = small_side(materialize(signal.select(F.col("acc").alias("id"), "signal_end")))
+    rows = precursors.select("id", "seq").join(own, "id", "left").select(F.col("id").cast("string"), "seq", F.coalesce("signal_end", F.lit(0)).cast("int").alias("signal_end"))
+    has = F.col("mature_start") - 1 >= F.col("signal_end") + 1
+    return rows.mapInArrow(work, schema).select(
+        F.concat("precursor_id", F.lit("_pred")).alias("peptide_id"), "precursor_id", F.lit(".").alias("gene_symbol"),
+        F.col("seq_len").alias("precursor_len"), "signal_end", "mature_start", "mature_end",
+        F.when(has, F.col("signal_end") + 1).otherwise(0).alias("pro_start"), F.when(has, F.col("mature_start") - 1).otherwise(0).alias("pro_end"),
+        F.lit(".").alias("dibasic_hint"), "sel_score", "mature_end_source",
+    )
+
+
 def boundary_accuracy(pred: DataFrame, truth: DataFrame, candidates: DataFrame, tol: int = 2, corrected: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, summary) of predicted against true mature starts, truth(precursor_id, mature_start, ord), last ``ord`` wins.
 
