@@ -81,6 +81,7 @@ def _units(s, d):
 
 
 def _envelopes(s, d):
+    """Every reading of what this gives scans all line items twice, and all texts twice; see to it that it is read once."""
     return G.locus_envelope(_regions(s, d), _models(s, d), A.cds(s, d))
 
 
@@ -607,7 +608,9 @@ def locus_features(s, d):
 
 @query
 def neighbourhood(s, d):
-    return rounded(E1.neighbourhood(_envelopes(s, d), A.gene_index(s, d), ["PRTN3", "KLK5", "MMP7", "FURIN", "CTSD"], ["ABCA1"], ["CAMP", "DEFA1", "DEFB4A", "HTN1", "DCD"], 1000))
+    # written once: loci are read three times, and each reading would be a plan of its own over all line items
+    loci = materialize(_envelopes(s, d))
+    return rounded(E1.neighbourhood(loci, A.gene_index(s, d), ["PRTN3", "KLK5", "MMP7", "FURIN", "CTSD"], ["ABCA1"], ["CAMP", "DEFA1", "DEFB4A", "HTN1", "DCD"], 1000))
 
 
 # models
