@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from .ungapped import Index, Texts, best_diagonals, equal_residues, first_of
 
 BLOCK_RESIDUES = 1 << 20  # of the peptides that one unit of a search holds
 LANE_RESIDUES = 4 << 20  # of the proteins that it holds
+SEED = 7  # residues of a block that are looked up in a search for similar peptides, at most
 
 
 def clean_peptides(seqs: DataFrame) -> DataFrame:
@@ -153,20 +155,33 @@ def similar_peptides(seqs: DataFrame, min_identity: float = 0.9, k: int = 4) ->
     """(a, b) of peptides (id, seq) whose equal residues on some diagonal are at least ``min_identity`` of the shorter one, a.
 
     Of two equally long ones, a has the greater id. Exact for shorter ones of ``k`` residues and more, as far as a k-mer survives: with m
-    residues of n replaced, the m * k + 1 rarest k-mers of the shorter one hold an undamaged one, if it has that many; else
-    all are looked up. So each peptide looks up only its rarest k-mers among all k-mers of peptides at least as long.
+    residues of n replaced, one of m + 1 equal blocks of the shorter one is undamaged. So each peptide looks up one piece of up to
+    ``SEED`` residues of each block, among all pieces of that length of peptides at least as long. Where blocks are shorter than k (low
+    identities only), the m * k + 1 rarest k-mers hold an undamaged one, if there are that many; else all are looked up.
     """
     n = F.length("seq")
-    rows = seqs.select("id", "seq", n.alias("n")).where(n >= k)
-    every = materialize(rows.select("id", "n", F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer")))
-    often = materialize(every.groupBy("kmer").agg(F.count("*").alias("f")))
-    most = F.floor(F.col("n") * (1.0 - min_identity) + 1e-9) * k + 1
-    own = every.join(small_side(often), "kmer").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "kmer", "i"))).alias("all"))
-    own = own.select(F.col("id").alias("a"), F.col("n").alias("an"), F.explode(F.slice("all", F.lit(1), most.cast("int"))).alias("x"))
-    own = own.select("a", "an", "x.kmer", F.col("x.i").alias("ai"))
-    other = every.select(F.col("id").alias("b"), F.col("n").alias("bn"), "kmer", F.col("i").alias("bi"))
-    pairs = own.join(other, "kmer").where("a <> b and (bn > an or (bn = an and b < a))")
-    pairs = materialize(pairs.select("a", "b", (F.col("bi") - F.col("ai")).alias("diagonal")).distinct())
+    most = F.floor(F.col("n") * (1.0 - min_identity) + 1e-9)
+    size = F.floor(F.col("n") / (most + 1))
+    rows = seqs.select("id", "seq", n.alias("n")).where(n >= k).withColumn("m", most.cast("int"))
+    rows = rows.withColumn("w", F.least(size, F.lit(max(k, SEED))).cast("int"))
+    blocks = rows.where(F.col("w") >= k).select("id", "seq", "n", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m")), lambda j: F.floor(j * F.col("n") / (F.col("m") + 1)).cast("int"))).alias("j", "i"))
+    own = blocks.select(F.col("id").alias("a"), F.col("n").alias("an"), F.substring("seq", F.col("i") + 1, F.col("w")).alias("kmer"), F.col("i").alias("ai"))
+    pieces = lambda size, least: rows.where(F.col("n") >= least).select(F.col("id").alias("b"), F.col("n").alias("bn"), F.posexplode(kmers(F.col("seq"), size)).alias("bi", "kmer"))
+    sizes = rows.where(F.col("w") >= k).groupBy("w").agg(F.min("n").alias("least")).collect()
+    found = [own.join(reduce(DataFrame.union, [pieces(r["w"], r["least"]) for r in sizes]), "kmer")] if sizes else []  # a piece tells its length
+    damaged = rows.where(F.col("w") < k)
+    if damaged.limit(1).count():
+        every = materialize(rows.select("id", "n", F.posexplode(kmers(F.col("seq"), k)).alias("i", "kmer")))
+        often = materialize(every.groupBy("kmer").agg(F.count("*").alias("f")))
+        rare = every.join(damaged.select("id", "m"), "id").join(small_side(often), "kmer").groupBy("id", "n", "m").agg(F.array_sort(F.collect_list(F.struct("f", "kmer", "i"))).alias("all"))
+        rare = rare.select(F.col("id").alias("a"), F.col("n").alias("an"), F.explode(F.slice("all", F.lit(1), F.col("m") * k + 1)).alias("x"))
+        other = every.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), "kmer")
+        found.append(rare.select("a", "an", "x.kmer", F.col("x.i").alias("ai")).join(other, "kmer"))
+    if not found:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    met = [x.where("a <> b and (bn > an or (bn = an and b < a))").select("a", "b", (F.col("bi") - F.col("ai")).alias("diagonal")) for x in found]
+    pairs = materialize(reduce(DataFrame.union, met).distinct())
+    rows = rows.select("id", "seq", "n")
     full = pairs.join(rows.select(F.col("id").alias("a"), F.col("seq").alias("a_seq")), "a").join(rows.select(F.col("id").alias("b"), F.col("seq").alias("b_seq")), "b")
     counted = full.select("a", "b", "diagonal", "a_seq", "b_seq").mapInArrow(_identities, "a string, b string, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
     found = counted.join(rows.select(F.col("id").alias("a"), "n"), "a")
